@@ -26,13 +26,15 @@ def keyed_join(
     """Join ``large`` to ``small``, which has one row a key.
 
     A small side with a proven size is broadcast. Any other is copied ``salts``
-    times and the large side spread over the copies, so a key that holds a third
-    of the rows is split over ``salts`` tasks. Null keys match nothing.
+    times and the large side spread over the copies by a hash of the row, so a key
+    that holds a third of the rows is split over ``salts`` tasks, and a task that
+    runs again does the same. Null keys match nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
     if is_bounded(small, max_rows):
         return large.join(F.broadcast(small), keys, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = large.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    hashed = [f.name for f in large.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -18,8 +18,11 @@ def stats_by_key(df: DataFrame, key: str, **aggregates: Column) -> DataFrame:
 
     A null key is no key and has no row; an empty table gives an empty result;
     nulls in other columns are left out by the aggregates, as in SQL. Only the
-    key and the aggregated columns are read.
+    key and the aggregated columns are read. Results may have the names of other
+    columns of the input, but not that of the key.
     """
+    if key in {"n_rows", *aggregates}:
+        raise ValueError(f"{key} is the key and the name of a result")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *(c.alias(n) for n, c in aggregates.items()))
 
 

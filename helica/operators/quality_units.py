@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helica.operators.clashes import set_aside
 from helica.operators.joins import keyed_join
 from helica.operators.units import Reading, convert, resolve_units
 
 MAX_SCORE = 41
 #: A value may miss a whole score by a rounded fifth digit, no more; in logarithms, summed over a read.
 MAX_LOG_RESIDUAL = 0.5
+NEW = {"unit", "unit_source", "unit_ambiguous", "quality_phred33", "lane_cut", "unit_below", "unit_from", "_values", "_claim", "_fits", "_salt"}
 
 
 def stated_units(runs: DataFrame, key: str = "run_id", label: str = "quality_encoding", note: str = "run_note") -> DataFrame:
@@ -91,12 +93,9 @@ def unify_qualities(fragments: DataFrame, runs: DataFrame, quality: str = "quali
     What the run states holds, also lane by lane; a fragment with no lane in a run
     with a rule by lane is read by its values. Null qualities keep null in the
     new columns. Repeated rows stay repeated. A column of the input with the name
-    of a new column is an error.
+    of a new column is kept as ``input_<name>``.
     """
-    clash = {"unit", "unit_source", "unit_ambiguous", "quality_phred33", "lane_cut", "unit_below", "unit_from"} & set(fragments.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    joined = keyed_join(fragments, stated_units(runs, key), [key], "left")
+    joined = keyed_join(set_aside(fragments, NEW), stated_units(runs, key), [key], "left")
     claim = F.when(F.col("lane_cut").isNull(), F.col("unit_below")).when(F.col(lane).isNotNull(), F.when(F.col(lane) < F.col("lane_cut"), F.col("unit_below")).otherwise(F.col("unit_from")))
     q = F.col(quality)
     valued = joined.withColumn("_values", F.when(q.rlike(r"^\s*[-+.0-9]"), _values(q)).otherwise(F.array().cast("array<double>")))

@@ -26,7 +26,7 @@ def split_rows(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """The rows with no error, and the others with ``fail_reason`` (the first) and ``errors``."""
     checked = with_errors(df, rules, "errors")
     good = checked.where(F.size("errors") == 0).drop("errors")
-    bad = checked.where(F.size("errors") > 0).withColumn("fail_reason", F.col("errors")[0])
+    bad = checked.where(F.size("errors") > 0).withColumn("fail_reason", F.get("errors", F.lit(0)))
     return good, bad
 
 

@@ -35,9 +35,9 @@ def value_sketches(variants: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def clean_fields(fields: DataFrame) -> DataFrame:
-    """One row for each field of a file; repeated rows fold into one."""
+    """One row for each field of a file; repeated rows fold into one. Rows without file, class or id are no fields."""
     return (
-        fields.where(F.col("file_id").isNotNull() & F.col("field_id").isNotNull())
+        fields.where(F.col("file_id").isNotNull() & F.col("field_class").isNotNull() & F.col("field_id").isNotNull())
         .groupBy("file_id", "field_class", "field_id")
         .agg(F.min("dict_pos").alias("dict_pos"), F.min(F.lower(F.trim("value_type"))).alias("value_type"), F.min(F.trim("value_count")).alias("value_count"), F.min(squeezed(F.col("field_text"))).alias("field_text"))
     )
@@ -107,15 +107,16 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
     ``format_values`` and ``info_values`` are arrays of (field, value) under the
     canonical names of the cohort, whatever the file's positions and names;
     ``.`` and missing values are null. A repeated variant_id keeps its earliest
-    loaded row; variants of files without samples keep one row with a null sample.
+    loaded row, rows without an id are left out; variants of files without samples
+    or without a file keep one row with a null sample.
     """
     named = canonical_fields(files, fields, changes)
     formats = named.where(F.col("field_class") == "FORMAT").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("dict_pos", "canonical"))).alias("format_names"))
     infos = named.where((F.col("field_class") == "INFO") & (F.col("field_id") != F.col("canonical"))).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("field_id", "canonical"))).alias("info_names"))
     lists = sample_lists(files).join(files.select("file_id", "cohort_id").dropDuplicates(["file_id"]), "file_id")
     layout = lists.join(formats, "file_id", "left").join(infos, "file_id", "left")
-    payload = [c for c in variants.columns if c != "variant_id"]
-    unique = variants.where(F.col("variant_id").isNotNull()).groupBy("variant_id").agg(F.min_by(F.struct(*payload), F.struct(F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp_ntz").cast(variants.schema["loaded_at"].dataType)), F.xxhash64(*[c for c in payload]))).alias("r")).select("variant_id", "r.*")
+    payload = ["file_id", "contig", "pos", "var_name", "ref_allele", "alt_alleles", "qual", "filters", "info_raw", "format_pos", "genotypes_raw", "loaded_at"]
+    unique = variants.where(F.col("variant_id").isNotNull()).groupBy("variant_id").agg(F.min_by(F.struct(*payload), F.struct(F.col("loaded_at").isNull(), "loaded_at", F.xxhash64(*payload))).alias("r")).select("variant_id", "r.*")
     rows = keyed_join(unique, layout, ["file_id"], "left", max_rows=20_000)
     cells = F.arrays_zip(F.split("genotypes_raw", "\t").alias("genotype"), F.col("samples").alias("sample"))
     wide = rows.select("*", F.posexplode_outer(cells).alias("sample_no", "cell"))
@@ -123,7 +124,7 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
     names = F.col("format_names")
     values = F.transform(
         F.arrays_zip(F.col("format_pos").alias("pos"), F.split("cell.genotype", ":").alias("value")),
-        lambda z: F.struct(F.filter(names, lambda n: n["dict_pos"] == z["pos"])[0]["canonical"].alias("field"), dot(z["value"]).alias("value")),
+        lambda z: F.struct(F.get(F.filter(names, lambda n: n["dict_pos"] == z["pos"]), F.lit(0))["canonical"].alias("field"), dot(z["value"]).alias("value")),
     )
     info = F.transform(
         F.split("info_raw", ";"),

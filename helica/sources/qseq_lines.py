@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helica.operators.clashes import set_aside
 from helica.operators.rejects import Rule, split_quoted, split_rows
 
 FIELDS = ("instrument", "run", "lane", "tile", "xpos", "ypos", "index", "read", "sequence", "quality", "filter")
+NEW = {*FIELDS, "filter_passed", "errors", "fail_reason", "_text", "_fields", "_quoted_well"}
 NUMBERS = ("run", "lane", "tile", "xpos", "ypos", "read")
 
 
@@ -19,16 +21,15 @@ def parse_qseq_lines(df: DataFrame, line: str = "raw_line") -> tuple[DataFrame,
     then run as expressions over all rows, and the first that fails is the reason.
     One CR at the end belongs to the line end. A null line counts as an empty one
     and fails ``columns``. The rows keep their other columns; a column of the input
-    with the name of a QSEQ field is kept under ``input_<name>``. Lines may have
+    with the name of a new column is kept under ``input_<name>``. Lines may have
     any length. Valid rows have ``.`` as ``N`` in sequence and index, index ``0``
     as null and the quality as given (Phred+64).
     """
-    clash = [c for c in df.columns if c in {*FIELDS, "filter_passed", "errors", "fail_reason"}]
-    if line in clash:
-        raise ValueError(f"{line} is the name of a QSEQ field")
-    kept = df.withColumnsRenamed({c: f"input_{c}" for c in clash})
+    if line in NEW:
+        raise ValueError(f"{line} is the name of a new column")
+    kept = set_aside(df, NEW)
     text = F.coalesce(F.col(line), F.lit(""))
-    text = F.when(text.endswith("\r"), F.expr(f"left(coalesce(`{line}`, ''), length(coalesce(`{line}`, '')) - 1)")).otherwise(text)
+    text = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     kept = kept.withColumn("_text", text)
     fields, quoted_well = split_quoted(F.col("_text"))
     loaded = kept.withColumn("_fields", fields).withColumn("_quoted_well", quoted_well)

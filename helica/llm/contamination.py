@@ -24,7 +24,7 @@ RANK = 256
 MIN_COSINE = 0.3
 MIN_COSINE_PARAPHRASE = 0.6
 #: Items that are searched for in one pass; more are searched in blocks of as many.
-ITEMS_PER_BLOCK = 2000
+ITEMS_PER_BLOCK = 500
 SEED = 20
 #: Corpus passages compared with the items' passages at once; bounds a worker's memory.
 AT_ONCE = 2048
@@ -134,7 +134,7 @@ def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK,
     thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, rank)))[0]
     if not len(windows):
         return thin
-    slices = max(1, min(64, len(windows) // 512))
+    slices = max(1, min(8, len(windows) // 512))  # each sends terms x rank numbers to the driver
     rows = spark.createDataFrame(pd.DataFrame({"w": [r.tolist() for r in windows]}), "w array<long>").repartition(slices)
     for _ in range(power + 1):
         q = spark.sparkContext.broadcast((thin, idf))
@@ -230,7 +230,7 @@ def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray,
         verbatim = best["run"] >= min_words
         keep = verbatim if not paraphrase else verbatim | ((best["lcs"] >= (2 * WINDOW) // 3) & best["answered"])
         best = best[keep]
-        yield pd.DataFrame({"k": pd.Series([keys[int(a)] for a in best["at"]], dtype=batch["k"].dtype), "item": best["item"].to_numpy(np.int64), "cosine": best["cosine"].to_numpy(float), "run": best["run"].to_numpy(np.int64), "lcs": best["lcs"].to_numpy(np.int64), "answered": best["answered"].to_numpy(bool)})
+        yield pd.DataFrame({"k": pd.Series([keys[int(a)] for a in best["at"]], dtype=object), "item": best["item"].to_numpy(np.int64), "cosine": best["cosine"].to_numpy(float), "run": best["run"].to_numpy(np.int64), "lcs": best["lcs"].to_numpy(np.int64), "answered": best["answered"].to_numpy(bool)})
 
 
 def _in_blocks(compare, rows: list[np.ndarray], of: list[np.ndarray]) -> list[pd.DataFrame]:
@@ -272,8 +272,8 @@ def find_leaks(
         raise ValueError(f"min_words must be from 1 to {STRIDE}")
     spark = corpus.sparkSession
     cosine = min_cosine if min_cosine is not None else (MIN_COSINE_PARAPHRASE if paraphrase else MIN_COSINE)
-    docs = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
-    kind, item_kind = corpus.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    docs = corpus.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
+    kind, item_kind = corpus.schema[key].dataType, items.schema[item_key].dataType.simpleString()
     wanted = items.select(F.col(item_key), F.col(passage), F.col(answer)).where(F.col(passage).isNotNull())
     result = None
     rows: list = []
@@ -290,8 +290,8 @@ def find_leaks(
             terms, windows, owner, answers, space, idf = shared.value
             return _search(batches, terms, windows, owner, answers, space, idf, min_words, cosine, paraphrase)
 
-        hits = docs.mapInPandas(run, f"k {kind}, item long, cosine double, run long, lcs long, answered boolean")
-        return hits.join(F.broadcast(keys), "item").select(F.col("k").alias(key), item_key, "cosine", F.col("run").alias("longest_run"), F.col("lcs").alias("common_words"), "answered")
+        hits = docs.mapInPandas(run, "k string, item long, cosine double, run long, lcs long, answered boolean")
+        return hits.join(F.broadcast(keys), "item").select(F.col("k").cast(kind).alias(key), item_key, "cosine", F.col("run").alias("longest_run"), F.col("lcs").alias("common_words"), "answered")
 
     for r in wanted.toLocalIterator():
         rows.append(r)

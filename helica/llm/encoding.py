@@ -257,6 +257,6 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, kinds, n, fixed, "lost" not in kinds) for k, fixed, kinds, n in rows if kinds]
             yield pd.DataFrame(rows, columns=["k", "kinds", "n_restored", "restored", "complete"])
 
-    kind = df.schema[key].dataType.simpleString()
-    suspects = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(suspicion()))
-    return suspects.mapInPandas(fix, f"k {kind}, kinds array<string>, n_restored long, restored string, complete boolean").withColumnRenamed("k", key)
+    kind = df.schema[key].dataType
+    suspects = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(suspicion()))
+    return suspects.mapInPandas(fix, "k string, kinds array<string>, n_restored long, restored string, complete boolean").withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)

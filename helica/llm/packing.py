@@ -37,8 +37,9 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, patt
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"], "n_tokens": [len(encode(t)) if t else 0 for t in batch["t"]]})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(count, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
+    kind = df.schema[key].dataType
+    counted = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(count, "k string, n_tokens long")
+    return counted.select(F.col("k").cast(kind).alias(key), "n_tokens")
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -89,8 +90,8 @@ def pack(sizes: DataFrame, key: str, n_items: int, capacity: int = CAPACITY, per
     group. Repeated rows are items of their own. Containers are numbered by group.
     """
     groups = max(1, -(-n_items // per_group))
-    keyed = sizes.select(F.col(key).alias("k"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    kind = sizes.schema[key].dataType.simpleString()
+    keyed = sizes.select(F.col(key).cast("string").alias("k"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    kind = sizes.schema[key].dataType
 
     def arrange(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["n_tokens", "k"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -118,9 +119,9 @@ def pack(sizes: DataFrame, key: str, n_items: int, capacity: int = CAPACITY, per
             }
         )
 
-    schema = f"container_id long, k {kind}, piece_no long, token_start long, token_end long, container_start long"
+    schema = "container_id long, k string, piece_no long, token_start long, token_end long, container_start long"
     grouped = keyed.withColumn("g", F.pmod(F.xxhash64("k", "n_tokens"), F.lit(groups)))
-    return grouped.groupBy("g").applyInPandas(arrange, schema).withColumnRenamed("k", key)
+    return grouped.groupBy("g").applyInPandas(arrange, schema).withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -55,7 +55,8 @@ def count_terms(df: DataFrame, record: str, terms: Column, heavy_share: float =
     """``term``, ``occurrences`` and ``records`` over the whole of ``df``; and a row with a null term that has the number of records with a term.
 
     A record is a distinct value of ``record``; its repeated rows count once, and
-    rows that differ add up. A row with a null record is a record of its own.
+    rows that differ add up (the distinct lists of one record are gathered, so they
+    have to be few). A row with a null record is a record of its own.
     Null and empty term lists hold no term. Terms that are heavy are counted in
     arrays inside each partition and leave it as one row each, so they cannot
     overload a reducer; all others are folded for each batch and shuffled by term.

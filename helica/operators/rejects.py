@@ -19,7 +19,16 @@ class Rule:
 def with_errors(df: DataFrame, rules: list[Rule], name: str = "errors") -> DataFrame:
     """Add the reasons of all rules that fail, in the order of the rules."""
     found = F.array(*(F.when(F.coalesce(r.fails, F.lit(False)), F.lit(r.reason)) for r in rules))
-    return df.withColumn(name, F.array_compact(found))
+    return computed_once(df, **{name: F.array_compact(found)})
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often later steps use them.
+
+    They come from a generator of one row, which the optimizer does not merge
+    with filters and projections after it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def split_rows(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:

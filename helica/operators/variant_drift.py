@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helica.operators.drift import field_changes, member_changes, squeezed, version_order
 from helica.operators.joins import keyed_join
+from helica.operators.rejects import computed_once
 
 
 def value_sketches(variants: DataFrame, fields: DataFrame) -> DataFrame:
@@ -118,22 +119,22 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
     payload = ["file_id", "contig", "pos", "var_name", "ref_allele", "alt_alleles", "qual", "filters", "info_raw", "format_pos", "genotypes_raw", "loaded_at"]
     unique = variants.where(F.col("variant_id").isNotNull()).groupBy("variant_id").agg(F.min_by(F.struct(*payload), F.struct(F.col("loaded_at").isNull(), "loaded_at", F.xxhash64(*payload))).alias("r")).select("variant_id", "r.*")
     rows = keyed_join(unique, layout, ["file_id"], "left", max_rows=20_000)
-    cells = F.arrays_zip(F.split("genotypes_raw", "\t").alias("genotype"), F.col("samples").alias("sample"))
-    wide = rows.select("*", F.posexplode_outer(cells).alias("sample_no", "cell"))
+    # What all samples of a variant share is made before they are told apart.
+    key = lambda e: F.split_part(e, F.lit("="), F.lit(1))
     dot = lambda v: F.when(v != ".", v)
-    names = F.col("format_names")
-    values = F.transform(
-        F.arrays_zip(F.col("format_pos").alias("pos"), F.split("cell.genotype", ":").alias("value")),
-        lambda z: F.struct(F.get(F.filter(names, lambda n: n["dict_pos"] == z["pos"]), F.lit(0))["canonical"].alias("field"), dot(z["value"]).alias("value")),
-    )
+    places = F.transform(F.col("format_pos"), lambda p: F.get(F.filter(F.col("format_names"), lambda n: n["dict_pos"] == p), F.lit(0))["canonical"])
     info = F.transform(
         F.split("info_raw", ";"),
         lambda e: F.struct(
-            F.coalesce(F.get(F.filter(F.col("info_names"), lambda n: n["field_id"] == F.split_part(e, F.lit("="), F.lit(1))), F.lit(0))["canonical"], F.split_part(e, F.lit("="), F.lit(1))).alias("field"),
+            F.coalesce(F.get(F.filter(F.col("info_names"), lambda n: n["field_id"] == key(e)), F.lit(0))["canonical"], key(e)).alias("field"),
             dot(F.when(F.contains(e, F.lit("=")), F.split_part(e, F.lit("="), F.lit(2)))).alias("value"),
         ),
     )
-    return wide.select("variant_id", "cohort_id", "file_id", "contig", "pos", "var_name", "ref_allele", F.split("alt_alleles", ",").alias("alt_alleles"), "qual", "filters", F.col("cell.sample").alias("sample_name"), F.filter(values, lambda v: v["field"].isNotNull()).alias("format_values"), info.alias("info_values"))
+    cells = F.arrays_zip(F.split("genotypes_raw", "\t").alias("genotype"), F.col("samples").alias("sample"))
+    shared = computed_once(rows, places=places, info_values=info, cells=cells)
+    wide = shared.select("*", F.posexplode_outer("cells").alias("sample_no", "cell"))
+    values = F.transform(F.arrays_zip(F.col("places").alias("field"), F.split("cell.genotype", ":").alias("value")), lambda z: F.struct(z["field"].alias("field"), dot(z["value"]).alias("value")))
+    return wide.select("variant_id", "cohort_id", "file_id", "contig", "pos", "var_name", "ref_allele", F.split("alt_alleles", ",").alias("alt_alleles"), "qual", "filters", F.col("cell.sample").alias("sample_name"), F.filter(values, lambda v: v["field"].isNotNull()).alias("format_values"), "info_values")
 
 
 def unified_types(files: DataFrame, fields: DataFrame, changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helica.operators.key_stats import heavy_keys, stats_by_key
 from helica.operators.quality_units import unify_qualities
 from helica.operators.variant_drift import dictionary_changes, unified_types, unify_variants
+from helica.session import cut_lineage
 from helica.sources.qseq_lines import parse_qseq_lines
 from helica.sources.tables import table
 
@@ -23,12 +24,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     tables = _drift_tables(spark, folder)
-    return unify_variants(*tables, dictionary_changes(*tables))
+    return unify_variants(*tables, cut_lineage(dictionary_changes(*tables)))
 
 
 def p1_types(spark: SparkSession, folder: str) -> DataFrame:
     files, fields, variants = _drift_tables(spark, folder)
-    return unified_types(files, fields, dictionary_changes(files, fields, variants))
+    return unified_types(files, fields, cut_lineage(dictionary_changes(files, fields, variants)))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,7 +94,9 @@ class BamReader(DataSourceReader):
         chunks = LinearIndex.read(bai).chunks([(header.names.index(i.contig), i.start, i.stop) for i in merge_intervals(self.intervals)], self.unplaced)
         return [r for r in ranges if any(a < (r.end + (1 << 32)) and b > r.start - (1 << 32) for a, b in chunks)] if chunks is not None else ranges
 
-    def read(self, part: VirtualRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: VirtualRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no ranges at all
+            return
         header, begin = read_bam_header(part.path)
         if self.intervals is not None:
             missing = {i.contig for i in self.intervals} - set(header.names)

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from helica.sources.bam_index import smallest_bin
 from helica.sources.bgzf import Blocks
 from helica.sources.sam import SamHeader
 
@@ -207,15 +208,6 @@ def decode_records(data: bytes, offsets: np.ndarray, header: SamHeader, columns:
     )
 
 
-def bin_of(begin: int, end: int) -> int:
-    """The smallest bin of the index scheme that holds ``[begin, end)``."""
-    last = end - 1
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == last >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
 def encode_record(row: dict, index: dict[str, int]) -> bytes:
     """One read as a BAM record with its length in front."""
     name = (row["read_name"] or "*").encode("latin-1") + b"\0"
@@ -237,7 +229,7 @@ def encode_record(row: dict, index: dict[str, int]) -> bytes:
     pos = (row["start"] or 0) - 1
     span = sum(k for k, o in steps if COVERS_REFERENCE[o]) or 1
     mapq = 255 if row["mapq"] is None else row["mapq"]
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), mapq, bin_of(pos, pos + span) if pos >= 0 else 4680, len(steps), row["flags"] or 0, n, mate, (row["mate_start"] or 0) - 1, row["insert_size"] or 0)
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), mapq, smallest_bin(pos, pos + span) if pos >= 0 else 4680, len(steps), row["flags"] or 0, n, mate, (row["mate_start"] or 0) - 1, row["insert_size"] or 0)
     body += name + b"".join(struct.pack("<I", k << 4 | o) for k, o in steps) + packed + scores + encode_tags(row["tags"])
     return struct.pack("<i", len(body)) + body
 

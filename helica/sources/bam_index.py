@@ -192,54 +192,92 @@ class LinearIndex:
         return sorted({begin, *inner, size << 16})
 
 
+class _IndexBuilder:
+    """Bins and windows of records that come in the order of reference and start."""
+
+    def __init__(self) -> None:
+        self.refs: dict[int, tuple[dict[int, list[list[int]]], dict[int, int]]] = {}
+        self.before: tuple[int, int] | None = None
+
+    def add(self, ref: int, begin: int, end: int, offset: int, after: int) -> None:
+        """A record on ``[begin, end)`` whose bytes lie between two virtual offsets."""
+        if self.before and (ref, begin) < self.before:
+            raise ValueError("records are not sorted by coordinate")
+        self.before = (ref, begin)
+        bins, windows = self.refs.setdefault(ref, ({}, {}))
+        chunks = bins.setdefault(smallest_bin(begin, end), [])
+        if chunks and chunks[-1][1] == offset:
+            chunks[-1][1] = after
+        else:
+            chunks.append([offset, after])
+        for w in range(begin >> WINDOW_SHIFT, (max(end - 1, begin) >> WINDOW_SHIFT) + 1):
+            windows.setdefault(w, offset)
+
+    def body(self, n_refs: int) -> bytes:
+        out = []
+        for ref in range(n_refs):
+            bins, windows = self.refs.get(ref, ({}, {}))
+            out.append(struct.pack("<i", len(bins)))
+            for number, chunks in sorted(bins.items()):
+                out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+            n, last, filled = max(windows, default=-1) + 1, 0, []
+            for w in range(n):
+                last = windows.get(w, last)
+                filled.append(last)
+            out.append(struct.pack(f"<i{n}Q", n, *filled))
+        return b"".join(out)
+
+
+def smallest_bin(begin: int, end: int) -> int:
+    """The smallest bin of the index scheme that holds ``[begin, end)``."""
+    last = max(end - 1, begin)
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == last >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def build_tabix(path: str) -> bytes:
+    """The ``.tbi`` of a block gzip VCF file that is sorted by contig and position."""
+    size, builder, names = size_of(path), _IndexBuilder(), {}
+    held: tuple[int, int, int, int] | None = None
+    for offset, line in bgzf.bgzf_lines(path, 0, size, size):
+        if held:
+            builder.add(*held, offset)
+            held = None
+        if not line or line.startswith(b"#"):
+            continue
+        f = line.split(b"\t", 8)
+        ends = [int(e[4:]) for e in f[7].split(b";") if e.startswith(b"END=") and e[4:].isdigit()]
+        begin = int(f[1]) - 1
+        held = (names.setdefault(f[0].decode(), len(names)), begin, ends[0] if ends else begin + len(f[3]), offset)
+    if held:
+        builder.add(*held, size << 16)
+    block = "".join(n + "\0" for n in names).encode()
+    # Preset of VCF, columns of contig and position, comment sign, lines to skip.
+    head = b"TBI\1" + struct.pack("<8i", len(names), 2, 1, 2, 0, ord("#"), 0, len(block)) + block
+    return bgzf.compress(head + builder.body(len(names)), end=True)
+
+
 def build_bai(path: str) -> bytes:
     """The ``.bai`` of a BAM file that is sorted by coordinate."""
     from helica.sources.bam import bam_kind
-    from helica.sources.bam_codec import bin_of, decode_records, read_bam_header
+    from helica.sources.bam_codec import decode_records, read_bam_header
     from helica.sources.records import record_slices
 
     header, begin = read_bam_header(path)
-    size = size_of(path)
-    refs: list[tuple[dict[int, list[list[int]]], dict[int, int]]] = [({}, {}) for _ in header.contigs]
-    unplaced = 0
-    before: tuple[int, int] | None = None
-    pending: tuple[int, int, int, int] | None = None
-
-    def close(end: int) -> None:
-        if pending is None:
-            return
-        ref, a, b, offset = pending
-        bins, linear = refs[ref]
-        chunks = bins.setdefault(bin_of(a, b), [])
-        if chunks and chunks[-1][1] == offset:
-            chunks[-1][1] = end
-        else:
-            chunks.append([offset, end])
-        for w in range(a >> WINDOW_SHIFT, ((b - 1) >> WINDOW_SHIFT) + 1):
-            linear.setdefault(w, offset)
-
+    size, builder, unplaced = size_of(path), _IndexBuilder(), 0
+    held: tuple[int, int, int, int] | None = None
     for data, offsets, virtual in record_slices(path, begin, size << 16, bam_kind(header)):
         batch = decode_records(data, offsets, header, {"end"})
         for ref, start, end, v in zip(batch["ref_index"].to_pylist(), batch["start"].to_pylist(), batch["end"].to_pylist(), virtual.tolist()):
-            close(v)
-            pending = None
+            if held:
+                builder.add(*held, v)
+                held = None
             if ref < 0 or start < 1:
                 unplaced += 1
-                continue
-            if before and (ref, start) < before:
-                raise ValueError(f"{path} is not sorted by coordinate")
-            before = (ref, start)
-            pending = (ref, start - 1, max(end, start), v)
-    close(size << 16)
-    out = [b"BAI\1", struct.pack("<i", len(refs))]
-    for bins, linear in refs:
-        out.append(struct.pack("<i", len(bins)))
-        for number, chunks in sorted(bins.items()):
-            out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
-        windows, last = max(linear, default=-1) + 1, 0
-        filled = []
-        for w in range(windows):
-            last = linear.get(w, last)
-            filled.append(last)
-        out.append(struct.pack(f"<i{windows}Q", windows, *filled))
-    return b"".join([*out, struct.pack("<Q", unplaced)])
+            else:
+                held = (ref, start - 1, max(end, start), v)
+    if held:
+        builder.add(*held, size << 16)
+    return b"BAI\1" + struct.pack("<i", len(header.contigs)) + builder.body(len(header.contigs)) + struct.pack("<Q", unplaced)

@@ -308,7 +308,9 @@ class BcfReader(DataSourceReader):
             parts += [VirtualRange(path, a << 16, min(a + step, size) << 16, size, False) for a in range(0, size, step)]
         return parts
 
-    def read(self, part: VirtualRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: VirtualRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no ranges at all
+            return
         header, begin = read_bcf_header(part.path)
         d = Dictionary.of(header)
         n = len(header.samples)

@@ -9,6 +9,7 @@ from helica.functions.names import fastq_id, passes_qc, qseq_key, qseq_line, wit
 from helica.functions.quality import checked_quality, sanger_to_illumina
 from helica.sources.files import expand
 from helica.sources.qseq_lines import parse_qseq_lines
+from helica.sources.text_out import checked_mode, split_once
 
 FRAGMENT_COLUMNS = ("key", "sequence", "quality", "instrument", "run_number", "flowcell_id", "lane", "tile", "xpos", "ypos", "read", "filter_passed", "control_number", "index_sequence")
 
@@ -28,9 +29,8 @@ def read_fastq(spark: SparkSession, path: str, encoding: str = "sanger", filter_
 
 def parse_qseq(lines: DataFrame, encoding: str = "illumina", filter_failed_qc: bool = False, mode: str = "FAILFAST") -> DataFrame:
     """Fragments of QSEQ lines (``value``): exactly 11 fields split by tabs, else an error, or left out with ``DROPMALFORMED``."""
-    if mode not in ("FAILFAST", "DROPMALFORMED"):
-        raise ValueError("mode must be FAILFAST or DROPMALFORMED")
-    f = lines.select("value", F.split("value", "\t").alias("_f"))
+    mode = checked_mode(mode)
+    f = split_once(lines, "value").withColumnRenamed("_line", "value")
     at = lambda i: F.get("_f", F.lit(i))
     numbers = F.array(*(at(i).try_cast("int") for i in (1, 2, 3, 4, 5, 7)))
     bad = (F.size("_f") != 11) | F.exists(numbers, lambda n: n.isNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helica.operators.clashes import set_aside
-from helica.operators.rejects import Rule, split_quoted, split_rows
+from helica.operators.rejects import Rule, computed_once, split_quoted, split_rows
 
 FIELDS = ("instrument", "run", "lane", "tile", "xpos", "ypos", "index", "read", "sequence", "quality", "filter")
 NEW = {*FIELDS, "filter_passed", "errors", "fail_reason", "_text", "_fields", "_quoted_well"}
@@ -30,9 +30,9 @@ def parse_qseq_lines(df: DataFrame, line: str = "raw_line") -> tuple[DataFrame,
     kept = set_aside(df, NEW)
     text = F.coalesce(F.col(line), F.lit(""))
     text = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    kept = kept.withColumn("_text", text)
+    kept = computed_once(kept, _text=text)
     fields, quoted_well = split_quoted(F.col("_text"))
-    loaded = kept.withColumn("_fields", fields).withColumn("_quoted_well", quoted_well)
+    loaded = computed_once(kept, _fields=fields, _quoted_well=quoted_well)
 
     def field(name: str) -> Column:
         return F.get("_fields", F.lit(FIELDS.index(name)))

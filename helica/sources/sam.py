@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helica.functions.intervals import Interval, filter_by_intervals
 from helica.functions.keys import read_key
 from helica.sources.files import expand, open_file
-from helica.sources.text_out import with_top_lines
+from helica.sources.text_out import checked_mode, split_once, with_top_lines
 
 #: The columns of reads, whatever format they come from.
 READ_COLUMNS = ("read_name", "flags", "ref_index", "contig", "start", "end", "mapq", "cigar", "mate_ref_index", "mate_contig", "mate_start", "insert_size", "bases", "quals", "tags")
@@ -103,10 +103,8 @@ def parse_sam(lines: DataFrame, header: SamHeader, column: str = "value", mode:
     with ``mode="DROPMALFORMED"``. ``end`` is the last position covered, the start
     where nothing is.
     """
-    if mode not in ("FAILFAST", "DROPMALFORMED"):
-        raise ValueError("mode must be FAILFAST or DROPMALFORMED")
-    fields = F.split(F.col(column), "\t")
-    body = lines.where((F.length(column) > 0) & ~F.col(column).startswith("@")).select(F.col(column).alias("_line"), fields.alias("_f"))
+    mode = checked_mode(mode)
+    body = split_once(lines.where((F.length(column) > 0) & ~F.col(column).startswith("@")), column)
     at = lambda i: F.get("_f", F.lit(i))
     numbers = F.array(*(at(i).try_cast("int") for i in (1, 3, 4, 7, 8)))
     bad = (F.size("_f") < 11) | F.exists(numbers, lambda n: n.isNull())

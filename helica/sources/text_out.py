@@ -1,8 +1,30 @@
-"""Lines in front of every file of a text write."""
+"""Fields of lines, and lines in front of every file of a text write."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: What to do with malformed rows; the names of stringencies are accepted too.
+MODES = {"FAILFAST": "FAILFAST", "STRICT": "FAILFAST", "DROPMALFORMED": "DROPMALFORMED", "LENIENT": "DROPMALFORMED", "SILENT": "DROPMALFORMED"}
+
+
+def checked_mode(mode: str) -> str:
+    if mode.upper() not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    return MODES[mode.upper()]
+
+
+def split_once(lines: DataFrame, column: str, by: str = "\t") -> DataFrame:
+    """``_line`` and its fields ``_f``.
+
+    The pair comes from a generator of one row, which the optimizer does not
+    merge with what follows: otherwise every use of a field would make and split
+    the line again.
+    """
+    line = F.col(column)
+    return lines.select(F.inline(F.array(F.struct(line.alias("_line"), F.split(line, by).alias("_f")))))
 
 
 def with_top_lines(lines: DataFrame, top: list[str]) -> DataFrame:

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
+from helica.functions.intervals import merge_intervals, parse_intervals
 from helica.sources import bgzf
+from helica.sources.bam_index import LinearIndex
 from helica.sources.bcf import PartWriter
-from helica.sources.files import SPLIT_BYTES, ByteRange, byte_ranges, expand, open_file, sliced_lines
+from helica.sources.files import SPLIT_BYTES, ByteRange, byte_ranges, exists, expand, open_file, sliced_lines
 
 ROWS = 4096
 
@@ -63,7 +65,7 @@ def all_lines(part: ByteRange) -> Iterator[tuple[int, bytes]]:
 
 
 class BgzfLines(DataSource):
-    """``offset`` (virtual) and ``value`` of the lines of block gzip files; writing takes ``value``, with ``header`` and ``suffix``."""
+    """``offset`` (virtual) and ``value`` of the lines of block gzip files, with ``intervals`` only those a tabix index does not rule out; writing takes ``value``, with ``header`` and ``suffix``."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,8 +83,30 @@ class BgzfLines(DataSource):
 
 class BgzfLinesReader(_Reader):
     blocks = True
+    intervals: list | None = None
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def check(self, options: dict) -> None:
+        self.intervals = parse_intervals(options.get("intervals"))
+
+    def partitions(self) -> list[ByteRange]:
+        """With ``intervals`` and a ``.tbi`` beside a file, only ranges that may hold their lines."""
+        parts = super().partitions()
+        if self.intervals is None:
+            return parts
+        wanted: dict[str, list[tuple[int, int]] | None] = {}
+        for p in parts:
+            if p.path not in wanted:
+                wanted[p.path] = None
+                if exists(p.path + ".tbi"):
+                    index = LinearIndex.read(p.path + ".tbi")
+                    spans = [(index.names.index(i.contig), i.start, i.stop) for i in merge_intervals(self.intervals) if i.contig in index.names]
+                    wanted[p.path] = index.chunks(spans)
+        touches = lambda p, chunks: any(a >> 16 < p.end + bgzf.MAX_BLOCK and b >> 16 >= p.start - bgzf.MAX_BLOCK for a, b in chunks)
+        return [p for p in parts if wanted[p.path] is None or touches(p, wanted[p.path])]
+
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no ranges at all
+            return
         lines = bgzf.bgzf_lines(part.path, part.start, part.end, part.size) if bgzf.sniff(part.path) == "bgzf" else all_lines(part)
         yield from batches_of(((o, v.decode()) for o, v in lines), ["offset", "value"], [pa.int64(), pa.string()])
 
@@ -121,7 +145,9 @@ class FastqReader(_Reader):
     def check(self, options: dict) -> None:
         self.max_line = int(options.get("maxLine", self.max_line))
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no ranges at all
+            return
         yield from batches_of(self._rows(part), ["file", "offset", "key", "sequence", "quality"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()])
 
     def _rows(self, part: ByteRange) -> Iterator[tuple]:
@@ -192,7 +218,9 @@ class FastaReader(_Reader):
         if len(expand(self.path)) > 1:
             raise ValueError("the fasta source reads one file")
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no ranges at all
+            return
         yield from batches_of(fasta_rows(part, self.max_line), ["key", "index_sequence", "position", "sequence"], [pa.string(), pa.string(), pa.int32(), pa.string()])
 
 

@@ -193,3 +193,17 @@ def test_tags_of_every_type():
 def test_sorted_header():
     assert SamHeader.parse("@SQ\tSN:a\tLN:5\n").sorted_by("coordinate").text.startswith("@HD\tVN:1.6\tSO:coordinate\n")
     assert "SO:queryname" in HEADER.sorted_by("queryname").text and "SO:coordinate" not in HEADER.sorted_by("queryname").text
+
+
+def test_tools(spark, bam, tmp_path, capsys):
+    from helica.tools import main
+
+    path = str(tmp_path / "x.bam")
+    os.symlink(bam, path)
+    for args in (["index-records", path, "--granularity", "10"], ["index-blocks", path, "--granularity", "1"], ["index-bai", path], ["show-records", path + ".splitting-bai"], ["show-blocks", path + ".bgzfi"], ["blocks", path], ["header", path, "--sorted-by", "queryname"]):
+        assert main(args) == 0
+    assert SplittingIndex.read(path + ".splitting-bai").offsets == SplittingIndex.read(bam + ".splitting-bai").offsets
+    capsys.readouterr()
+    main(["first-read", path, "0"])
+    begin = read_bam_header(bam)[1]
+    assert capsys.readouterr().out == f"{begin >> 16}:{begin & 65535}\n"

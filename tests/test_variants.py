@@ -144,3 +144,24 @@ def test_bcf_genotypes_come_back():
 def test_plain_gzip_is_read_whole(spark, tmp_path):
     (tmp_path / "x.vcf.gz").write_bytes(gzip.compress((TOP + "\n".join(LINES) + "\n").encode()))
     assert read_variants(spark, str(tmp_path / "x.vcf.gz")).count() == 5
+
+
+def test_tabix_leaves_ranges_out(spark, tmp_path):
+    from helica.sources.bam_index import LinearIndex, build_tabix
+
+    lines = [f"20\t{i * 500 + 1}\t.\tA\tC\t{i % 97}\tPASS\tDP={i * 7919 % 10007};AA={i * 31 % 1009}\tGT\t0|1\t1|{i % 2}\t./." for i in range(20000)]
+    path = tmp_path / "x.vcf.bgz"
+    path.write_bytes(bgzf.compress((TOP + "\n".join(lines) + "\n").encode(), end=True))
+    (tmp_path / "x.vcf.bgz.tbi").write_bytes(build_tabix(str(path)))
+    assert LinearIndex.read(str(path) + ".tbi").names == ["20"]
+    some = read_variants(spark, str(path), intervals=parse_intervals("20:5000001-5002001"), split_size=20_000)
+    assert [r.start for r in some.orderBy("start").collect()] == [5000001, 5000501, 5001001, 5001501, 5002001]
+    count = lambda text: spark.read.format("bgzf_lines").option("path", str(path)).option("splitSize", 20_000).options(**({"intervals": text} if text else {})).load().rdd.getNumPartitions()
+    assert 0 < count("20:5000001-5002001") < count(None)
+    assert read_variants(spark, str(path), intervals=parse_intervals("X:1-5"), split_size=20_000).count() == 0
+
+
+def test_stringency_names(spark):
+    assert parse_vcf(frame(spark, ["bad"]), HEADER, mode="LENIENT").count() == 0
+    with pytest.raises(ValueError):
+        parse_vcf(frame(spark), HEADER, mode="ANY")

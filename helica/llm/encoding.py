@@ -233,13 +233,22 @@ def _java_class(chars: set[str]) -> str:
 
 
 def suspicion() -> str:
-    """A pattern that every text with any of the damages contains."""
-    pairs = [_java_class(set(lead)) + _java_class(set(cont)) for lead, cont in map(lead_pair, CODECS)]
+    """A pattern that every text with any of the damages contains.
+
+    It takes one character outside ASCII and then looks back and ahead, so the
+    scan passes over ASCII as fast as it can.
+    """
     latin, lower, cyrillic = (f"[{x}]" for x in (LATIN, LOWER, CYRILLIC))
     mac = "[†-•…ˆ‰‹›™\xa7\xbe\xbf\xaf\xae‚„ƒ“”˜ŠŽŸŒ–—]"
-    any_of = "|".join((LOST, *pairs, f"{latin}['’-]?{cyrillic}", f"{cyrillic}['’-]?{latin}", "[\\x{80}-\\x{9f}]", f"(?<={latin}){mac}{lower}", f"(?<={lower})[ŠŽŸŒ]", f"(?<![^\\s{{(~-])[†‡‚„…ƒ]{lower}"))
-    # Cyrillic comes after a Latin letter here, so the first character may be an ASCII letter.
-    return f"(?=[^\\x00-\\x7f])(?:{any_of})|{latin}['’-]?{cyrillic}"
+    pairs = "|".join(f"(?<={_java_class(set(lead))}){_java_class(set(cont))}" for lead, cont in map(lead_pair, CODECS))
+    # Each group looks first at what it needs at all, as most characters are letters inside words.
+    groups = (
+        f"(?=[^\\x00-\\x7f])(?:{pairs})",
+        f"(?<=[{LOST}\\x{{80}}-\\x{{9f}}])",
+        f"(?<={cyrillic})(?:(?<={latin}['’-]?.)|['’-]?{latin})",
+        f"(?<={mac})(?:(?<={latin}.){lower}|(?<={lower}[ŠŽŸŒ])|(?<=[†‡‚„…ƒ])(?<![^\\s{{(~-].){lower})",
+    )
+    return "[^\\x00-\\x7f](?:" + "|".join(groups) + ")"
 
 
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:

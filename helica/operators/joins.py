@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of narrow columns that may be broadcast; about 20 MB at 100 bytes a row.
@@ -10,8 +10,14 @@ MAX_BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than it must."""
+def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, weight: Column | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads no more than it must.
+
+    Where rows hold arrays, ``weight`` is the number of narrow values in a row, and
+    their sum is held against ``max_rows``.
+    """
+    if weight is not None:
+        return (df.agg(F.sum(weight)).first()[0] or 0) <= max_rows
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
@@ -22,6 +28,7 @@ def keyed_join(
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Join ``large`` to ``small``, which has one row a key.
 
@@ -32,7 +39,7 @@ def keyed_join(
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    if is_bounded(small, max_rows):
+    if is_bounded(small, max_rows, weight):
         return large.join(F.broadcast(small), keys, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hashed = [f.name for f in large.schema.fields if "map<" not in f.dataType.simpleString()]

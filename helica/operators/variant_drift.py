@@ -118,7 +118,8 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
     layout = lists.join(formats, "file_id", "left").join(infos, "file_id", "left")
     payload = ["file_id", "contig", "pos", "var_name", "ref_allele", "alt_alleles", "qual", "filters", "info_raw", "format_pos", "genotypes_raw", "loaded_at"]
     unique = variants.where(F.col("variant_id").isNotNull()).groupBy("variant_id").agg(F.min_by(F.struct(*payload), F.struct(F.col("loaded_at").isNull(), "loaded_at", F.xxhash64(*payload))).alias("r")).select("variant_id", "r.*")
-    rows = keyed_join(unique, layout, ["file_id"], "left", max_rows=20_000)
+    cells_held = sum((F.greatest(F.size(c), F.lit(0)) for c in ("format_names", "info_names")), F.size("samples") + 1)
+    rows = keyed_join(unique, layout, ["file_id"], "left", weight=cells_held)
     # What all samples of a variant share is made before they are told apart.
     key = lambda e: F.split_part(e, F.lit("="), F.lit(1))
     dot = lambda v: F.when(v != ".", v)

@@ -10,9 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from helica.functions.intervals import merge_intervals, parse_intervals
+from helica.functions.intervals import Interval, merge_intervals, parse_intervals
 from helica.functions.names import parse_boolean
 from helica.sources import bgzf
 from helica.sources.bam_codec import decode_records, encode_record, header_bytes, plausible, read_bam_header
@@ -55,6 +55,7 @@ class BamReader(DataSourceReader):
         self.intervals = parse_intervals(options.get("intervals"))
         self.unplaced = parse_boolean(options.get("unplaced"), False)
         self.use_bai = parse_boolean(options.get("useBai"), True)
+        self.bounds: Interval | None = None
         self.bai_splits = parse_boolean(options.get("baiSplits"), False)
         wanted = options.get("columns")
         self.columns = {c.strip() for c in wanted.split(",")} if wanted else None
@@ -64,6 +65,23 @@ class BamReader(DataSourceReader):
         if unknown:
             raise ValueError(f"unknown columns: {sorted(unknown)}")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of contig, start and end prune ranges and rows; Spark applies all filters again."""
+        contig, low, high = None, 1, 2**31 - 1
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") else None
+            if isinstance(f, EqualTo) and column == "contig":
+                contig = f.value
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and column == "start":
+                high = min(high, f.value)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and column in ("end", "start"):
+                low = max(low, f.value)
+            yield f
+        if contig is not None and self.intervals is None and not self.unplaced:
+            self.bounds = Interval(contig, low, high)
+            if self.columns is not None:
+                self.columns |= {"contig", "start", "end"}
+
     def partitions(self) -> list[VirtualRange]:
         parts: list[VirtualRange] = []
         for path in expand(self.path):
@@ -85,13 +103,14 @@ class BamReader(DataSourceReader):
             ranges = [VirtualRange(path, a << 16, min(a + self.split, size) << 16, size, False) for a in range(0, size, self.split)]
         else:
             ranges = [VirtualRange(path, a, b, size, True) for a, b in zip(cuts, cuts[1:]) if a < b]
-        if self.intervals is None or not bai or not self.use_bai:
+        wanted = self.intervals if self.bounds is None else [self.bounds]
+        if wanted is None or not bai or not self.use_bai:
             return ranges
         header, _ = read_bam_header(path)
-        missing = {i.contig for i in self.intervals} - set(header.names)
-        if missing:
+        missing = {i.contig for i in wanted} - set(header.names)
+        if missing and self.bounds is None:
             raise ValueError(f"contigs are not in the header: {sorted(missing)}")
-        chunks = LinearIndex.read(bai).chunks([(header.names.index(i.contig), i.start, i.stop) for i in merge_intervals(self.intervals)], self.unplaced)
+        chunks = LinearIndex.read(bai).chunks([(header.names.index(i.contig), i.start, i.stop) for i in merge_intervals(wanted) if i.contig not in missing], self.unplaced)
         return [r for r in ranges if any(a < (r.end + (1 << 32)) and b > r.start - (1 << 32) for a, b in chunks)] if chunks is not None else ranges
 
     def read(self, part: VirtualRange | None) -> Iterator[pa.RecordBatch]:
@@ -108,13 +127,14 @@ class BamReader(DataSourceReader):
 
     def _selected(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """Rows that the options select, so that no more reach the JVM."""
-        if self.intervals is None and not self.unplaced:
+        wanted = self.intervals if self.bounds is None else [self.bounds]
+        if wanted is None and not self.unplaced:
             return batch
         ref = batch["ref_index"].to_numpy(zero_copy_only=False)
         keep = (ref < 0) if self.unplaced else np.zeros(len(ref), bool)
-        if self.intervals:
+        if wanted:
             contig, start, end = (batch[c].to_numpy(zero_copy_only=False) for c in ("contig", "start", "end"))
-            for i in merge_intervals(self.intervals):
+            for i in merge_intervals(wanted):
                 keep |= (contig == i.contig) & (start <= i.stop) & (end >= i.start)
         return batch.filter(pa.array(keep))
 

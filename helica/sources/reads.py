@@ -26,6 +26,7 @@ def read_sam_header(path: str, reference: str | None = None) -> SamHeader:
 
 def read_bam(spark: SparkSession, path: str, intervals: list[Interval] | None = None, unplaced: bool = False, **options) -> DataFrame:
     """Reads of BAM files, in parallel over ranges of each file; options as of the ``bam`` source."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the source takes filters
     source = spark.read.format("bam").option("path", path)
     if intervals is not None:
         source = source.option("intervals", format_intervals(intervals)) if intervals else source.option("columns", ",".join(READ_COLUMNS))

@@ -207,3 +207,15 @@ def test_tools(spark, bam, tmp_path, capsys):
     main(["first-read", path, "0"])
     begin = read_bam_header(bam)[1]
     assert capsys.readouterr().out == f"{begin >> 16}:{begin & 65535}\n"
+
+
+def test_filters_reach_the_scan(spark, bam, tmp_path):
+    path = str(tmp_path / "x.bam")
+    os.symlink(bam, path)
+    with open(path + ".bai", "wb") as f:
+        f.write(build_bai(bam))
+    df = read_bam(spark, path, splitSize=2000).where("contig = 'chr21' and start <= 901200 and end >= 900000")
+    assert sorted(r.start for r in df.collect()) == [900000, 900100, 901000, 901100]
+    assert df.rdd.getNumPartitions() < read_bam(spark, path, splitSize=2000).rdd.getNumPartitions()
+    assert read_bam(spark, path).where("contig = 'nope'").count() == 0
+    assert read_bam(spark, path).where("contig = 'chr21' and start = 900000 or flags = 4 and contig is null").count() == 3

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from helica.functions.intervals import Interval, merge_intervals, parse_intervals
 from helica.functions.names import parse_boolean
 from helica.sources import bgzf
-from helica.sources.bam_codec import decode_records, encode_record, header_bytes, plausible, read_bam_header
+from helica.sources.bam_codec import decode_records, encode_batch, header_bytes, plausible, read_bam_header
 from helica.sources.bam_index import LinearIndex, SplittingIndex, SplittingIndexBuilder
 from helica.sources.files import SPLIT_BYTES, exists, expand, local, size_of
 from helica.sources.records import Kind, VirtualRange, record_slices, resolve
@@ -176,13 +176,13 @@ class BamWriter(DataSourceArrowWriter):
                 out.write(block)
                 address = len(block)
             for batch in batches:
-                for row in batch.to_pylist():
-                    record = encode_record(row, index)
-                    if buffer and len(buffer) + len(record) > bgzf.PAYLOAD:
+                data, starts = encode_batch(batch, index)
+                for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(data)]):
+                    if buffer and len(buffer) + b - a > bgzf.PAYLOAD:
                         address += out.write(bgzf.compress(bytes(buffer)))
                         buffer.clear()
                     builder.add(address << 16 | len(buffer))
-                    buffer += record
+                    buffer += data[a:b]
                     while len(buffer) > bgzf.PAYLOAD:  # a record larger than a block
                         address += out.write(bgzf.deflate(bytes(buffer[: bgzf.PAYLOAD])))
                         del buffer[: bgzf.PAYLOAD]

@@ -219,3 +219,23 @@ def test_filters_reach_the_scan(spark, bam, tmp_path):
     assert df.rdd.getNumPartitions() < read_bam(spark, path, splitSize=2000).rdd.getNumPartitions()
     assert read_bam(spark, path).where("contig = 'nope'").count() == 0
     assert read_bam(spark, path).where("contig = 'chr21' and start = 900000 or flags = 4 and contig is null").count() == 3
+
+
+def test_reads_of_odd_shapes(spark, tmp_path):
+    from tests.make_reads import read_rows as rows_for
+
+    base = list(rows_for(1)[0])
+    names = READ_COLUMNS
+    odd = []
+    for i, change in enumerate([{}, {"bases": "*", "quals": "*"}, {"quals": "*"}, {"bases": "A", "quals": "I"}, {"bases": "ACGTNRYKM=", "quals": "!" * 10}, {"tags": ""}, {"bases": "AC" * 60_000 + "G", "quals": "J" * 120_001}, {"cigar": "*"}, {"cigar": "5S10M2D3I18M", "end": 1029}]):
+        row = dict(zip(names, base)) | {"read_name": f"odd{i}"} | change
+        if row["cigar"] == "*":
+            row["end"] = row["start"]
+        odd.append(tuple(row[c] for c in names))
+    df = spark.createDataFrame(odd, reads(spark, 1).schema)
+    write_reads(df.coalesce(1), str(tmp_path / "x.bam"), HEADER)
+    assert rows_of(read_bam(spark, str(tmp_path / "x.bam"))) == sorted(odd)
+    for change in ({"contig": "nope"}, {"quals": "II"}):
+        bad = dict(zip(names, base)) | change
+        with pytest.raises(Exception, match="not in the header|qualities for"):
+            write_reads(spark.createDataFrame([tuple(bad[c] for c in names)], df.schema), str(tmp_path / ("y" + next(iter(change)) + ".bam")), HEADER)

@@ -43,15 +43,16 @@ def p4_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, folder: str) -> DataFrame:
-    return unify_qualities(table(spark, folder, "fragments").select("fragment_id", "run_id", "lane", "seq_bases", "quality").distinct(), table(spark, folder, "seq_runs"))
+    return unify_qualities(table(spark, folder, "fragments").select("fragment_id", "run_id", "lane", "seq_bases", "quality"), table(spark, folder, "seq_runs"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _units(spark, folder).where(F.col("quality").isNotNull() & (F.col("unit") != "phred33")).select("fragment_id", F.col("unit").alias("quality_unit"))
+    # Repeated rows fold after the unit is known, so that only ids and units are shuffled.
+    return _units(spark, folder).where(F.col("quality").isNotNull() & (F.col("unit") != "phred33")).select("fragment_id", F.col("unit").alias("quality_unit")).distinct()
 
 
 def p5_phred33(spark: SparkSession, folder: str) -> DataFrame:
-    return _units(spark, folder).select("fragment_id", F.col("quality_phred33").alias("quality"), F.col("unit").alias("quality_unit"), "unit_source", "unit_ambiguous")
+    return _units(spark, folder).select("fragment_id", F.col("quality_phred33").alias("quality"), F.col("unit").alias("quality_unit"), "unit_source", "unit_ambiguous").distinct()
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

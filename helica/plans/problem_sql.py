@@ -78,9 +78,9 @@ SQL = {
     + """SELECT line_id, f[1] AS instrument, f[2]::INT AS run, f[3]::INT AS lane, f[4]::INT AS tile, f[5]::INT AS xpos, f[6]::INT AS ypos,
     CASE WHEN f[7] <> '0' THEN replace(f[7], '.', 'N') END AS index_sequence, f[8]::INT AS read_no, replace(f[9], '.', 'N') AS seq_bases,
     f[10] AS quality, f[11] = '1' AS filter_passed FROM e WHERE fail_reason IS NULL""",
-    "p5_found": _P5 + "SELECT fragment_id, unit AS quality_unit FROM w WHERE unit <> 'phred33'",
+    "p5_found": _P5 + "SELECT DISTINCT fragment_id, unit AS quality_unit FROM w WHERE unit <> 'phred33'",
     "p5_phred33": _P5
-    + """SELECT fragment_id, unit AS quality_unit, CASE WHEN unit IS NULL THEN NULL WHEN claim IS NULL THEN 'values' ELSE 'stated' END AS unit_source,
+    + """SELECT DISTINCT fragment_id, unit AS quality_unit, CASE WHEN unit IS NULL THEN NULL WHEN claim IS NULL THEN 'values' ELSE 'stated' END AS unit_source,
     quality IS NOT NULL AND unit IS NULL AS unit_ambiguous,
     CASE unit WHEN 'phred33' THEN quality
       WHEN 'phred64' THEN array_to_string([chr((ascii(x) - 31)::INT) FOR x IN string_split(quality, '')], '')

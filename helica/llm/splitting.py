@@ -74,7 +74,8 @@ def numbered_blocks(records: DataFrame) -> DataFrame:
     blocks = records.groupBy("bam_id", "block", "limit", "overlap").agg(F.count(F.lit(1)).alias("n_records"), F.min("virtual_offset").alias("first_offset"))
     blocks = blocks.withColumn("chunk", F.shiftright("block", CHUNK_SHIFT))
     totals = records.groupBy("bam_id").agg(F.count(F.lit(1)).alias("total"), F.first("limit").alias("_limit")).where(F.col("total") > F.col("_limit")).drop("_limit")
-    return running_start(blocks.join(totals, "bam_id"), ["bam_id"], "chunk", ["block"], F.col("n_records"))
+    # Several steps use the blocks of the oversized files; a written copy spares them the scan.
+    return cut_lineage(running_start(blocks.join(totals, "bam_id"), ["bam_id"], "chunk", ["block"], F.col("n_records")))
 
 
 def _segments(blocks: DataFrame, max_blocks: int) -> DataFrame:

@@ -23,8 +23,8 @@ RANK = 256
 #: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases.
 MIN_COSINE = 0.3
 MIN_COSINE_PARAPHRASE = 0.6
-#: Items that are searched for in one pass; more are searched in blocks of as many.
-ITEMS_PER_BLOCK = 500
+#: Items, and words of their passages, that are searched for in one pass; more are searched in blocks. Bounds what is broadcast.
+ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 500, 100_000
 SEED = 20
 #: Corpus passages compared with the items' passages at once; bounds a worker's memory.
 AT_ONCE = 2048
@@ -253,7 +253,7 @@ def find_leaks(
     rank: int = RANK,
     paraphrase: bool = False,
 ) -> DataFrame:
-    """Documents that contain passages of items: key, item_key, cosine, longest_run, common_words, answered.
+    """Documents that contain passages of items: key, item_key, cosine, longest_run (24 at most), common_words, answered.
 
     A pair is found if the text has at least ``min_words`` (12 at most) words in a
     row of the item's passage; with ``paraphrase`` also if 16 of 24 words follow each
@@ -262,7 +262,8 @@ def find_leaks(
     nothing in the search for it; the search for paraphrases weighs all terms.
 
     The corpus stays where it is: items, their terms and the latent space are
-    broadcast, in blocks of ``ITEMS_PER_BLOCK`` items, and every corpus passage is
+    broadcast, in blocks of at most ``ITEMS_PER_BLOCK`` items and about
+    ``WORDS_PER_BLOCK`` words, and every corpus passage is
     held against them in its partition. Nothing is shuffled but one count for each
     term. Null and empty texts and passages match nothing, passages shorter than
     ``min_words`` match nothing; texts of any length are read whole; rows that
@@ -275,7 +276,7 @@ def find_leaks(
     docs = corpus.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     kind, item_kind = corpus.schema[key].dataType, items.schema[item_key].dataType.simpleString()
     wanted = items.select(F.col(item_key), F.col(passage), F.col(answer)).where(F.col(passage).isNotNull())
-    result = None
+    result, held = None, 0
     rows: list = []
 
     def search(rows: list) -> DataFrame:
@@ -295,10 +296,11 @@ def find_leaks(
 
     for r in wanted.toLocalIterator():
         rows.append(r)
-        if len(rows) == ITEMS_PER_BLOCK:
+        held += len(words(r[1]))
+        if len(rows) == ITEMS_PER_BLOCK or held >= WORDS_PER_BLOCK:
             found = search(rows)
             result = found if result is None else result.unionByName(found)
-            rows = []
+            rows, held = [], 0
     if rows or result is None:
         found = search(rows)
         result = found if result is None else result.unionByName(found)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helica.operators.drift import field_changes, member_changes, squeezed, version_order
 from helica.operators.joins import keyed_join
 from helica.operators.rejects import computed_once
+from helica.session import cut_lineage
 
 
 def value_sketches(variants: DataFrame, fields: DataFrame) -> DataFrame:
@@ -51,8 +52,9 @@ def dictionary_changes(files: DataFrame, fields: DataFrame, variants: DataFrame)
     cohort or sequence number have no file before them. Of two files with the
     same number the lower file_id comes first.
     """
-    order = version_order(files, "cohort_id", "file_seq", "file_id")
-    clean = clean_fields(fields)
+    # Both are small beside the variants and used on every side of the comparison: written once.
+    order = cut_lineage(version_order(files, "cohort_id", "file_seq", "file_id"))
+    clean = cut_lineage(clean_fields(fields))
     sketches = value_sketches(variants, clean)
     profiles = clean.join(sketches, ["file_id", "field_class", "field_id"], "left").select(
         F.col("file_id").alias("version"), F.col("field_class").alias("kind"), F.col("field_id").alias("name"), F.col("field_text").alias("text"), F.col("value_type").alias("type"), F.col("value_count").alias("count"), "sketch"
@@ -111,7 +113,7 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
     loaded row, rows without an id are left out; variants of files without samples
     or without a file keep one row with a null sample.
     """
-    named = canonical_fields(files, fields, changes)
+    named = cut_lineage(canonical_fields(files, fields, changes))
     formats = named.where(F.col("field_class") == "FORMAT").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("dict_pos", "canonical"))).alias("format_names"))
     infos = named.where((F.col("field_class") == "INFO") & (F.col("field_id") != F.col("canonical"))).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("field_id", "canonical"))).alias("info_names"))
     lists = sample_lists(files).join(files.select("file_id", "cohort_id").dropDuplicates(["file_id"]), "file_id")

@@ -134,10 +134,12 @@ def unify_variants(files: DataFrame, fields: DataFrame, variants: DataFrame, cha
         ),
     )
     cells = F.arrays_zip(F.split("genotypes_raw", "\t").alias("genotype"), F.col("samples").alias("sample"))
-    shared = computed_once(rows, places=places, info_values=info, cells=cells)
-    wide = shared.select("*", F.posexplode_outer("cells").alias("sample_no", "cell"))
-    values = F.transform(F.arrays_zip(F.col("places").alias("field"), F.split("cell.genotype", ":").alias("value")), lambda z: F.struct(z["field"].alias("field"), dot(z["value"]).alias("value")))
-    return wide.select("variant_id", "cohort_id", "file_id", "contig", "pos", "var_name", "ref_allele", F.split("alt_alleles", ",").alias("alt_alleles"), "qual", "filters", F.col("cell.sample").alias("sample_name"), F.filter(values, lambda v: v["field"].isNotNull()).alias("format_values"), "info_values")
+    shared = computed_once(rows, places=places, info_values=info, cells=cells).withColumn("all_known", ~F.exists("places", lambda p: p.isNull()))
+    wide = shared.select("*", F.explode_outer("cells").alias("cell"))
+    pairs = F.zip_with("places", F.split("cell.genotype", ":"), lambda p, v: F.struct(p.alias("field"), dot(v).alias("value")))
+    as_long = F.size(F.split("cell.genotype", ":")) <= F.size("places")
+    values = F.when(F.col("all_known") & as_long, pairs).otherwise(F.filter(pairs, lambda v: v["field"].isNotNull()))
+    return wide.select("variant_id", "cohort_id", "file_id", "contig", "pos", "var_name", "ref_allele", F.split("alt_alleles", ",").alias("alt_alleles"), "qual", "filters", F.col("cell.sample").alias("sample_name"), values.alias("format_values"), "info_values")
 
 
 def unified_types(files: DataFrame, fields: DataFrame, changes: DataFrame) -> DataFrame:

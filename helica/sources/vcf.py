@@ -88,6 +88,19 @@ def info_map(info: Column) -> Column:
     return F.map_from_entries(unique)
 
 
+def attribute(header: VcfHeader, name: str) -> Column:
+    """An INFO value typed as the header says: a flag as boolean, a field with Number 1 as one value, others as arrays; ``.`` is null."""
+    known = header.fields.get("INFO", {}).get(name)
+    if known is None:
+        raise ValueError(f"{name} is not in the header")
+    if known.get("Type") == "Flag" or known.get("Number") == "0":
+        return F.coalesce(F.map_contains_key("attributes", name), F.lit(False))
+    kind = {"Integer": "int", "Float": "double"}.get(known.get("Type", ""), "string")
+    values = F.try_element_at("attributes", F.lit(name))
+    typed = lambda v: F.when(v != ".", v).cast(kind)
+    return typed(F.get(values, F.lit(0))) if known.get("Number") == "1" else F.transform(values, typed)
+
+
 def parse_vcf(lines: DataFrame, header: VcfHeader, column: str = "value", mode: str = "FAILFAST") -> DataFrame:
     """Variants from lines of VCF text; lines with ``#`` and empty ones are left out.
 

@@ -165,3 +165,13 @@ def test_stringency_names(spark):
     assert parse_vcf(frame(spark, ["bad"]), HEADER, mode="LENIENT").count() == 0
     with pytest.raises(ValueError):
         parse_vcf(frame(spark), HEADER, mode="ANY")
+
+
+def test_typed_attributes(spark):
+    from helica.sources.vcf import attribute
+
+    df = parse_vcf(frame(spark), HEADER).select("start", *(attribute(HEADER, n).alias(n) for n in ("NS", "AF", "AA", "DB")))
+    rows = {r.start: (r.NS, r.AF, r.AA, r.DB) for r in df.collect()}
+    assert rows[14370] == (3, [0.5], None, True) and rows[1110696] == (2, [0.25, 0.75], "T", False) and rows[5] == (None, None, None, False)
+    with pytest.raises(ValueError):
+        attribute(HEADER, "XX")

@@ -122,7 +122,10 @@ def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True)
     a version meet in one hash aggregation on (version, kind, name), so a long
     history costs no join of versions with versions; only names on one side go on
     to the matching, which sees one version and kind at a time (a header's
-    fields, whose number has a bound).
+    fields, whose number has a bound). Null texts, types and counts are values of
+    their own, and no null or empty text equals another. Of equally good matchings
+    the one with the lower names is taken. Empty tables give no changes; other
+    columns are not read.
     """
     profile = F.struct("name", "text", "type", "count", "sketch").cast(PROFILE)
     later = order.where(F.col("previous").isNotNull())

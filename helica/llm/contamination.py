@@ -267,7 +267,8 @@ def find_leaks(
     held against them in its partition. Nothing is shuffled but one count for each
     term. Null and empty texts and passages match nothing, passages shorter than
     ``min_words`` match nothing; texts of any length are read whole; rows that
-    repeat come out for each repetition.
+    repeat come out for each repetition; an empty table on either side gives no row;
+    other columns are not read. Items with equal passages are all reported.
     """
     if not 1 <= min_words <= STRIDE:
         raise ValueError(f"min_words must be from 1 to {STRIDE}")

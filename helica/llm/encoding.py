@@ -257,7 +257,9 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     A pattern on the JVM side leaves the texts with any suspicious pair of
     characters; only those go to Python. Null and empty texts are never garbled;
     texts of any length are read whole; repeated rows come out repeated.
-    ``complete`` is false where characters were lost for good.
+    ``complete`` is false where characters were lost for good. Where two encodings
+    explain the same number of characters the first of ``CODECS`` is taken. An empty
+    table gives no row; other columns are not read.
     """
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,7 +30,7 @@ def encoder(path: str, pattern: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``key`` and ``n_tokens`` of the whole text; null and empty texts have none."""
+    """``key`` and ``n_tokens`` of the whole text, whatever its length; null and empty texts have 0. A row for each row; other columns are not read."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path, pattern).encode_ordinary
@@ -87,7 +87,10 @@ def pack(sizes: DataFrame, key: str, n_items: int, capacity: int = CAPACITY, per
     the ``n_items`` (the row count of the source, which costs less than ``sizes``); a group leaves a few containers partly open, so the unused room is about
     the same share at any scale. Within a group the largest items come first.
     Items without tokens take no room and stand in the first container of their
-    group. Repeated rows are items of their own. Containers are numbered by group.
+    group. Repeated rows are items of their own, a null size counts as 0, and a null
+    key is kept. Items of equal size come in the order of their keys as texts. An
+    empty table has no containers. Other columns are not read. Containers are
+    numbered by group.
     """
     groups = max(1, -(-n_items // per_group))
     keyed = sizes.select(F.col(key).cast("string").alias("k"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))

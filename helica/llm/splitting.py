@@ -131,7 +131,8 @@ def split_items(files: DataFrame, offsets: DataFrame, max_blocks: int = MAX_BLOC
     inside_block (the cut before the piece is inside a block), first_offset,
     last_offset, own_offset (first record that is not shared). A piece has at
     most ``granularity`` records. Files within the limit have no row; an empty
-    table gives an empty result; repeated and unordered rows change nothing.
+    table gives an empty result; repeated and unordered rows change nothing; other
+    columns are not read. Of two boundaries equally near a midpoint the lower is taken.
     """
     records = clean_records(files, offsets)
     blocks = numbered_blocks(records)

@@ -60,6 +60,8 @@ def count_terms(df: DataFrame, record: str, terms: Column, heavy_share: float =
     Null and empty term lists hold no term. Terms that are heavy are counted in
     arrays inside each partition and leave it as one row each, so they cannot
     overload a reducer; all others are folded for each batch and shuffled by term.
+    An empty table has no term. Terms may have any length. Only ``record`` and the
+    columns of ``terms`` are read, so others may have any name.
     """
     listed = df.select(F.col(record).alias("record"), F.coalesce(terms, F.array().cast("array<string>")).alias("terms")).where(F.size("terms") > 0)
     heavy = heavy_terms(listed.select("terms"), heavy_share)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +31,32 @@ def build_session(app: str = "helica", master: str | None = None, **conf: str) -
 
 
 def register_sources(spark: SparkSession) -> SparkSession:
-    """Register the Python data sources; safe to call again."""
+    """Register the Python data sources and ship the package; safe to call again."""
     from helica.sources import registry
 
+    ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in registry.SOURCES:
         spark.dataSource.register(source)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this session a copy of the package, once; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_helica_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="helica-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = Path(__file__).resolve().parent
+    archive = Path(folder) / "helica_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._helica_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 24, 12
 RANK = 256
 #: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases.
-MIN_COSINE = 0.3
+MIN_COSINE = 0.2
 MIN_COSINE_PARAPHRASE = 0.6
 #: Items, and words of their passages, that are searched for in one pass; more are searched in blocks. Bounds what is broadcast.
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 500, 100_000

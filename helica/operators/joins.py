@@ -42,6 +42,6 @@ def keyed_join(
     if is_bounded(small, max_rows, weight):
         return large.join(F.broadcast(small), keys, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hashed = [f.name for f in large.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = ["`" + f.name.replace("`", "``") + "`" for f in large.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = large.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -23,6 +23,7 @@ from helica.functions.quality import first_bad_quality, illumina_to_sanger, sang
 from helica.operators.shuffles import group_by_read_name, group_by_variant
 from helica.session import register_sources
 from helica.sources.bam_index import DEFAULT_GRANULARITY
+from helica.sources.files import is_remote, local
 from helica.sources.fragments import format_fastq, format_qseq, parse_qseq, read_fasta, read_fastq
 from helica.sources.merge import merge_reads, merge_variants
 from helica.sources.reads import load_reads, read_bam, write_reads
@@ -43,7 +44,9 @@ def work_folder(spark: SparkSession) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
+    if shared and is_remote(shared):
+        raise ValueError("files of reads and variants are written through a shared file system, not to a URI")
+    base = local(shared) if shared else tempfile.gettempdir()
     folder = os.path.join(base, f"helica-{uuid.uuid4().hex}")
     os.makedirs(folder)
     if not shared:

@@ -106,7 +106,7 @@ def test_units_by_values_and_statement(spark):
 
 
 def test_keyed_join_both_ways(spark):
-    large = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(300)], "k int, v int")
+    large = spark.createDataFrame([(i % 3 if i % 5 else None, i, i) for i in range(300)], "k int, v int, `a.b` int")
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, w string")
     for how in ("left", "inner"):
         want = sorted(map(str, large.join(small, ["k"], how).collect()))

@@ -77,6 +77,12 @@ def test_found_pairs_equal_brute_force(spark):
     assert all(r.longest_run >= 12 for r in got)
 
 
+def test_without_a_threshold_the_search_is_exact(spark):
+    docs, items = plant(11, 80, 12)
+    got = C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), min_cosine=-2, rank=4).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items = plant(4, 60, 9)
     monkeypatch.setattr(C, "ITEMS_PER_BLOCK", 4)

@@ -10,7 +10,15 @@ m AS (SELECT term AS index_term, occurrences, records, CASE WHEN records < 3 THE
       WHEN records * 20 > (SELECT count(DISTINCT fragment_id) FROM u) THEN 'common' END AS term_mark FROM c)
 """
 
+#: Words as in the operator: group 1 is a word, every other match is markup.
+_WORD = r"""\\(?:[a-z]*cite[a-z]*|ref|eqref|pageref|autoref|cref|label|bibitem)\*?\s*(?:\[[^\]]*\]\s*)*\{[^}]*\}|\\(?:begin|end)\s*\{[^}]*\}|\\[a-z]+\*?|([\p{L}\p{N}]+)"""
+
+_GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS s
+  FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM
+    (SELECT {id}, list_filter(regexp_extract_all(lower({text}), '{word}', 1), lambda x: x <> '') AS w FROM {table}))"""
+
 SQL = {
+    "p8_found": "WITH d AS (" + _GRAMS.format(id="doc_id", text="text", table="documents", word=_WORD) + "), e AS (" + _GRAMS.format(id="item_id", text="passage", table="eval_items", word=_WORD) + ") SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (s)",
     "p2_found": _P2 + "SELECT index_term, term_mark FROM m WHERE term_mark IS NOT NULL",
     "p2_terms": _P2 + "SELECT * FROM m",
     "p3_found": """

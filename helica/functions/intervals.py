@@ -66,8 +66,8 @@ def filter_by_intervals(df: DataFrame, intervals: list[Interval] | None, contig:
     """Rows that touch an interval; with ``unplaced`` also those without a contig. None keeps all rows.
 
     Few intervals are one predicate, which reaches the scan. Many are joined as a
-    table of bins of 16384 positions; a row meets an interval only in the first
-    bin they share, so it comes out once.
+    table of bins of 16384 positions. Either way a row comes out once, however many
+    intervals it touches, and equal rows as often as they stand in ``df``.
     """
     if intervals is None:
         return df
@@ -95,7 +95,7 @@ def interval_semi_join(df: DataFrame, intervals: DataFrame, contig: str, start:
     touch = lambda rows: (rows[contig] == sides["_contig"]) & (rows["_bin"] == sides["_bin"]) & (rows[start] <= sides["_stop"]) & (rows[end] >= sides["_start"])
     one = df.where(short).withColumn("_bin", F.floor(F.col(start) / BIN))
     near = one.join(sides, touch(one), "left_semi").drop("_bin")
-    # Rows over several bins are rare: they carry an id through the join and fold afterwards.
-    wide = df.where(~short).withColumn("_bin", bins(start, end))
-    far = wide.join(sides, touch(wide), "left_semi").drop("_bin").distinct()
+    # Rows over several bins are rare: they carry an id through the join and fold by it afterwards, so that equal rows stay repeated.
+    wide = df.where(~short).withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", bins(start, end))
+    far = wide.join(sides, touch(wide), "left_semi").drop("_bin").dropDuplicates(["_row"]).drop("_row")
     return near.unionByName(far)

@@ -69,6 +69,17 @@ def test_many_intervals_are_a_join_with_the_same_result(spark):
     assert filter_by_intervals(df, spans, unplaced=True).count() == len(want) + 1
 
 
+@pytest.mark.parametrize("n", [64, 65])
+def test_repeated_rows_over_a_bin_border_stay_repeated(spark, n):
+    b = 1 << 14
+    # The first two spans lie in the two bins of the same rows.
+    spans = [Interval("a", b - 5, b - 3), Interval("a", b + 3, b + 5), *(Interval("b", 10 * i, 10 * i + 5) for i in range(1, n - 1))]
+    rows = 3 * [("a", b - 10, b + 10)] + 2 * [("a", b - 4, b + 1)] + 2 * [("a", b - 1, b + 1)] + 2 * [("a", 1, 3 * b)] + 2 * [("a", b + 3, b + 4)]
+    df = spark.createDataFrame(rows, "contig string, start int, end int").repartition(3)
+    want = sorted(3 * [("a", b - 10, b + 10)] + 2 * [("a", b - 4, b + 1)] + 2 * [("a", 1, 3 * b)] + 2 * [("a", b + 3, b + 4)])
+    assert len(merge_intervals(spans)) == n and sorted(map(tuple, filter_by_intervals(df, spans).collect())) == want
+
+
 def test_virtual_offsets(spark):
     df = spark.createDataFrame([(5, 9), (2**40, 65535)], "b long, i int")
     v = df.select(offsets.pack(F.col("b"), F.col("i")).alias("v"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 24, 12
 RANK = 256
-#: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases.
+#: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases, each in a search of its own.
 MIN_COSINE = 0.2
 MIN_COSINE_PARAPHRASE = 0.6
 #: Items, and words of their passages, that are searched for in one pass; more are searched in blocks. Bounds what is broadcast.
@@ -178,20 +178,21 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
-def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray, owner: np.ndarray, answers: list[str], space: np.ndarray, idf: np.ndarray, min_words: int, min_cosine: float, paraphrase: bool) -> Iterator[pd.DataFrame]:
-    """Candidates by latent cosine in blocks of passages, then the words of each pair."""
+def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray, owner: np.ndarray, answers: list[str], space: np.ndarray, idf: np.ndarray, min_words: int, min_cosine: float, min_cosine_paraphrase: float | None) -> Iterator[pd.DataFrame]:
+    """Candidates by latent cosine in blocks of passages, then the words of each pair; paraphrases only with a cosine for them."""
     latent_items = vectors(item_rows, idf) @ space
     latent_items = (latent_items / np.maximum(np.linalg.norm(latent_items, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     weighted = (space * idf[:, None]).astype(np.float32)
-    least = min_words if not paraphrase else min_words // 2
+    paraphrase = min_cosine_paraphrase is not None
 
-    def compare(rows: np.ndarray, of: np.ndarray) -> pd.DataFrame:
+    def compare(rows: np.ndarray, shown: np.ndarray, of: np.ndarray, limit: float, least: int) -> pd.DataFrame:
+        """Pairs of ``rows`` from a cosine of ``limit`` on with ``least`` words in common; ``shown`` are the same passages with all known words."""
         latent = np.zeros((len(rows), weighted.shape[1]), np.float32)
         for j in range(rows.shape[1]):
             latent += weighted[rows[:, j]]
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         cosine = latent @ latent_items.T
-        i, p = np.nonzero(cosine >= min_cosine)
+        i, p = np.nonzero(cosine >= limit)
         found = []
         for k in range(0, len(i), 4096):
             a, b = rows[i[k : k + 4096]], item_rows[p[k : k + 4096]]
@@ -200,30 +201,33 @@ def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray,
             if not len(a):
                 continue
             run = equal_runs(a, b)
-            lcs = common_subsequence(a, b) if paraphrase else run
+            lcs = common_subsequence(shown[ii], b) if paraphrase else run
             found.append(pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs}))
         return pd.concat(found) if found else pd.DataFrame({"at": [], "item": [], "cosine": [], "run": [], "lcs": []})
 
+    # Words in a row are searched for the same way with and without paraphrases, which are a search of their own.
+    searches = [(min_words, min_cosine, min_words)] + ([(1, min_cosine_paraphrase, min_words // 2)] if paraphrase else [])
     for batch in batches:
-        keys, rows, of, texts, held = list(batch["k"]), [], [], {}, 0
-        hits = []
+        keys, texts, hits = list(batch["k"]), {}, []
+        held: list[list] = [[] for _ in searches]
         for n, t in enumerate(batch["t"]):
             w = words(t)
-            ids = only_runs(np.fromiter((known.get(x, 0) for x in w), np.int64, len(w)), 1 if paraphrase else min_words)
-            mine = passages(ids)
-            mine = mine[(mine > 0).sum(axis=1) >= least]
-            if not len(mine):
-                continue
-            if paraphrase:
-                texts[n] = " " + " ".join(w) + " "
-            rows.append(mine)
-            of.append(np.full(len(mine), n))
-            held += len(mine)
-            if held >= AT_ONCE:
-                hits += _in_blocks(compare, rows, of)
-                rows, of, held = [], [], 0
-        hits += _in_blocks(compare, rows, of)
-        out = pd.concat(hits) if hits else compare(np.empty((0, WINDOW), np.int64), np.empty(0, np.int64))
+            ids = np.fromiter((known.get(x, 0) for x in w), np.int64, len(w))
+            for (run, limit, least), blocks in zip(searches, held):
+                mine = passages(only_runs(ids, run))
+                enough = (mine > 0).sum(axis=1) >= least
+                if not enough.any():
+                    continue
+                if paraphrase:
+                    texts[n] = " " + " ".join(w) + " "
+                blocks.append((mine[enough], passages(ids)[enough] if run > 1 and paraphrase else mine[enough], np.full(enough.sum(), n)))
+                if sum(len(b[0]) for b in blocks) >= AT_ONCE:
+                    hits += _in_blocks(compare, blocks, limit, least)
+                    blocks.clear()
+        for (_, limit, least), blocks in zip(searches, held):
+            hits += _in_blocks(compare, blocks, limit, least)
+        none = np.empty((0, WINDOW), np.int64)
+        out = pd.concat(hits) if hits else compare(none, none, np.empty(0, np.int64), min_cosine, min_words)
         best = out.groupby(["at", "item"], as_index=False).max()
         answered = [f" {answers[int(i)]} " in texts.get(int(a), "") if answers[int(i)] else False for a, i in zip(best["at"], best["item"])]
         best["answered"] = np.array(answered, bool)
@@ -233,11 +237,11 @@ def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray,
         yield pd.DataFrame({"k": pd.Series([keys[int(a)] for a in best["at"]], dtype=object), "item": best["item"].to_numpy(np.int64), "cosine": best["cosine"].to_numpy(float), "run": best["run"].to_numpy(np.int64), "lcs": best["lcs"].to_numpy(np.int64), "answered": best["answered"].to_numpy(bool)})
 
 
-def _in_blocks(compare, rows: list[np.ndarray], of: list[np.ndarray]) -> list[pd.DataFrame]:
-    if not rows:
+def _in_blocks(compare, blocks: list[tuple], limit: float, least: int) -> list[pd.DataFrame]:
+    if not blocks:
         return []
-    all_rows, all_of = np.concatenate(rows), np.concatenate(of)
-    return [compare(all_rows[k : k + AT_ONCE], all_of[k : k + AT_ONCE]) for k in range(0, len(all_rows), AT_ONCE)]
+    rows, shown, of = map(np.concatenate, zip(*blocks))
+    return [compare(rows[k : k + AT_ONCE], shown[k : k + AT_ONCE], of[k : k + AT_ONCE], limit, least) for k in range(0, len(rows), AT_ONCE)]
 
 
 def find_leaks(
@@ -259,7 +263,8 @@ def find_leaks(
     row of the item's passage; with ``paraphrase`` also if 16 of 24 words follow each
     other in the same order and the text has the item's answer. Words outside runs of
     ``min_words`` terms of the items cannot be part of such a passage and weigh
-    nothing in the search for it; the search for paraphrases weighs all terms.
+    nothing in the search for it; the search for paraphrases is a second one, which
+    weighs all terms. ``min_cosine`` holds for both.
 
     The corpus stays where it is: items, their terms and the latent space are
     broadcast, in blocks of at most ``ITEMS_PER_BLOCK`` items and about
@@ -273,7 +278,8 @@ def find_leaks(
     if not 1 <= min_words <= STRIDE:
         raise ValueError(f"min_words must be from 1 to {STRIDE}")
     spark = corpus.sparkSession
-    cosine = min_cosine if min_cosine is not None else (MIN_COSINE_PARAPHRASE if paraphrase else MIN_COSINE)
+    cosine = min_cosine if min_cosine is not None else MIN_COSINE
+    loose = None if not paraphrase else min_cosine if min_cosine is not None else MIN_COSINE_PARAPHRASE
     docs = corpus.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     kind, item_kind = corpus.schema[key].dataType, items.schema[item_key].dataType.simpleString()
     wanted = items.select(F.col(item_key), F.col(passage), F.col(answer)).where(F.col(passage).isNotNull())
@@ -290,7 +296,7 @@ def find_leaks(
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             terms, windows, owner, answers, space, idf = shared.value
-            return _search(batches, terms, windows, owner, answers, space, idf, min_words, cosine, paraphrase)
+            return _search(batches, terms, windows, owner, answers, space, idf, min_words, cosine, loose)
 
         hits = docs.mapInPandas(run, "k string, item long, cosine double, run long, lcs long, answered boolean")
         return hits.join(F.broadcast(keys), "item").select(F.col("k").cast(kind).alias(key), item_key, "cosine", F.col("run").alias("longest_run"), F.col("lcs").alias("common_words"), "answered")

@@ -102,6 +102,20 @@ def test_paraphrases_need_order_and_answer(spark):
     assert C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).count() == 1
 
 
+def test_paraphrases_come_besides_all_verbatim_leaks(spark):
+    """Twelve words of an item amid twelve heavier words of other items, which weigh in the search for paraphrases only."""
+    passage = VOCABULARY[:24]
+    others = [f"rare{i}" for i in range(600)]
+    items = [(1, "s", " ".join(passage), "no", 1)] + [(2 + i, "s", " ".join(others[30 * i : 30 * i + 30]), "no", 1) for i in range(20)]
+    # Every item word of the text stands beside words of no item, but the run.
+    around = [w for i in range(300) for w in (others[37 * i % 600], f"x{i}")]
+    docs = [(1, " ".join(around[:300] + passage[6:18] + ["x"] + around[300:]), None, None)] + [(i, " ".join(passage), None, None) for i in range(2, 40)]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    exact = {(r.doc_id, r.item_id) for r in C.find_leaks(d, i).collect()}
+    assert (1, 1) in exact and len(exact) == 39
+    assert exact == {(r.doc_id, r.item_id) for r in C.find_leaks(d, i, paraphrase=True).collect()}
+
+
 def test_nulls_empty_and_long_texts(spark):
     p = " ".join(VOCABULARY[:40])
     docs = [(None, p, None, None), (1, None, None, None), (2, "", None, None), (2**60 + 1, "x " * 300_000 + p, None, None), (2**60 + 1, "x " * 300_000 + p, None, None)]

@@ -22,7 +22,9 @@ WINDOW, STRIDE = 24, 12
 RANK = 256
 #: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases, each in a search of its own.
 MIN_COSINE = 0.2
-MIN_COSINE_PARAPHRASE = 0.6
+MIN_COSINE_PARAPHRASE = 0.3
+#: Words of ``WINDOW`` that a paraphrase has in common with its item, in the same order.
+ALIKE = (2 * WINDOW) // 3
 #: Items, and words of their passages, that are searched for in one pass; more are searched in blocks. Bounds what is broadcast.
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 500, 100_000
 SEED = 20
@@ -51,6 +53,12 @@ def passages(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([ids, np.zeros(WINDOW, ids.dtype)])[at[:, None] + np.arange(WINDOW)]
 
 
+def regions(ids: np.ndarray) -> np.ndarray:
+    """The passages of a text with the ``STRIDE`` words before and after each."""
+    at = starts(len(ids))
+    return np.concatenate([np.zeros(STRIDE, ids.dtype), ids, np.zeros(WINDOW + STRIDE, ids.dtype)])[at[:, None] + np.arange(WINDOW + 2 * STRIDE)]
+
+
 def only_runs(ids: np.ndarray, length: int) -> np.ndarray:
     """Term numbers with all 0 that do not lie in ``length`` known terms in a row."""
     if length <= 1 or not len(ids):
@@ -178,70 +186,132 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
-def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray, owner: np.ndarray, answers: list[str], space: np.ndarray, idf: np.ndarray, min_words: int, min_cosine: float, min_cosine_paraphrase: float | None) -> Iterator[pd.DataFrame]:
+def common_anywhere(a: np.ndarray, b: np.ndarray, enough: int = ALIKE) -> np.ndarray:
+    """For each pair of regions, the longest common subsequence of a stretch of ``WINDOW`` words each.
+
+    The middles count first; only where they have less than ``enough`` are all other
+    stretches tried, until one has. So whether there is enough does not depend on
+    where in the texts the passages start.
+    """
+    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
+    bits = np.zeros((*a.shape, 8), np.uint8)
+    bits[:, :, : b.shape[1] // 8] = np.packbits(same, axis=2, bitorder="little")
+    equal = bits.view(np.uint64)[:, :, 0]  # for each word of a, a bit for each word of b
+
+    def common(rows: np.ndarray, i: int, j: int, n_a: int, n_b: int) -> np.ndarray:
+        """Common subsequences of ``n_a`` words from ``i`` on with ``n_b`` words from ``j`` on, bit by bit at once."""
+        open_, inside = np.full(len(rows), ~np.uint64(0)), np.uint64((1 << n_b) - 1)
+        for k in range(i, i + n_a):
+            taken = open_ & (equal[rows, k] >> np.uint64(j)) & inside
+            open_ = (open_ + taken) | (open_ & ~taken)
+        return n_b - np.bitwise_count(open_ & inside).astype(np.int64)
+
+    best = common(np.arange(len(a)), STRIDE, STRIDE, WINDOW, WINDOW)
+    left = np.flatnonzero(best < enough)
+    left = left[common(left, 0, 0, a.shape[1], b.shape[1]) >= enough]
+    for i in range(a.shape[1] - WINDOW + 1):
+        near = left[common(left, i, 0, WINDOW, b.shape[1]) >= enough]
+        for j in range(b.shape[1] - WINDOW + 1):
+            if not len(near):
+                break
+            best[near] = np.maximum(best[near], common(near, i, j, WINDOW, WINDOW))
+            near = near[best[near] < enough]
+        left = left[best[left] < enough]
+        if not len(left):
+            break
+    return best
+
+
+def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray, item_regions: np.ndarray, owner: np.ndarray, answers: list[str], space: np.ndarray, idf: np.ndarray, min_words: int, min_cosine: float, min_cosine_paraphrase: float | None) -> Iterator[pd.DataFrame]:
     """Candidates by latent cosine in blocks of passages, then the words of each pair; paraphrases only with a cosine for them."""
     latent_items = vectors(item_rows, idf) @ space
     latent_items = (latent_items / np.maximum(np.linalg.norm(latent_items, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     weighted = (space * idf[:, None]).astype(np.float32)
     paraphrase = min_cosine_paraphrase is not None
+    if paraphrase:
+        holds = np.zeros((len(idf), len(answers)), np.int8)
+        holds[item_rows, owner[:, None]] = 1
+        holds[0] = 0
 
-    def compare(rows: np.ndarray, shown: np.ndarray, of: np.ndarray, limit: float, least: int) -> pd.DataFrame:
-        """Pairs of ``rows`` from a cosine of ``limit`` on with ``least`` words in common; ``shown`` are the same passages with all known words."""
+    def near(rows: np.ndarray, limit: float) -> np.ndarray:
         latent = np.zeros((len(rows), weighted.shape[1]), np.float32)
         for j in range(rows.shape[1]):
             latent += weighted[rows[:, j]]
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         cosine = latent @ latent_items.T
-        i, p = np.nonzero(cosine >= limit)
-        found = []
+        cosine[cosine < limit] = -9
+        return cosine
+
+    def verbatim(rows: np.ndarray, shown: np.ndarray, of: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of passages with words in a row; ``shown`` are the regions of ``rows`` with all known words."""
+        cosine = near(rows, min_cosine)
+        i, p = np.nonzero(cosine > -9)
         for k in range(0, len(i), 4096):
             a, b = rows[i[k : k + 4096]], item_rows[p[k : k + 4096]]
-            shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(axis=2).sum(axis=1) >= least
+            shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(axis=2).sum(axis=1) >= min_words
             a, b, ii, pp = a[shared], b[shared], i[k : k + 4096][shared], p[k : k + 4096][shared]
             if not len(a):
                 continue
             run = equal_runs(a, b)
-            lcs = common_subsequence(shown[ii], b) if paraphrase else run
-            found.append(pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs}))
-        return pd.concat(found) if found else pd.DataFrame({"at": [], "item": [], "cosine": [], "run": [], "lcs": []})
+            lcs = common_subsequence(shown[ii, STRIDE : STRIDE + WINDOW], b) if paraphrase else run
+            yield pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs})
+
+    def alike(rows: np.ndarray, shown: np.ndarray, of: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of passages with words in the same order, there or up to ``STRIDE`` words beside, of texts with the answer."""
+        cosine = near(rows, min_cosine_paraphrase)
+        # A stretch of WINDOW words has all but WINDOW / 4 of them in one of the passages, so many of its common words are there.
+        common = np.zeros((len(rows), len(answers)), np.int8)
+        for j in range(rows.shape[1]):
+            common += holds[rows[:, j]]
+        cosine[common[:, owner] < ALIKE - WINDOW // 4] = -9
+        i, p = np.nonzero(cosine > -9)
+        has = np.array([answered(n, x) for n, x in zip(of[i].tolist(), owner[p].tolist())], bool)
+        i, p = i[has], p[has]
+        for k in range(0, len(i), 4096):
+            ii, pp = i[k : k + 4096], p[k : k + 4096]
+            lcs = common_anywhere(shown[ii], item_regions[pp])
+            ii, pp, lcs = ii[lcs >= ALIKE], pp[lcs >= ALIKE], lcs[lcs >= ALIKE]
+            run = equal_runs(rows[ii], item_rows[pp])
+            yield pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs})
+
+    def answered(n: int, item: int) -> bool:
+        if (n, item) not in asked:
+            asked[n, item] = bool(answers[item]) and f" {answers[item]} " in texts[n]
+        return asked[n, item]
 
     # Words in a row are searched for the same way with and without paraphrases, which are a search of their own.
-    searches = [(min_words, min_cosine, min_words)] + ([(1, min_cosine_paraphrase, min_words // 2)] if paraphrase else [])
+    searches = [(verbatim, min_words, min_words)] + ([(alike, 1, ALIKE - WINDOW // 4)] if paraphrase else [])
     for batch in batches:
-        keys, texts, hits = list(batch["k"]), {}, []
+        keys, texts, asked, hits = list(batch["k"]), {}, {}, []
         held: list[list] = [[] for _ in searches]
         for n, t in enumerate(batch["t"]):
             w = words(t)
             ids = np.fromiter((known.get(x, 0) for x in w), np.int64, len(w))
-            for (run, limit, least), blocks in zip(searches, held):
+            for (search, run, least), blocks in zip(searches, held):
                 mine = passages(only_runs(ids, run))
                 enough = (mine > 0).sum(axis=1) >= least
                 if not enough.any():
                     continue
                 if paraphrase:
                     texts[n] = " " + " ".join(w) + " "
-                blocks.append((mine[enough], passages(ids)[enough] if run > 1 and paraphrase else mine[enough], np.full(enough.sum(), n)))
+                blocks.append((mine[enough], regions(ids)[enough] if paraphrase else mine[enough], np.full(enough.sum(), n)))
                 if sum(len(b[0]) for b in blocks) >= AT_ONCE:
-                    hits += _in_blocks(compare, blocks, limit, least)
+                    hits += _in_blocks(search, blocks)
                     blocks.clear()
-        for (_, limit, least), blocks in zip(searches, held):
-            hits += _in_blocks(compare, blocks, limit, least)
-        none = np.empty((0, WINDOW), np.int64)
-        out = pd.concat(hits) if hits else compare(none, none, np.empty(0, np.int64), min_cosine, min_words)
+        for (search, *_), blocks in zip(searches, held):
+            hits += _in_blocks(search, blocks)
+        out = pd.concat(hits) if hits else pd.DataFrame({"at": [], "item": [], "cosine": [], "run": [], "lcs": []})
         best = out.groupby(["at", "item"], as_index=False).max()
-        answered = [f" {answers[int(i)]} " in texts.get(int(a), "") if answers[int(i)] else False for a, i in zip(best["at"], best["item"])]
-        best["answered"] = np.array(answered, bool)
-        verbatim = best["run"] >= min_words
-        keep = verbatim if not paraphrase else verbatim | ((best["lcs"] >= (2 * WINDOW) // 3) & best["answered"])
-        best = best[keep]
+        best["answered"] = np.array([paraphrase and answered(int(a), int(i)) for a, i in zip(best["at"], best["item"])], bool)
+        best = best[(best["run"] >= min_words) | ((best["lcs"] >= ALIKE) & best["answered"])] if paraphrase else best[best["run"] >= min_words]
         yield pd.DataFrame({"k": pd.Series([keys[int(a)] for a in best["at"]], dtype=object), "item": best["item"].to_numpy(np.int64), "cosine": best["cosine"].to_numpy(float), "run": best["run"].to_numpy(np.int64), "lcs": best["lcs"].to_numpy(np.int64), "answered": best["answered"].to_numpy(bool)})
 
 
-def _in_blocks(compare, blocks: list[tuple], limit: float, least: int) -> list[pd.DataFrame]:
+def _in_blocks(search, blocks: list[tuple]) -> list[pd.DataFrame]:
     if not blocks:
         return []
     rows, shown, of = map(np.concatenate, zip(*blocks))
-    return [compare(rows[k : k + AT_ONCE], shown[k : k + AT_ONCE], of[k : k + AT_ONCE], limit, least) for k in range(0, len(rows), AT_ONCE)]
+    return [found for k in range(0, len(rows), AT_ONCE) for found in search(rows[k : k + AT_ONCE], shown[k : k + AT_ONCE], of[k : k + AT_ONCE])]
 
 
 def find_leaks(
@@ -261,7 +331,8 @@ def find_leaks(
 
     A pair is found if the text has at least ``min_words`` (12 at most) words in a
     row of the item's passage; with ``paraphrase`` also if 16 of 24 words follow each
-    other in the same order and the text has the item's answer. Words outside runs of
+    other in the same order, wherever the 24 words start in either, and the text has
+    the item's answer. Words outside runs of
     ``min_words`` terms of the items cannot be part of such a passage and weigh
     nothing in the search for it; the search for paraphrases is a second one, which
     weighs all terms. ``min_cosine`` holds for both.
@@ -291,12 +362,13 @@ def find_leaks(
         windows, owner = block.windows
         idf = term_weights(docs, block)
         space = latent_space(spark, windows, idf, rank)
-        shared = spark.sparkContext.broadcast((block.terms, windows, owner, block.answers, space, idf))
+        around = np.concatenate([regions(i) for i in block.ids]) if paraphrase and len(windows) else windows
+        shared = spark.sparkContext.broadcast((block.terms, windows, around, owner, block.answers, space, idf))
         keys = spark.createDataFrame([(i, k) for i, k in enumerate(block.keys)], f"item long, `{item_key}` {item_kind}")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            terms, windows, owner, answers, space, idf = shared.value
-            return _search(batches, terms, windows, owner, answers, space, idf, min_words, cosine, loose)
+            terms, windows, around, owner, answers, space, idf = shared.value
+            return _search(batches, terms, windows, around, owner, answers, space, idf, min_words, cosine, loose)
 
         hits = docs.mapInPandas(run, "k string, item long, cosine double, run long, lcs long, answered boolean")
         return hits.join(F.broadcast(keys), "item").select(F.col("k").cast(kind).alias(key), item_key, "cosine", F.col("run").alias("longest_run"), F.col("lcs").alias("common_words"), "answered")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helica.llm import contamination as C
@@ -116,6 +116,29 @@ def test_paraphrases_come_besides_all_verbatim_leaks(spark):
     assert exact == {(r.doc_id, r.item_id) for r in C.find_leaks(d, i, paraphrase=True).collect()}
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=48, max_size=48), st.lists(st.integers(0, 3), min_size=48, max_size=48), st.integers(8, 24))
+def test_stretches_of_regions_equal_slow_ones(a, b, enough):
+    x, y = np.array([a]), np.array([b])
+    slow = max(C.common_subsequence(x[:, i : i + 24], y[:, j : j + 24])[0] for i in range(25) for j in range(25))
+    got = C.common_anywhere(x, y, enough)[0]
+    assert (got >= enough) == (slow >= enough) and got <= slow
+
+
+def test_paraphrases_do_not_depend_on_their_place(spark):
+    """Every offset of the text against the passages of it and of the item."""
+    dice = random.Random(8)
+    passage = dice.sample(VOCABULARY, 60)
+    changed = [f"new{i}" if i % 5 == 4 else w for i, w in enumerate(passage)]
+    third = [f"new{i}" if i % 3 == 2 else w for i, w in enumerate(passage[18:42])]
+    filler = [f"f{i}" for i in range(112)]
+    docs = [(100 * k + n, " ".join(filler[:n] + text + ["fortytwo"] + filler), None, None) for k, text in enumerate((changed, third)) for n in range(100, 112)]
+    items = [(7, "s", " ".join(passage), "fortytwo", 1)] + [(8 + i, "s", " ".join(dice.sample(VOCABULARY, 60)), "no", 1) for i in range(5)]
+    got = C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), paraphrase=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.answered) for r in got) == sorted((d[0], 7, True) for d in docs)
+    assert all(r.common_words >= 16 for r in got)
+
+
 def test_nulls_empty_and_long_texts(spark):
     p = " ".join(VOCABULARY[:40])
     docs = [(None, p, None, None), (1, None, None, None), (2, "", None, None), (2**60 + 1, "x " * 300_000 + p, None, None), (2**60 + 1, "x " * 300_000 + p, None, None)]

@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helica.functions.quality import sanger_to_illumina
+from helica.operators.joins import keyed_join
+from helica.operators.rejects import computed_once
 
-#: The identifier of sequencer software from 1.8 on; a fixed format.
-RUN_ID = r"^([^:]+):(\d+):([^:]*):(\d+):(\d+):(-?\d+):(-?\d+)\s+([123]):([YN]):(\d+):(.*)\z"
+#: The identifier of sequencer software from 1.8 on: seven fields, blanks, four fields; those with a rule below have to follow it.
 RUN_ID_PARTS = (("instrument", "string"), ("run_number", "int"), ("flowcell_id", "string"), ("lane", "int"), ("tile", "int"), ("xpos", "int"), ("ypos", "int"), ("read", "int"), ("filter_passed", "boolean"), ("control_number", "int"), ("index_sequence", "string"))
+SIGNED = ("xpos", "ypos")
+
+
+def run_id_fields(name: Column) -> Column:
+    """The eleven fields of an identifier as texts, null where a name has another number of them; the last may hold anything."""
+    sides = F.split(name, r"\s+", 2)
+    fields = F.concat(F.split(F.get(sides, F.lit(0)), ":"), F.split(F.get(sides, F.lit(1)), ":", 4))
+    return F.when(F.size(fields) == len(RUN_ID_PARTS), fields)
 
 
-def parse_run_id(name: Column, use: Column | None = None) -> dict[str, Column]:
+def parse_run_id(name: Column, use: Column | None = None, fields: Column | None = None) -> dict[str, Column]:
     """The eleven parts of an identifier; null where it has another form or ``use`` is false.
 
     ``N`` (not filtered) means passed. Flowcell and index may be empty texts. A name
     of another form gives its read number alone, from ``/<digit>`` at the end.
+    ``fields`` are the name's ``run_id_fields``, if they are at hand.
     """
-    known = name.rlike(RUN_ID) if use is None else name.rlike(RUN_ID) & use
-    parts = {}
-    for i, (part, kind) in enumerate(RUN_ID_PARTS, 1):
-        text = F.regexp_extract(name, RUN_ID, i)
-        parts[part] = F.when(known, text == "N" if part == "filter_passed" else text.cast(kind))
-    plain = F.nullif(F.regexp_extract(name, r"/([0-9])\z", 1), F.lit("")).cast("int")
-    parts["read"] = F.when(known, F.regexp_extract(name, RUN_ID, 8).cast("int")).otherwise(plain)
+    fields = run_id_fields(name) if fields is None else fields
+    at = {part: F.get(fields, F.lit(i)) for i, (part, _) in enumerate(RUN_ID_PARTS)}
+
+    def number(part: str) -> Column:
+        digits = at[part]
+        if part in SIGNED:
+            digits = F.when(digits.startswith("-"), F.substring(digits, F.lit(2), F.length(digits))).otherwise(digits)
+        return (F.length(digits) > 0) & (F.translate(digits, "0123456789", "") == "") & at[part].try_cast("int").isNotNull()
+
+    rules = [F.size(fields) == len(RUN_ID_PARTS), at["instrument"] != "", at["read"].isin("1", "2", "3"), at["filter_passed"].isin("Y", "N")]
+    known = reduce(lambda a, b: a & b, [*rules, *(number(p) for p, kind in RUN_ID_PARTS if kind == "int")])
+    known = F.coalesce(known if use is None else known & use, F.lit(False))
+    parts = {p: F.when(known, at[p] == "N" if kind == "boolean" else at[p].try_cast(kind)) for p, kind in RUN_ID_PARTS}
+    last = F.right(name, F.lit(2))
+    plain = F.when((F.length(last) == 2) & (F.translate(last, "0123456789", "") == "/") & last.startswith("/"), F.right(name, F.lit(1)).try_cast("int"))
+    parts["read"] = F.when(known, at["read"].try_cast("int")).otherwise(plain)
     return parts
 
 
@@ -36,13 +57,15 @@ def with_run_id(df: DataFrame, name: str = "key", sticky: bool = False, file: st
     aggregate for each file, so no file is put in order.
     """
     use = None
+    df = computed_once(df, _id=run_id_fields(F.col(name)))
     if sticky:
         if not file or not order:
             raise ValueError("sticky needs the columns of file and order")
-        first = df.where(~F.col(name).rlike(RUN_ID)).groupBy(file).agg(F.min(order).alias("_first_other"))
-        df = df.join(first, file, "left")
+        other = parse_run_id(F.col(name), None, F.col("_id"))["filter_passed"].isNull() & F.col(name).isNotNull()
+        first = df.where(other).groupBy(file).agg(F.min(order).alias("_first_other"))
+        df = keyed_join(df, first, [file], "left")
         use = F.col("_first_other").isNull() | (F.col(order) < F.col("_first_other"))
-    return df.withColumns(parse_run_id(F.col(name), use)).drop("_first_other")
+    return df.withColumns(parse_run_id(F.col(name), use, F.col("_id"))).drop("_first_other", "_id")
 
 
 def _text(c: Column, default: str = "") -> Column:

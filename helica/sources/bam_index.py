@@ -170,7 +170,7 @@ class LinearIndex:
             bins, linear = self.refs[ref]
             window = (start - 1) >> WINDOW_SHIFT
             low = linear[min(window, len(linear) - 1)] if linear else 0
-            found += [(a, b) for n in bins_of(start - 1, stop) for a, b in bins.get(n, ()) if b > low]
+            found += [(max(a, low), b) for n in bins_of(start - 1, stop) for a, b in bins.get(n, ()) if b > low]
         if unplaced:
             found.append((max((b for bins, _ in self.refs for n, c in bins.items() if n < 37450 for _, b in c), default=0), 1 << 63))
         merged: list[tuple[int, int]] = []

@@ -8,11 +8,11 @@ from helica.sources.fragments import format_fastq, format_qseq, parse_qseq, read
 from helica.sources.cram import container_splits
 from helica.sources import bgzf
 
-ILLUMINA = "EAS139:136:FC706VJ:2:5:1000:12850 1:Y:18:ATCACG"
+ILLUMINA = "M01:7:KXB9:3:12:640:9981 2:Y:4:GGTCA"
 RECORDS = [
-    ("ERR020229.10880 HWI-ST168_161:1:1:1373:2042/1", "TTGGATGATAGGG", "@#%#%#######/"),
-    (ILLUMINA, "TTGGATGATAGGG", "IIIIIIIIIIIII"),
-    ("EAS139:136::2:5:-1000:-12850 2:N:0:", "ACGTN", "IIII@"),
+    ("plain name 77/2", "GATTACAN", "@+:;<=>?"),
+    (ILLUMINA, "CCGTA", "FFFFF"),
+    ("Q9:41::6:30:-12:-305 3:N:0:", "NACGTT", "HHHH@+"),
 ]
 
 
@@ -23,15 +23,25 @@ def write(path, records):
 
 def test_fastq_ids(spark, tmp_path):
     a, b, c = read_fastq(spark, write(tmp_path / "x.fq", RECORDS)).collect()
-    assert a.read == 1 and a.instrument is None and a.filter_passed is None
-    assert (b.instrument, b.run_number, b.flowcell_id, b.lane, b.tile, b.xpos, b.ypos, b.read, b.filter_passed, b.control_number, b.index_sequence) == ("EAS139", 136, "FC706VJ", 2, 5, 1000, 12850, 1, False, 18, "ATCACG")
-    assert (c.flowcell_id, c.xpos, c.ypos, c.index_sequence, c.filter_passed) == ("", -1000, -12850, "", True)
+    assert a.read == 2 and a.instrument is None and a.filter_passed is None
+    assert (b.instrument, b.run_number, b.flowcell_id, b.lane, b.tile, b.xpos, b.ypos, b.read, b.filter_passed, b.control_number, b.index_sequence) == ("M01", 7, "KXB9", 3, 12, 640, 9981, 2, False, 4, "GGTCA")
+    assert (c.flowcell_id, c.xpos, c.ypos, c.read, c.index_sequence, c.filter_passed) == ("", -12, -305, 3, "", True)
+
+
+def test_names_of_almost_the_right_form(spark):
+    from helica.functions.names import parse_run_id
+
+    names = ["M01:7:K:3:12:640:9981 2:Y:4:A:B+C", "M01:7:K:3:12:640:9981\t 2:N:4:", ":7:K:3:12:640:9981 2:Y:4:A", "M01:-7:K:3:12:640:9981 2:Y:4:A", "M01:7:K:3:12:640 2:Y:4:A", "M01:7:K:3:12:640:9981 4:Y:4:A", "M01:7:K:3:12:640:9981 2:X:4:A", "M01:7:K:3:12:640:9981 2:Y:4", "M01:99999999999:K:3:12:640:9981 2:Y:4:A", None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = df.select(*(c.alias(n) for n, c in parse_run_id(F.col("name")).items())).collect()
+    assert [r.index_sequence for r in rows] == ["A:B+C", ""] + [None] * 9
+    assert [r.lane for r in rows] == [3, 3] + [None] * 9 and rows[1].filter_passed is True
 
 
 def test_sticky_ids_stop_at_the_first_other_name(spark, tmp_path):
     path = write(tmp_path / "x.fq", [RECORDS[1], RECORDS[0], RECORDS[2]])
     rows = {r.key: r for r in read_fastq(spark, path, sticky=True).collect()}
-    assert rows[ILLUMINA].lane == 2 and rows[RECORDS[0][0]].read == 1 and rows[RECORDS[2][0]].lane is None
+    assert rows[ILLUMINA].lane == 3 and rows[RECORDS[0][0]].read == 2 and rows[RECORDS[2][0]].lane is None
 
 
 def test_failed_reads_go_before_qualities_are_checked(spark, tmp_path):
@@ -71,23 +81,23 @@ def test_fastq_writing(spark, tmp_path):
     assert sorted(map(tuple, read_fastq(spark, str(tmp_path / "out")).select("key", "sequence", "quality").collect())) == sorted(RECORDS)
     bare = spark.createDataFrame([("AC", "II")], "sequence string, quality string")
     assert format_fastq(bare).first().value == "@:::::: :N:0:\nAC\n+\nII"
-    made = rows.where("lane = 2").drop("key").limit(1)
-    assert format_fastq(made, "illumina").first().value.split("\n")[3] in ("hhhhhhhhhhhhh", "hhhh_")
+    made = rows.where("lane = 3").drop("key").limit(1)
+    assert format_fastq(made, "illumina").first().value.split("\n")[3] == "eeeee"
 
 
 QSEQ = [
-    "ERR020229\t10880\t1\t1\t1373\t2042\t0\t1\t...........TTGGATGATAG\tBBBBBBBBBBBBBBBBBBBBBB\t0",
-    "ERR020229\t10883\t1\t1\t1796\t2044\tATC..G\t2\tACGT\tdddd\t1",
+    "M01\t52\t3\t9\t-14\t803\t0\t2\t..ACCGTA\tBCDEFGHI\t0",
+    "M01\t53\t3\t9\t15\t804\tGG.A\t1\tTTGA\tffff\t1",
 ]
 
 
 def test_qseq_fields(spark):
     df = parse_qseq(spark.createDataFrame([(x,) for x in QSEQ], "value string"))
     a, b = df.collect()
-    assert a.key == "ERR020229:10880:1:1:1373:2042:1" and a.sequence.startswith("NNN") and a.quality == "#" * 22
-    assert a.filter_passed is False and a.index_sequence is None and b.index_sequence == "ATCNNG" and b.filter_passed is True
+    assert a.key == "M01:52:3:9:-14:803:2" and a.sequence == "NNACCGTA" and a.quality == "#$%&'()*"
+    assert a.filter_passed is False and a.index_sequence is None and b.index_sequence == "GGNA" and b.filter_passed is True
     assert [r.value for r in format_qseq(df).collect()] == QSEQ
-    assert format_qseq(df, "sanger").collect()[1].value.split("\t")[9] == "EEEE"
+    assert format_qseq(df, "sanger").collect()[1].value.split("\t")[9] == "GGGG"
 
 
 def test_qseq_filter_and_malformed(spark, tmp_path):
@@ -98,14 +108,14 @@ def test_qseq_filter_and_malformed(spark, tmp_path):
 
 
 def test_fasta_positions(spark, tmp_path):
-    text = ">chr1 dna:chromosome\n" + "".join("ACGTACGT" * 10 + "\n" for _ in range(5)) + ">chr2\n" + "TTTT" * 20 + "\n"
+    text = ">one a long name\n" + "".join("GGATC" * 12 + "\n" for _ in range(4)) + ">two\n" + "CATG" * 15 + "\n"
     (tmp_path / "x.fa").write_text(text)
     for split in (10, 100, 1 << 20):
         rows = read_fasta(spark, str(tmp_path / "x.fa"), split).orderBy("index_sequence", "position").collect()
-        assert [r.position for r in rows] == [1, 82, 163, 244, 325, 1]
-    assert rows[1].key == "chr1 dna:chromosome82" and rows[5].sequence == "TTTT" * 20
+        assert [r.position for r in rows] == [1, 62, 123, 184, 1]
+    assert rows[1].key == "one a long name62" and rows[4].sequence == "CATG" * 15
     (tmp_path / "x.fa.gz").write_bytes(gzip.compress(text.encode()))
-    assert read_fasta(spark, str(tmp_path / "x.fa.gz")).count() == 6
+    assert read_fasta(spark, str(tmp_path / "x.fa.gz")).count() == 5
 
 
 def test_formats_by_name_and_data(tmp_path):
@@ -122,8 +132,9 @@ def test_formats_by_name_and_data(tmp_path):
 
 
 def test_container_splits_of_a_known_layout():
-    for size in (500, 1000, 3433, 10_000):
-        assert container_splits([1069, 3403], 3433, size) == [(1069, 2334), (3403, 30)] or size >= 3433
+    for size in (500, 900):
+        assert container_splits([800, 2600], 2638, size) == [(800, 1800), (2600, 38)]
+    assert container_splits([800, 2600], 2638, 5000) == [(800, 1838)]
 
 
 def test_container_splits_cover_all():

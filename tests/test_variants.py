@@ -8,30 +8,29 @@ from helica.sources.bcf import Dictionary, decode_record, encode_line
 from helica.sources.merge import merge_variants
 from helica.sources.vcf import VcfHeader, format_vcf, genotypes, parse_vcf, read_variants, read_vcf_header, write_vcf
 
-TOP = """##fileformat=VCFv4.1
-##contig=<ID=20,length=62435964,assembly=B36>
-##contig=<ID=X>
-##INFO=<ID=NS,Number=1,Type=Integer,Description="Samples, with data">
-##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">
-##INFO=<ID=AF,Number=A,Type=Float,Description="Frequency">
-##INFO=<ID=AA,Number=1,Type=String,Description="Ancestor">
-##INFO=<ID=DB,Number=0,Type=Flag,Description="Known">
-##INFO=<ID=END,Number=1,Type=Integer,Description="End">
-##FILTER=<ID=q10,Description="Low">
-##FILTER=<ID=s50,Description="Few">
-##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
-##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Quality">
-##FORMAT=<ID=HQ,Number=2,Type=Integer,Description="Haplotypes">
-##FORMAT=<ID=GL,Number=G,Type=Float,Description="Likelihoods">
-##FORMAT=<ID=FT,Number=1,Type=String,Description="Filter">
-#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tN1\tN2\tN3
+TOP = """##fileformat=VCFv4.2
+##contig=<ID=ctgA,length=9000000>
+##contig=<ID=ctgB>
+##INFO=<ID=HITS,Number=1,Type=Integer,Description="Reads, all of them">
+##INFO=<ID=SHARE,Number=A,Type=Float,Description="Share of each allele">
+##INFO=<ID=LAB,Number=1,Type=String,Description="Where it was seen">
+##INFO=<ID=OLD,Number=0,Type=Flag,Description="Seen before">
+##INFO=<ID=END,Number=1,Type=Integer,Description="Last position">
+##FILTER=<ID=weak,Description="Too few reads">
+##FILTER=<ID=edge,Description="At the end of a contig">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="Alleles">
+##FORMAT=<ID=SC,Number=1,Type=Integer,Description="Score">
+##FORMAT=<ID=PR,Number=2,Type=Integer,Description="Pair of counts">
+##FORMAT=<ID=LK,Number=G,Type=Float,Description="Likelihoods">
+##FORMAT=<ID=ST,Number=1,Type=String,Description="State">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tfox\towl
 """
 LINES = [
-    "20\t14370\tid6\tG\tA\t29\tPASS\tNS=3;DP=14;AF=0.5;DB\tGT:GQ:HQ\t0|0:48:51,51\t1|0:48:51,51\t1/1:43:.,.",
-    "20\t17330\t.\tT\tA\t3\tq10;s50\tNS=3;DP=11;AF=0.25\tGT:GQ\t0|0:49\t0|1:3\t./.:.",
-    "20\t1110696\trs1\tA\tG,T\t67.5\tPASS\tNS=2;AF=0.25,0.75;AA=T\tGT:GL:FT\t1|2:-1.5,0,-20:ok\t2|1:.:longer\t2:1,2,3:.",
-    "X\t1230237\t.\tT\t.\t47\t.\tNS=3;END=1230300\tGT\t0|0\t0|0\t0/0",
-    "X\t5\t.\tGTC\t<DEL>\t.\tPASS\t.\tGT\t0/1\t0/2\t0/0",
+    "ctgA\t801\tv7\tC\tT\t31\tPASS\tHITS=9;SHARE=0.125;OLD\tGT:SC:PR\t1/0:7:4,5\t0|0:12:.,.",
+    "ctgA\t5602\t.\tGA\tG\t8\tweak;edge\tHITS=2;LAB=north\tGT:SC\t./.:.\t1|1:6",
+    "ctgA\t77003\tv9\tT\tA,TCC\t12.5\tPASS\tSHARE=0.5,0.25\tGT:LK:ST\t2|1:-0.5,0,-8:good\t0:4,5,6:unsure",
+    "ctgB\t64\t.\tC\t.\t90\t.\tHITS=1;END=95\tGT\t0/0\t0|0",
+    "ctgB\t300\t.\tACGT\t<DUP>\t.\tPASS\t.\tGT\t1/1\t0/1",
 ]
 HEADER = VcfHeader.parse(TOP)
 
@@ -41,19 +40,19 @@ def frame(spark, lines=LINES):
 
 
 def test_header():
-    assert HEADER.contigs == [("20", 62435964), ("X", None)]
-    assert HEADER.samples == ["N1", "N2", "N3"] and HEADER.fields["INFO"]["NS"]["Description"] == "Samples, with data"
+    assert HEADER.contigs == [("ctgA", 9000000), ("ctgB", None)]
+    assert HEADER.samples == ["fox", "owl"] and HEADER.fields["INFO"]["HITS"]["Description"] == "Reads, all of them"
     with pytest.raises(ValueError):
         VcfHeader.parse("no header")
 
 
 def test_fields(spark):
     a, b, c, d, e = parse_vcf(frame(spark), HEADER).collect()
-    assert (a.contig, a.start, a.end, a.id, a.alleles, a.qual) == ("20", 14370, 14370, "id6", ["G", "A"], 29.0)
-    assert a.log10_p_error == -2.9 and a.filters == [] and b.filters == ["q10", "s50"] and d.filters is None
-    assert a.attributes == {"NS": ["3"], "DP": ["14"], "AF": ["0.5"], "DB": []} and e.attributes == {}
-    assert d.end == 1230300 and e.end == 7 and d.alleles == ["T"] and e.qual is None and e.log10_p_error is None
-    assert a.key == 14369 and d.key == (1 << 32) | 1230236 and a.n_genotypes == 3
+    assert (a.contig, a.start, a.end, a.id, a.alleles, a.qual) == ("ctgA", 801, 801, "v7", ["C", "T"], 31.0)
+    assert a.log10_p_error == -3.1 and a.filters == [] and b.filters == ["weak", "edge"] and d.filters is None
+    assert a.attributes == {"HITS": ["9"], "SHARE": ["0.125"], "OLD": []} and e.attributes == {}
+    assert b.end == 5603 and d.end == 95 and e.end == 303 and d.alleles == ["C"] and e.qual is None and e.log10_p_error is None
+    assert a.key == 800 and d.key == (1 << 32) | 63 and a.n_genotypes == 2
 
 
 def test_lines_come_back(spark):
@@ -62,13 +61,13 @@ def test_lines_come_back(spark):
 
 def test_genotypes_need_the_header(spark):
     rows = genotypes(parse_vcf(frame(spark), HEADER), HEADER).collect()
-    assert rows[0].genotypes[1].asDict(True) == {"sample": "N2", "fields": {"GT": "1|0", "GQ": "48", "HQ": "51,51"}}
+    assert rows[0].genotypes[0].asDict(True) == {"sample": "fox", "fields": {"GT": "1/0", "SC": "7", "PR": "4,5"}}
     with pytest.raises(ValueError):
         genotypes(parse_vcf(frame(spark), HEADER), None)
 
 
 def test_malformed_rows(spark):
-    bad = ["20\tx\t.\tG\tA\t.\tPASS\t.\tGT\t0\t0\t0", "20\t5\t.\tG\tA\t.\tPASS\tA B\tGT\t0\t0\t0", "20\t5\t.\tG\tA\tq\tPASS\t.\tGT\t0\t0\t0", "20\t5\t.\tG", "20\t5\t.\tG\tA\t1\tPASS\t.\tGT\t0"]
+    bad = ["ctgA\tx\t.\tG\tA\t.\tPASS\t.\tGT\t0\t0", "ctgA\t5\t.\tG\tA\t.\tPASS\tA B\tGT\t0\t0", "ctgA\t5\t.\tG\tA\tq\tPASS\t.\tGT\t0\t0", "ctgA\t5\t.\tG", "ctgA\t5\t.\tG\tA\t1\tPASS\t.\tGT\t0"]
     assert parse_vcf(frame(spark, [*LINES, *bad]), HEADER, mode="DROPMALFORMED").count() == len(LINES)
     for line in bad:
         with pytest.raises(Exception, match="malformed VCF line"):
@@ -76,12 +75,12 @@ def test_malformed_rows(spark):
 
 
 def test_repeated_info_key_keeps_the_first(spark):
-    row = parse_vcf(frame(spark, ["20\t5\t.\tG\tA\t1\tPASS\tA=1;A=2;B\tGT\t0\t0\t0"]), HEADER).first()
+    row = parse_vcf(frame(spark, ["ctgA\t5\t.\tG\tA\t1\tPASS\tA=1;A=2;B\tGT\t0\t0"]), HEADER).first()
     assert row.attributes == {"A": ["1"], "B": []}
 
 
 def test_unknown_contig_has_a_hashed_key(spark):
-    row = parse_vcf(frame(spark, ["chrUn\t5\t.\tG\tA\t1\tPASS\t.\tGT\t0\t0\t0"]), HEADER).first()
+    row = parse_vcf(frame(spark, ["other\t5\t.\tG\tA\t1\tPASS\t.\tGT\t0\t0"]), HEADER).first()
     assert row.key & 0xFFFFFFFF == 4 and row.key >> 32 not in (0, 1)
 
 
@@ -94,8 +93,8 @@ def test_write_merge_read(spark, tmp_path, compression, ending):
     got = read_variants(spark, out, intervals=None)
     assert sorted(r.value for r in format_vcf(got).collect()) == sorted(LINES)
     assert read_vcf_header(out).samples == HEADER.samples
-    assert read_variants(spark, out, intervals=parse_intervals("20:1-20000")).count() == 2
-    assert read_variants(spark, out, intervals=parse_intervals("X:1230290-1230291")).count() == 1
+    assert read_variants(spark, out, intervals=parse_intervals("ctgA:1-6000")).count() == 2
+    assert read_variants(spark, out, intervals=parse_intervals("ctgB:90-91")).count() == 1
     assert read_variants(spark, out, intervals=[]).count() == 0
 
 
@@ -113,8 +112,8 @@ def test_bcf_round_trip(spark, tmp_path):
     d = Dictionary.of(HEADER)
     for line in LINES:
         record = encode_line(line, d, d.numbers("contigs"), d.numbers("strings"))
-        assert decode_record(record, 0, d, 3).split("\t")[:8] == line.split("\t")[:8]
-    many = [x.replace("\t14370\t", f"\t{i}\t") for i in range(1, 4001) for x in LINES[:1]]
+        assert decode_record(record, 0, d, 2).split("\t")[:8] == line.split("\t")[:8]
+    many = [x.replace("\t801\t", f"\t{i}\t") for i in range(1, 4001) for x in LINES[:1]]
     rows = spark.createDataFrame([(x,) for x in many], "value string").coalesce(1)
     rows.write.format("bcf").mode("append").option("header", TOP).save(str(tmp_path / "out"))
     path = str(tmp_path / "out")
@@ -123,7 +122,7 @@ def test_bcf_round_trip(spark, tmp_path):
         assert sorted(r.value for r in back.collect()) == sorted(many)
     part = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
     assert read_vcf_header(str(part)).samples == HEADER.samples
-    assert read_variants(spark, path, intervals=parse_intervals("20:1-10")).count() == 10
+    assert read_variants(spark, path, intervals=parse_intervals("ctgA:1-10")).count() == 10
     raw = tmp_path / "raw.bcf"
     raw.write_bytes(bgzf.decompress(part.read_bytes()))
     assert spark.read.format("bcf").option("path", str(raw)).load().count() == 4000
@@ -135,7 +134,7 @@ def test_bcf_genotypes_come_back():
     d = Dictionary.of(HEADER)
     for line in LINES:
         record = encode_line(line, d, d.numbers("contigs"), d.numbers("strings"))
-        got = decode_record(record, 0, d, 3).split("\t")
+        got = decode_record(record, 0, d, 2).split("\t")
         want = [":".join("." if set(v) <= {".", ","} else v for v in cell.split(":")) for cell in line.split("\t")[9:]]
         have = [":".join("." if set(v) <= {".", ","} else v for v in cell.split(":")) for cell in got[9:]]
         assert have == want
@@ -149,16 +148,16 @@ def test_plain_gzip_is_read_whole(spark, tmp_path):
 def test_tabix_leaves_ranges_out(spark, tmp_path):
     from helica.sources.bam_index import LinearIndex, build_tabix
 
-    lines = [f"20\t{i * 500 + 1}\t.\tA\tC\t{i % 97}\tPASS\tDP={i * 7919 % 10007};AA={i * 31 % 1009}\tGT\t0|1\t1|{i % 2}\t./." for i in range(20000)]
+    lines = [f"ctgA\t{i * 400 + 1}\t.\tA\tC\t{i % 97}\tPASS\tHITS={i * 7919 % 10007};LAB={i * 31 % 1009}\tGT\t0|1\t1|{i % 2}" for i in range(20000)]
     path = tmp_path / "x.vcf.bgz"
     path.write_bytes(bgzf.compress((TOP + "\n".join(lines) + "\n").encode(), end=True))
     (tmp_path / "x.vcf.bgz.tbi").write_bytes(build_tabix(str(path)))
-    assert LinearIndex.read(str(path) + ".tbi").names == ["20"]
-    some = read_variants(spark, str(path), intervals=parse_intervals("20:5000001-5002001"), split_size=20_000)
-    assert [r.start for r in some.orderBy("start").collect()] == [5000001, 5000501, 5001001, 5001501, 5002001]
+    assert LinearIndex.read(str(path) + ".tbi").names == ["ctgA"]
+    some = read_variants(spark, str(path), intervals=parse_intervals("ctgA:5000001-5001601"), split_size=20_000)
+    assert [r.start for r in some.orderBy("start").collect()] == [5000001, 5000401, 5000801, 5001201, 5001601]
     count = lambda text: spark.read.format("bgzf_lines").option("path", str(path)).option("splitSize", 20_000).options(**({"intervals": text} if text else {})).load().rdd.getNumPartitions()
-    assert 0 < count("20:5000001-5002001") < count(None)
-    assert read_variants(spark, str(path), intervals=parse_intervals("X:1-5"), split_size=20_000).count() == 0
+    assert 0 < count("ctgA:5000001-5001601") < count(None)
+    assert read_variants(spark, str(path), intervals=parse_intervals("ctgB:1-5"), split_size=20_000).count() == 0
 
 
 def test_stringency_names(spark):
@@ -170,8 +169,8 @@ def test_stringency_names(spark):
 def test_typed_attributes(spark):
     from helica.sources.vcf import attribute
 
-    df = parse_vcf(frame(spark), HEADER).select("start", *(attribute(HEADER, n).alias(n) for n in ("NS", "AF", "AA", "DB")))
-    rows = {r.start: (r.NS, r.AF, r.AA, r.DB) for r in df.collect()}
-    assert rows[14370] == (3, [0.5], None, True) and rows[1110696] == (2, [0.25, 0.75], "T", False) and rows[5] == (None, None, None, False)
+    df = parse_vcf(frame(spark), HEADER).select("start", *(attribute(HEADER, n).alias(n) for n in ("HITS", "SHARE", "LAB", "OLD")))
+    rows = {r.start: (r.HITS, r.SHARE, r.LAB, r.OLD) for r in df.collect()}
+    assert rows[801] == (9, [0.125], None, True) and rows[77003] == (None, [0.5, 0.25], None, False) and rows[5602] == (2, None, "north", False) and rows[300] == (None, None, None, False)
     with pytest.raises(ValueError):
         attribute(HEADER, "XX")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def encoder(path: str, pattern: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``key`` and ``n_tokens`` of the whole text, whatever its length; null and empty texts have 0. A row for each row; other columns are not read."""
+    """``key`` and ``n_tokens`` of the whole text, whatever its length; null and empty texts have 0. A row for each row; other columns are not read.
+
+    ``path`` is read where the driver runs; the executors get the file from there.
+    """
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, pattern).encode_ordinary
+        encode = encoder(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"], "n_tokens": [len(encode(t)) if t else 0 for t in batch["t"]]})
 
@@ -124,7 +131,8 @@ def pack(sizes: DataFrame, key: str, n_items: int, capacity: int = CAPACITY, per
 
     schema = "container_id long, k string, piece_no long, token_start long, token_end long, container_start long"
     grouped = keyed.withColumn("g", F.pmod(F.xxhash64("k", "n_tokens"), F.lit(groups)))
-    return grouped.groupBy("g").applyInPandas(arrange, schema).withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
+    # An explicit number of partitions: the rows are few and small, but packing them is not, so groups must not share a task.
+    return grouped.repartition(groups, "g").groupBy("g").applyInPandas(arrange, schema).withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -20,12 +20,12 @@ MAX_BLOCKS_PER_TASK = 1 << 20
 CHUNK_SHIFT = 24
 
 
-def bisect(boundaries: np.ndarray, low: int, high: int, limit: int) -> list[tuple[int, int, bool]]:
+def bisect(boundaries: np.ndarray, low: int, high: int, limit: int, strengths: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
     """Cut ``[low, high)`` into parts of at most ``limit``: (start, end, start is inside a block).
 
-    A part that is too large is cut at the boundary nearest its midpoint, the
-    lower of two, or at the midpoint where it has no boundary inside; then both
-    halves are cut in the same way. ``boundaries`` are sorted.
+    A part that is too large is cut at the strongest boundary near its midpoint
+    (``cut_of``); then both halves are cut in the same way. ``boundaries`` are
+    sorted; all are equally strong unless ``strengths`` tells otherwise.
     """
     parts, todo = [], [(low, high, False)]
     while todo:
@@ -33,19 +33,31 @@ def bisect(boundaries: np.ndarray, low: int, high: int, limit: int) -> list[tupl
         if b - a <= limit:
             parts.append((a, b, inside))
             continue
-        cut, at_boundary = cut_of(boundaries, a, b)
+        cut, at_boundary = cut_of(boundaries, a, b, limit, strengths)
         todo += [(cut, b, not at_boundary), (a, cut, inside)]
     return parts
 
 
-def cut_of(boundaries: np.ndarray, a: int, b: int) -> tuple[int, bool]:
-    """Where ``[a, b)`` is cut, and whether that is a boundary."""
-    i, j = np.searchsorted(boundaries, a, "right"), np.searchsorted(boundaries, b, "left")
+def cut_of(boundaries: np.ndarray, a: int, b: int, limit: int, strengths: np.ndarray | None = None) -> tuple[int, bool]:
+    """Where ``[a, b)`` is cut, and whether that is a boundary.
+
+    Boundaries near the midpoint are those in the middle half; of them the
+    strongest counts, then the nearest, then the lower. Where the middle half has
+    none, one further out is taken if both sides are then within the limit, so that
+    it costs no further piece; otherwise the cut is inside a block, at the midpoint.
+    """
+    edge = (b - a) // 4
+    i, j = np.searchsorted(boundaries, [a + edge, b - edge], "left")
+    j = np.searchsorted(boundaries, b - edge, "right")
+    i += int(i < len(boundaries) and boundaries[i] == a)
+    j -= int(j > i and boundaries[j - 1] == b)
+    if i >= j:
+        i, j = np.searchsorted(boundaries, max(a + 1, b - limit), "left"), np.searchsorted(boundaries, min(b - 1, a + limit), "right")
     if i >= j:
         return (a + b) // 2, False
-    k = i + int(np.searchsorted(boundaries[i:j] * 2, a + b, "left"))
-    near = [int(boundaries[x]) for x in (k - 1, k) if i <= x < j]
-    return min(near, key=lambda c: (abs(2 * c - a - b), c)), True
+    near = boundaries[i:j]
+    order = np.lexsort((near, np.abs(2 * near - a - b), np.zeros(j - i) if strengths is None else -strengths[i:j]))
+    return int(near[order[0]]), True
 
 
 def clean_records(files: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -73,9 +85,13 @@ def numbered_blocks(records: DataFrame) -> DataFrame:
     """
     blocks = records.groupBy("bam_id", "block", "limit", "overlap").agg(F.count(F.lit(1)).alias("n_records"), F.min("virtual_offset").alias("first_offset"))
     blocks = blocks.withColumn("chunk", F.shiftright("block", CHUNK_SHIFT))
-    totals = records.groupBy("bam_id").agg(F.count(F.lit(1)).alias("total"), F.first("limit").alias("_limit")).where(F.col("total") > F.col("_limit")).drop("_limit")
-    # Several steps use the blocks of the oversized files; a written copy spares them the scan.
-    return cut_lineage(running_start(blocks.join(totals, "bam_id"), ["bam_id"], "chunk", ["block"], F.col("n_records")))
+    # Written once: totals come from the blocks, so the records are shuffled for them alone.
+    blocks = cut_lineage(blocks)
+    totals = blocks.groupBy("bam_id").agg(F.sum("n_records").alias("total"), F.first("limit").alias("_limit")).where(F.col("total") > F.col("_limit")).drop("_limit")
+    return cut_lineage(running_start(keyed_join(blocks, totals, ["bam_id"], "inner"), ["bam_id"], "chunk", ["block"], F.col("n_records")))
+
+
+SEGMENT = ["bam_id", "limit", "overlap", "low", "high", "inside"]
 
 
 def _segments(blocks: DataFrame, max_blocks: int) -> DataFrame:
@@ -83,30 +99,42 @@ def _segments(blocks: DataFrame, max_blocks: int) -> DataFrame:
 
     One row a stretch: bam_id, limit, overlap, low, high, inside, boundaries.
     Files with more blocks are bisected level by level, each level one
-    aggregation over the blocks, exactly as ``bisect`` does inside a task.
+    aggregation over the blocks, by the rule of ``cut_of``. Every block carries its
+    stretch, and the cuts, one for each stretch, are joined to it with salt, so a
+    file with most of the blocks is spread over many tasks.
     """
-    whole = blocks.groupBy("bam_id", "limit", "overlap").agg(F.lit(0).cast("long").alias("low"), F.max("total").alias("high"), F.lit(False).alias("inside"), F.count(F.lit(1)).alias("n_blocks"))
+    open_ = blocks.select("bam_id", "limit", "overlap", F.lit(0).cast("long").alias("low"), F.col("total").alias("high"), F.lit(False).alias("inside"), "start")
     done = None
-    open_ = whole
-    edges = blocks.select("bam_id", "start")
-    if not whole.where(F.col("n_blocks") > max_blocks).limit(1).count():
-        plain = blocks.groupBy("bam_id", "limit", "overlap").agg(F.max("total").alias("high"), F.array_sort(F.collect_list("start")).alias("boundaries"))
-        return plain.select("bam_id", "limit", "overlap", F.lit(0).cast("long").alias("low"), "high", F.lit(False).alias("inside"), "boundaries")
+    step, part = F.col("start"), F.col("high") - F.col("low")
+    edge = F.floor(part / 4)
+    own = F.col("limit") - F.col("overlap")
+    near = (step >= F.col("low") + edge) & (step <= F.col("high") - edge)
+    within = (step > F.col("low")) & (step < F.col("high"))
+    fits = (step >= F.col("high") - own) & (step <= F.col("low") + own)
+    rank = F.when(within & near, F.struct(F.lit(0).alias("far"), F.abs(step * 2 - F.col("low") - F.col("high")).alias("gap"), step.alias("at"))).when(within & fits, F.struct(F.lit(1).alias("far"), F.abs(step * 2 - F.col("low") - F.col("high")).alias("gap"), step.alias("at")))
     while True:
-        open_ = cut_lineage(open_)
-        small = open_.where(F.col("n_blocks") <= max_blocks).drop("n_blocks")
+        sizes = cut_lineage(open_.groupBy(*SEGMENT).agg(F.count("start").alias("n_blocks"), F.min(rank).alias("best")))
+        too_many = (F.col("n_blocks") > max_blocks) & (part > own)
+        if not sizes.where(too_many).limit(1).count():
+            return open_ if done is None else done.unionByName(open_)
+        cuts = sizes.select(*SEGMENT, F.when(too_many, F.coalesce("best.at", F.shiftright(F.col("low") + F.col("high"), 1))).alias("cut"), F.col("best").isNull().alias("blind"))
+        placed = keyed_join(open_, cuts, SEGMENT, "inner")
+        small = placed.where(F.col("cut").isNull()).select(*SEGMENT, "start")
         done = small if done is None else done.unionByName(small)
-        big = open_.where(F.col("n_blocks") > max_blocks).drop("n_blocks")
-        if not big.limit(1).count():
-            break
-        middle = F.abs(F.col("start") * 2 - F.col("low") - F.col("high"))
-        cuts = big.join(edges, "bam_id").where((F.col("start") > F.col("low")) & (F.col("start") < F.col("high"))).groupBy("bam_id", "limit", "overlap", "low", "high", "inside").agg(F.min_by("start", F.struct(middle, "start")).alias("cut"))
-        halves = cuts.select(
-            "bam_id", "limit", "overlap",
-            F.explode(F.array(F.struct("low", F.col("cut").alias("high"), "inside"), F.struct(F.col("cut").alias("low"), "high", F.lit(False).alias("inside")))).alias("h"),
-        ).select("bam_id", "limit", "overlap", "h.*")
-        open_ = halves.join(edges, "bam_id").where((F.col("start") >= F.col("low")) & (F.col("start") < F.col("high"))).groupBy(*halves.columns).agg(F.count(F.lit(1)).alias("n_blocks"))
-    return done.join(edges, "bam_id").where((F.col("start") >= F.col("low")) & (F.col("start") < F.col("high"))).groupBy("bam_id", "limit", "overlap", "low", "high", "inside").agg(F.array_sort(F.collect_list("start")).alias("boundaries"))
+        upper = F.coalesce(step >= F.col("cut"), F.lit(False))
+        # A row without a block stands for each upper half, so that a half in which no block starts is not lost.
+        bare = cuts.where(F.col("cut").isNotNull()).select("bam_id", "limit", "overlap", F.col("cut").alias("low"), "high", F.col("blind").alias("inside"), F.lit(None).cast("long").alias("start"))
+        open_ = cut_lineage(
+            placed.where(F.col("cut").isNotNull()).select(
+                "bam_id", "limit", "overlap", F.when(upper, F.col("cut")).otherwise(F.col("low")).alias("low"), F.when(upper, F.col("high")).otherwise(F.col("cut")).alias("high"),
+                F.when(upper, F.col("blind")).otherwise(F.col("inside")).alias("inside"), "start",
+            ).unionByName(bare)
+        )
+
+
+def _stretches(blocks: DataFrame, max_blocks: int) -> DataFrame:
+    """The stretches with their boundaries as arrays; one in which no block starts has an empty array."""
+    return _segments(blocks, max_blocks).groupBy(*SEGMENT).agg(F.array_sort(F.collect_list("start")).alias("boundaries"))
 
 
 def cut_parts(blocks: DataFrame, max_blocks: int = MAX_BLOCKS_PER_TASK) -> DataFrame:
@@ -116,11 +144,11 @@ def cut_parts(blocks: DataFrame, max_blocks: int = MAX_BLOCKS_PER_TASK) -> DataF
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                for a, b, inside in bisect(np.asarray(r.boundaries), r.low, r.high, r.limit - r.overlap):
+                for a, b, inside in bisect(np.asarray(r.boundaries, np.int64), r.low, r.high, r.limit - r.overlap):
                     rows.append((r.bam_id, r.limit, r.overlap, a, b, bool(r.inside) if a == r.low else inside))
             yield pd.DataFrame(rows, columns=["bam_id", "limit", "overlap", "own_first", "own_end", "inside_block"])
 
-    return _segments(blocks, max_blocks).mapInPandas(cut, "bam_id long, limit long, overlap long, own_first long, own_end long, inside_block boolean")
+    return _stretches(blocks, max_blocks).mapInPandas(cut, "bam_id long, limit long, overlap long, own_first long, own_end long, inside_block boolean")
 
 
 def split_items(files: DataFrame, offsets: DataFrame, max_blocks: int = MAX_BLOCKS_PER_TASK) -> DataFrame:
@@ -134,15 +162,22 @@ def split_items(files: DataFrame, offsets: DataFrame, max_blocks: int = MAX_BLOC
     table gives an empty result; repeated and unordered rows change nothing; other
     columns are not read. Of two boundaries equally near a midpoint the lower is taken.
     """
-    records = clean_records(files, offsets)
-    blocks = numbered_blocks(records)
+    blocks = numbered_blocks(clean_records(files, offsets))
     first = F.greatest(F.col("own_first") - F.col("overlap"), F.lit(0))
     pieces = cut_parts(blocks, max_blocks).withColumn("piece_first", first)
     ends = F.array(F.col("piece_first"), F.col("own_first"), F.col("own_end") - 1)
     wanted = pieces.withColumn("ordinal", F.explode(F.array_distinct(ends)))
-    inner = records.join(blocks.select("bam_id", "block", "start"), ["bam_id", "block"])
-    numbered = inner.select("bam_id", "virtual_offset", (F.col("start") + F.expr("row_number() over (partition by bam_id, block order by virtual_offset) - 1")).alias("ordinal"))
-    found = wanted.join(numbered, ["bam_id", "ordinal"])
+    # Records and blocks meet in cells of ``limit`` records, so a file with many of both is not one group.
+    cell = lambda c: F.floor(c / F.col("limit"))
+    spans = blocks.select("bam_id", "block", "start", "n_records", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("n_records") - 1))).alias("cell"))
+    placed = wanted.withColumn("cell", cell(F.col("ordinal"))).join(spans, ["bam_id", "cell"]).where((F.col("ordinal") >= F.col("start")) & (F.col("ordinal") < F.col("start") + F.col("n_records")))
+    placed = cut_lineage(placed.withColumn("rank", F.col("ordinal") - F.col("start")).drop("cell", "start", "n_records"))
+    # Only the blocks that hold an end of a piece are read again record by record.
+    ended = placed.select("bam_id", "block").distinct()
+    raw = offsets.where(F.col("virtual_offset").isNotNull()).select("bam_id", "virtual_offset", F.shiftrightunsigned("virtual_offset", 16).alias("block"))
+    inner = keyed_join(raw, ended, ["bam_id", "block"], "inner").groupBy("bam_id", "block", "virtual_offset").agg(F.lit(1))
+    numbered = inner.select("bam_id", "block", "virtual_offset", F.expr("row_number() over (partition by bam_id, block order by virtual_offset) - 1").cast("long").alias("rank"))
+    found = placed.join(numbered, ["bam_id", "block", "rank"])
 
     def offset_at(name: str):
         return F.max(F.when(F.col("ordinal") == F.col(name), F.col("virtual_offset")))

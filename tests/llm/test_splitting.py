@@ -20,12 +20,20 @@ def test_parts_cover_all_within_the_limit(inner, n, limit):
         assert inside == (a not in marks)
 
 
-def test_cuts_prefer_the_boundary_nearest_the_middle():
+def test_cuts_prefer_the_strongest_boundary_near_the_middle():
     assert S.bisect(np.array([0, 30, 45, 90]), 0, 100, 60) == [(0, 45, False), (45, 100, False)]
-    assert S.cut_of(np.array([40, 60]), 0, 100) == (40, True)
+    assert S.cut_of(np.array([40, 60]), 0, 100, 60) == (40, True)
+    assert S.cut_of(np.array([30, 45, 70, 90]), 0, 100, 60, np.array([1, 1, 2, 9])) == (70, True)
     assert S.bisect(np.array([0]), 0, 9, 5) == [(0, 4, False), (4, 9, True)]
 
 
+def test_no_slivers():
+    assert S.bisect(np.array([0, 1]), 0, 10_000, 2500) == [(0, 2500, False), (2500, 5000, True), (5000, 7500, True), (7500, 10_000, True)]
+    # Outside the middle half a boundary is taken where no further piece comes of it.
+    assert S.bisect(np.array([0, 10]), 0, 100, 95) == [(0, 10, False), (10, 100, False)]
+    assert S.bisect(np.array([0, 10]), 0, 100, 80) == [(0, 50, False), (50, 100, True)]
+
+
 def data(seed=1, n_files=12):
     dice = random.Random(seed)
     files, rows, truth = [], [], {}
@@ -63,7 +71,7 @@ def brute(truth):
 def test_pieces_equal_brute_force_at_any_task_size(spark):
     files, rows, truth = data()
     f, o = spark.createDataFrame(files, FILES), spark.createDataFrame(rows, OFFSETS).repartition(5)
-    for max_blocks in (1 << 20, 3):
+    for max_blocks in (1 << 20, 3, 1):
         got = [tuple(r) for r in S.split_items(f, o, max_blocks).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(truth)
     assert all(r[3] <= truth[r[0]][1] for r in got)

@@ -43,3 +43,19 @@ def test_empty_table_and_long_terms(spark):
     long = "A" * 200_000
     got = T.mark_terms(frame(spark, [(1, long + "+" + "C", None, None)]), "fragment_id", T.index_terms(F.col("index_sequence"))).collect()
     assert {len(r.term) for r in got} == {200_000, 1}
+
+
+def test_repeated_records_equal_brute_force(spark):
+    import random
+
+    dice = random.Random(4)
+    rows = [(dice.choice([None, 7, dice.randrange(60)]), "+".join(dice.choices(["A", "B", "C", "HOT", "HOT"], k=dice.randrange(1, 4))), None, None) for _ in range(900)]
+    lists = {(r, s) if r is not None else (f"null {i}", s) for i, (r, s, _, _) in enumerate(rows)}
+    occurrences, holders = Counter(), {}
+    for r, s in lists:
+        occurrences.update(s.split("+"))
+        for t in set(s.split("+")):
+            holders.setdefault(t, set()).add(r)
+    got = {r.term: (r.occurrences, r.records) for r in T.count_terms(frame(spark, rows).repartition(6), "fragment_id", T.index_terms(F.col("index_sequence"))).collect()}
+    assert got.pop(None) == (0, len({r for r, _ in lists}))
+    assert got == {t: (n, len(holders[t])) for t, n in occurrences.items()}

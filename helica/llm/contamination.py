@@ -3,13 +3,15 @@
 Texts become passages of ``WINDOW`` words, every ``STRIDE`` words. A passage is a
 TF-IDF vector over the terms of the evaluation items, with document frequencies
 from the whole corpus. A randomised SVD of the items' passages gives a latent
-space; corpus passages near an item's passage in it are candidates, whose words
-are then compared one by one.
+space. A corpus passage is held against the items' passages with which it shares
+a rare term; those near it in the latent space are candidates, whose words are
+then compared one by one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,18 +20,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helica.session import cut_lineage
+
 WINDOW, STRIDE = 24, 12
 RANK = 256
-#: Cosine from which a pair is a candidate: for passages of 12 words in a row, and for paraphrases, each in a search of its own.
-MIN_COSINE = 0.2
+#: Cosine from which a pair is a candidate: for passages with 12 words in a row, and for paraphrases.
+MIN_COSINE = 0.1
 MIN_COSINE_PARAPHRASE = 0.3
 #: Words of ``WINDOW`` that a paraphrase has in common with its item, in the same order.
 ALIKE = (2 * WINDOW) // 3
-#: Items, and words of their passages, that are searched for in one pass; more are searched in blocks. Bounds what is broadcast.
-ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 500, 100_000
+#: Terms of an item's passage that the fewest other passages have, and how many of them a text has to have near for a paraphrase.
+RARE_TERMS, RARE_SHARED = 10, 3
+#: Words of items that are searched for in one pass over the corpus; more are searched in blocks. Bounds what is broadcast.
+WORDS_PER_BLOCK = 5_000_000
 SEED = 20
-#: Corpus passages compared with the items' passages at once; bounds a worker's memory.
-AT_ONCE = 2048
+#: Pairs of passages compared at once; bounds a worker's memory.
+AT_ONCE = 4096
 
 TOKEN = re.compile(
     r"\\(?:[a-z]*cite[a-z]*|ref|eqref|pageref|autoref|cref|label|bibitem)\*?\s*(?:\[[^\]]*\]\s*)*\{[^}]*\}"
@@ -59,83 +65,99 @@ def regions(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(STRIDE, ids.dtype), ids, np.zeros(WINDOW + STRIDE, ids.dtype)])[at[:, None] + np.arange(WINDOW + 2 * STRIDE)]
 
 
-def only_runs(ids: np.ndarray, length: int) -> np.ndarray:
-    """Term numbers with all 0 that do not lie in ``length`` known terms in a row."""
-    if length <= 1 or not len(ids):
-        return ids
-    known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
-    step = np.diff(known)
+def in_runs(known: np.ndarray, length: int) -> np.ndarray:
+    """Where a text has ``length`` known words in a row."""
+    step = np.diff(np.concatenate([[0], known.view(np.int8), [0]]))
     first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     long = end - first >= length
-    mark = np.zeros(len(ids) + 1, np.int32)
+    mark = np.zeros(len(known) + 1, np.int32)
     mark[first[long]] += 1
     mark[end[long]] -= 1
-    return np.where(np.cumsum(mark[:-1]) > 0, ids, 0)
+    return np.cumsum(mark[:-1]) > 0
 
 
 @dataclass(frozen=True)
 class Items:
-    """A block of evaluation items: their words as term numbers, and their answers."""
+    """Evaluation items: their words and answers as term numbers. Terms up to ``n_terms`` are those of passages; answers may have others."""
 
     keys: list
     terms: dict[str, int]
+    n_terms: int
     ids: list[np.ndarray]
-    answers: list[str]
+    answers: list[np.ndarray]
 
     @property
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """All passages of the items, and the item of each."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All passages of the items, the item of each, and where it starts in it."""
         rows = [passages(i) for i in self.ids]
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return (np.concatenate(rows) if rows else np.empty((0, WINDOW), np.int64)), owner
+        at = np.concatenate([starts(len(i)) for i in self.ids]) if rows else np.empty(0, np.int64)
+        return (np.concatenate(rows) if rows else np.empty((0, WINDOW), np.int32)), owner, at
 
 
 def read_items(rows: list) -> Items:
     """Items from (key, passage, answer) rows; null passages have no words."""
     terms: dict[str, int] = {}
-    ids = [np.array([terms.setdefault(w, len(terms) + 1) for w in words(r[1])], np.int64) for r in rows]
-    return Items([r[0] for r in rows], terms, ids, [" ".join(words(r[2])) for r in rows])
+    number = lambda text: np.array([terms.setdefault(w, len(terms) + 1) for w in words(text)], np.int32)
+    ids = [number(r[1]) for r in rows]
+    n_terms = len(terms)
+    return Items([r[0] for r in rows], terms, n_terms, ids, [number(r[2]) for r in rows])
 
 
-def term_weights(corpus: DataFrame, items: Items) -> np.ndarray:
-    """Inverse document frequency of each term over all texts of ``corpus`` (column ``t``); 0 for the number 0.
+def numbered_texts(corpus: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """The corpus (``k``, ``t``) as term numbers, cut into words once: ``k`` and ``ids`` of each text with a known word, and ``term`` and ``n``, each partition's document frequencies.
 
-    Each partition counts into one array as long as the items' vocabulary; only
-    those sums are shuffled and brought to the driver.
+    The number 0 stands for words that no item has; as a term it counts the texts.
     """
-    terms = corpus.sparkSession.sparkContext.broadcast(items.terms)
+    shared = corpus.sparkSession.sparkContext.broadcast(terms)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = terms.value
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         n = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for t in batch["t"]:
+            keys, held = [], []
+            for k, t in zip(batch["k"], batch["t"]):
+                w = words(t)
+                ids = np.fromiter((known.get(x, 0) for x in w), np.int32, len(w))
+                found = np.unique(ids)
+                n[found] += found > 0
                 n[0] += 1
-                found = [i for w in set(words(t)) if (i := known.get(w))]
-                n[found] += 1
-        yield pd.DataFrame({"term": np.arange(len(n)), "n": n})
+                if found.any():
+                    keys.append(k)
+                    held.append(zlib.compress(ids.tobytes(), 1))
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "ids": pd.Series(held, dtype=object), "term": pd.Series([None] * len(keys), dtype="Int32"), "n": pd.Series([None] * len(keys), dtype="Int64")})
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"k": pd.Series([None] * len(used), dtype=object), "ids": pd.Series([None] * len(used), dtype=object), "term": pd.Series(used, dtype="Int32"), "n": pd.Series(n[used], dtype="Int64")})
+
+    return corpus.mapInPandas(number, "k string, ids binary, term int, n long")
+
 
-    sums = corpus.select("t").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+def term_weights(numbered: DataFrame, items: Items) -> np.ndarray:
+    """Inverse document frequency of each term of the items' passages over all texts; 0 for all other numbers. Only one sum a term comes to the driver."""
+    sums = numbered.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(len(items.terms) + 1)
     n[sums["term"].to_numpy(int)] = sums["n"].to_numpy(float)
     idf = np.log((2 + n[0]) / (1 + n))
     idf[0] = 0
+    idf[items.n_terms + 1 :] = 0
     return idf
 
 
-def vectors(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF vectors of passages, of length 1."""
-    out = np.zeros((len(rows), len(idf)))
-    np.add.at(out, (np.arange(len(rows))[:, None], rows), idf[rows])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def gathered(rows: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """For each passage the sum of its terms' rows of ``weighted``, of length 1: its vector times a thin matrix, without the vector."""
+    out = np.zeros((len(rows), weighted.shape[1]), weighted.dtype)
+    for j in range(rows.shape[1]):
+        out += weighted[rows[:, j]]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK, power: int = 2, seed: int = SEED) -> np.ndarray:
     """Term directions (terms x rank) of a randomised SVD of the passages' TF-IDF matrix A.
 
     The passages are a distributed table. Each step multiplies a thin matrix by
-    A'A: tasks build their rows of A, and only sums of the thin products (terms x
-    rank) come back; the driver orthonormalises them. No task or driver holds A.
+    A'A: tasks go through their rows of A by the terms that are in them, and only
+    sums of the thin products (terms x rank) come back; the driver orthonormalises
+    them. No task or driver holds A.
     """
     n_terms = len(idf)
     rank = min(rank, n_terms - 1, max(len(windows), 1))
@@ -143,7 +165,7 @@ def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK,
     if not len(windows):
         return thin
     slices = max(1, min(8, len(windows) // 512))  # each sends terms x rank numbers to the driver
-    rows = spark.createDataFrame(pd.DataFrame({"w": [r.tolist() for r in windows]}), "w array<long>").repartition(slices)
+    rows = spark.createDataFrame(pd.DataFrame({"w": [r.tobytes() for r in windows.astype(np.int32)]}), "w binary").repartition(slices)
     for _ in range(power + 1):
         q = spark.sparkContext.broadcast((thin, idf))
 
@@ -151,8 +173,14 @@ def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK,
             thin, idf = q.value
             total = np.zeros(thin.shape)
             for batch in batches:
-                a = vectors(np.stack(batch["w"].to_numpy()), idf)
-                total += a.T @ (a @ thin)
+                w = np.frombuffer(b"".join(batch["w"]), np.int32).reshape(-1, WINDOW)
+                for a in np.split(w, range(1024, len(w), 1024)):
+                    # A term that comes twice in a passage has twice its weight; the length is that of the sum of equal terms.
+                    times = (a[:, :, None] == a[:, None, :]).sum(axis=2)
+                    scale = idf[a] / np.maximum(np.sqrt((idf[a] ** 2 * times).sum(axis=1, keepdims=True)), 1e-12)
+                    y = np.einsum("ij,ijk->ik", scale, thin[a])
+                    for j in range(WINDOW):
+                        np.add.at(total, a[:, j], scale[:, j, None] * y)
             yield pd.DataFrame({"part": [total.tobytes()]})
 
         parts = rows.mapInPandas(product, "part binary").collect()
@@ -160,18 +188,77 @@ def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK,
     return thin
 
 
-def equal_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair of passages, the longest stretch of equal known words in a row."""
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    best, run, length = np.zeros(len(a), np.int64), same, 1
-    alive = same.any(axis=(1, 2))
-    best[alive] = 1
-    while run.shape[1] > 1 and alive.any():
-        run = run[:, :-1, :-1] & same[:, length:, length:]
-        length += 1
-        alive = run.any(axis=(1, 2))
-        best[alive] = length
-    return best
+@dataclass(frozen=True)
+class Gate:
+    """The items' passages by some of their terms: those of term ``t`` are ``items[first[t]:first[t + 1]]``."""
+
+    first: np.ndarray
+    items: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, n_terms: int) -> Gate:
+        """From rows (term, passage)."""
+        pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
+        return cls(np.searchsorted(pairs[:, 0], np.arange(n_terms + 2)), pairs[:, 1])
+
+    def hits(self, ids: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, passage) of all terms of a text that lead to a passage."""
+        count = (self.first[ids + 1] - self.first[ids]) * allowed
+        at = np.flatnonzero(count)
+        count = count[at]
+        ends = np.cumsum(count)
+        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids[at]] - (ends - count), count)
+        return np.repeat(at, count), self.items[flat]
+
+
+def run_gate(windows: np.ndarray, idf: np.ndarray, length: int) -> Gate:
+    """Passages by the rarest term of every ``length`` words in a row: a text with such words has their rarest term, so none is missed."""
+    weight = np.where(windows > 0, idf[windows], np.inf)
+    found = []
+    for s in range(WINDOW - length + 1):
+        part, w = weight[:, s : s + length], windows[:, s : s + length]
+        full = (w > 0).all(axis=1)
+        best = np.argmax(np.where(np.isinf(part), -1, part), axis=1)
+        found.append(np.stack([w[np.arange(len(w)), best], np.arange(len(w))], axis=1)[full])
+    return Gate.of(np.concatenate(found) if found else np.empty((0, 2), np.int64), len(idf))
+
+
+def rare_gate(windows: np.ndarray, idf: np.ndarray, n: int = RARE_TERMS) -> Gate:
+    """Passages by the ``n`` of their terms that stand in the fewest passages of the items; of equal ones by those rarer in the corpus."""
+    held = np.bincount(np.unique(windows + np.arange(len(windows))[:, None] * len(idf)) % len(idf), minlength=len(idf))
+    first, at = np.unique(windows, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.lexsort((first, -idf[first], held[first]))] = np.arange(len(first))
+    rank = np.where(windows > 0, place[at.reshape(windows.shape)], len(first))
+    terms = np.take_along_axis(windows, np.argsort(rank, axis=1, kind="stable")[:, :n], axis=1)
+    pairs = np.stack([terms.ravel(), np.repeat(np.arange(len(windows)), terms.shape[1])], axis=1)
+    return Gate.of(pairs[pairs[:, 0] > 0], len(idf))
+
+
+def longest_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of passages, the longest stretch of equal known words in a row, and where it starts in both."""
+    n = np.arange(len(a))
+    row, best = np.zeros((len(a), b.shape[1] + 1), np.int64), np.zeros(len(a), np.int64)
+    ends = np.zeros((2, len(a)), np.int64)
+    for i in range(a.shape[1]):
+        hit = (a[:, i, None] == b) & (a[:, i, None] > 0)
+        new = np.zeros_like(row)
+        new[:, 1:] = (row[:, :-1] + 1) * hit
+        row = new
+        j = np.argmax(row, axis=1)
+        more = row[n, j] > best
+        best[more], ends[0, more], ends[1, more] = row[n, j][more], i + 1, j[more]
+    return best, ends[0] - best, ends[1] - best
+
+
+def widened(text: np.ndarray, item: np.ndarray, x: int, y: int) -> int:
+    """Equal known words in a row around position ``x`` of a text and ``y`` of an item, in both directions, however far they go."""
+    total = 0
+    for a, b in ((text[x:], item[y:]), (text[:x][::-1], item[:y][::-1])):
+        n = min(len(a), len(b))
+        other = np.flatnonzero((a[:n] != b[:n]) | (a[:n] == 0))
+        total += int(other[0]) if len(other) else n
+    return total
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,96 +309,129 @@ def common_anywhere(a: np.ndarray, b: np.ndarray, enough: int = ALIKE) -> np.nda
     return best
 
 
-def _search(batches: Iterator[pd.DataFrame], known: dict, item_rows: np.ndarray, item_regions: np.ndarray, owner: np.ndarray, answers: list[str], space: np.ndarray, idf: np.ndarray, min_words: int, min_cosine: float, min_cosine_paraphrase: float | None) -> Iterator[pd.DataFrame]:
-    """Candidates by latent cosine in blocks of passages, then the words of each pair; paraphrases only with a cosine for them."""
-    latent_items = vectors(item_rows, idf) @ space
-    latent_items = (latent_items / np.maximum(np.linalg.norm(latent_items, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    weighted = (space * idf[:, None]).astype(np.float32)
-    paraphrase = min_cosine_paraphrase is not None
-    if paraphrase:
-        holds = np.zeros((len(idf), len(answers)), np.int8)
-        holds[item_rows, owner[:, None]] = 1
-        holds[0] = 0
-
-    def near(rows: np.ndarray, limit: float) -> np.ndarray:
-        latent = np.zeros((len(rows), weighted.shape[1]), np.float32)
-        for j in range(rows.shape[1]):
-            latent += weighted[rows[:, j]]
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        cosine = latent @ latent_items.T
-        cosine[cosine < limit] = -9
-        return cosine
-
-    def verbatim(rows: np.ndarray, shown: np.ndarray, of: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Pairs of passages with words in a row; ``shown`` are the regions of ``rows`` with all known words."""
-        cosine = near(rows, min_cosine)
-        i, p = np.nonzero(cosine > -9)
-        for k in range(0, len(i), 4096):
-            a, b = rows[i[k : k + 4096]], item_rows[p[k : k + 4096]]
-            shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(axis=2).sum(axis=1) >= min_words
-            a, b, ii, pp = a[shared], b[shared], i[k : k + 4096][shared], p[k : k + 4096][shared]
-            if not len(a):
-                continue
-            run = equal_runs(a, b)
-            lcs = common_subsequence(shown[ii, STRIDE : STRIDE + WINDOW], b) if paraphrase else run
-            yield pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs})
-
-    def alike(rows: np.ndarray, shown: np.ndarray, of: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Pairs of passages with words in the same order, there or up to ``STRIDE`` words beside, of texts with the answer."""
-        cosine = near(rows, min_cosine_paraphrase)
-        # A stretch of WINDOW words has all but WINDOW / 4 of them in one of the passages, so many of its common words are there.
-        common = np.zeros((len(rows), len(answers)), np.int8)
-        for j in range(rows.shape[1]):
-            common += holds[rows[:, j]]
-        cosine[common[:, owner] < ALIKE - WINDOW // 4] = -9
-        i, p = np.nonzero(cosine > -9)
-        has = np.array([answered(n, x) for n, x in zip(of[i].tolist(), owner[p].tolist())], bool)
-        i, p = i[has], p[has]
-        for k in range(0, len(i), 4096):
-            ii, pp = i[k : k + 4096], p[k : k + 4096]
-            lcs = common_anywhere(shown[ii], item_regions[pp])
-            ii, pp, lcs = ii[lcs >= ALIKE], pp[lcs >= ALIKE], lcs[lcs >= ALIKE]
-            run = equal_runs(rows[ii], item_rows[pp])
-            yield pd.DataFrame({"at": of[ii], "item": owner[pp], "cosine": cosine[ii, pp].astype(float), "run": run, "lcs": lcs})
-
-    def answered(n: int, item: int) -> bool:
-        if (n, item) not in asked:
-            asked[n, item] = bool(answers[item]) and f" {answers[item]} " in texts[n]
-        return asked[n, item]
-
-    # Words in a row are searched for the same way with and without paraphrases, which are a search of their own.
-    searches = [(verbatim, min_words, min_words)] + ([(alike, 1, ALIKE - WINDOW // 4)] if paraphrase else [])
-    for batch in batches:
-        keys, texts, asked, hits = list(batch["k"]), {}, {}, []
-        held: list[list] = [[] for _ in searches]
-        for n, t in enumerate(batch["t"]):
-            w = words(t)
-            ids = np.fromiter((known.get(x, 0) for x in w), np.int64, len(w))
-            for (search, run, least), blocks in zip(searches, held):
-                mine = passages(only_runs(ids, run))
-                enough = (mine > 0).sum(axis=1) >= least
-                if not enough.any():
-                    continue
-                if paraphrase:
-                    texts[n] = " " + " ".join(w) + " "
-                blocks.append((mine[enough], regions(ids)[enough] if paraphrase else mine[enough], np.full(enough.sum(), n)))
-                if sum(len(b[0]) for b in blocks) >= AT_ONCE:
-                    hits += _in_blocks(search, blocks)
-                    blocks.clear()
-        for (search, *_), blocks in zip(searches, held):
-            hits += _in_blocks(search, blocks)
-        out = pd.concat(hits) if hits else pd.DataFrame({"at": [], "item": [], "cosine": [], "run": [], "lcs": []})
-        best = out.groupby(["at", "item"], as_index=False).max()
-        best["answered"] = np.array([paraphrase and answered(int(a), int(i)) for a, i in zip(best["at"], best["item"])], bool)
-        best = best[(best["run"] >= min_words) | ((best["lcs"] >= ALIKE) & best["answered"])] if paraphrase else best[best["run"] >= min_words]
-        yield pd.DataFrame({"k": pd.Series([keys[int(a)] for a in best["at"]], dtype=object), "item": best["item"].to_numpy(np.int64), "cosine": best["cosine"].to_numpy(float), "run": best["run"].to_numpy(np.int64), "lcs": best["lcs"].to_numpy(np.int64), "answered": best["answered"].to_numpy(bool)})
-
-
-def _in_blocks(search, blocks: list[tuple]) -> list[pd.DataFrame]:
-    if not blocks:
-        return []
-    rows, shown, of = map(np.concatenate, zip(*blocks))
-    return [found for k in range(0, len(rows), AT_ONCE) for found in search(rows[k : k + AT_ONCE], shown[k : k + AT_ONCE], of[k : k + AT_ONCE])]
+def holds(ids: np.ndarray, answer: np.ndarray) -> bool:
+    """Whether a text has the words of an answer, next to each other; an empty answer is in none."""
+    if not len(answer) or len(answer) > len(ids):
+        return False
+    at = np.flatnonzero(ids[: len(ids) - len(answer) + 1] == answer[0])
+    for i in range(1, len(answer)):
+        at = at[ids[at + i] == answer[i]]
+    return len(at) > 0
+
+
+@dataclass(frozen=True)
+class Search:
+    """What every task needs to search its texts."""
+
+    ids: list[np.ndarray]
+    answers: list[np.ndarray]
+    windows: np.ndarray
+    owner: np.ndarray
+    at: np.ndarray
+    around: np.ndarray | None
+    weighted: np.ndarray
+    n_terms: int
+    runs: Gate
+    rare: Gate | None
+    min_words: int
+    min_cosine: float
+    min_cosine_paraphrase: float
+
+    def near(self, pairs: list[tuple], limit: float) -> tuple[np.ndarray, ...]:
+        """Text number, passage of the text, its words, passage of an item, cosine; of the pairs with at least ``limit``."""
+        n, w, rows, p = map(np.concatenate, zip(*pairs))
+        _, one, inverse = np.unique(n * (1 << 32) + w, return_index=True, return_inverse=True)
+        mine = gathered(rows[one][:, -WINDOW - STRIDE : -STRIDE] if rows.shape[1] > WINDOW else rows[one], self.weighted)
+        used, of = np.unique(p, return_inverse=True)
+        cosine = np.einsum("ij,ij->i", mine[inverse], gathered(self.windows[used], self.weighted)[of])
+        keep = cosine >= limit
+        return n[keep], w[keep], rows[keep], p[keep], cosine[keep].astype(float)
+
+    def verbatim(self, pairs: list[tuple], texts: dict[int, np.ndarray]) -> Iterator[tuple]:
+        """Pairs by their cosine, then by words in the same order, then by words in a row."""
+        n, w, rows, p, cosine = self.near(pairs, self.min_cosine)
+        lcs = common_subsequence(rows, self.windows[p])
+        some = lcs >= self.min_words
+        n, w, rows, p, cosine, lcs = (x[some] for x in (n, w, rows, p, cosine, lcs))
+        run, i, j = longest_runs(rows, self.windows[p])
+        for k in np.flatnonzero(run >= self.min_words):
+            item = int(self.owner[p[k]])
+            yield int(n[k]), item, float(cosine[k]), widened(texts[int(n[k])], self.ids[item], int(w[k] * STRIDE + i[k]), int(self.at[p[k]] + j[k])), int(lcs[k])
+
+    def alike(self, pairs: list[tuple], texts: dict[int, np.ndarray]) -> Iterator[tuple]:
+        """Pairs by their cosine, then by words in the same order there or up to ``STRIDE`` words beside."""
+        n, w, rows, p, cosine = self.near(pairs, self.min_cosine_paraphrase)
+        lcs = common_anywhere(rows, self.around[p])
+        enough = np.flatnonzero(lcs >= ALIKE)
+        run = longest_runs(rows[enough][:, STRIDE : STRIDE + WINDOW], self.windows[p[enough]])[0]
+        for k, r in zip(enough, run):
+            yield int(n[k]), int(self.owner[p[k]]), float(cosine[k]), int(r), int(lcs[k])
+
+    def candidates(self, ids: np.ndarray, paraphrase: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(passage of the text, passage of an item) that share a term of the gate, or for paraphrases several rare terms thereabouts."""
+        known = (ids > 0) & (ids <= self.n_terms)
+        n_passages, step = len(starts(len(ids))), len(self.windows) + 1
+        if not paraphrase:
+            x, p = self.runs.hits(ids, in_runs(known, self.min_words))
+            w = np.concatenate([x // STRIDE, x // STRIDE - 1])
+            keep = (w >= 0) & (w < n_passages)
+            return np.divmod(np.unique(w[keep] * step + np.tile(p, 2)[keep]), step)
+        x, p = self.rare.hits(ids, known)
+        # Only passages with that many terms within a region stay; the text is in order, so they follow each other.
+        order, more = np.argsort(p, kind="stable"), RARE_SHARED - 1
+        x, p = x[order], p[order]
+        close = (p[more:] == p[: len(p) - more]) & (x[more:] - x[: len(x) - more] < WINDOW + 2 * STRIDE)
+        stay = np.zeros(len(x), bool)
+        for d in range(RARE_SHARED):
+            stay[d : d + len(close)] |= close
+        x, p = x[stay], p[stay]
+        # A term counts once for a passage of an item, however often it stands there.
+        w = np.concatenate([x // STRIDE + d for d in (1, 0, -1, -2)])
+        keep, width = (w >= 0) & (w < n_passages), len(self.rare.first)
+        one = np.unique(((w * step + np.tile(p, 4)) * width + np.tile(ids[x], 4))[keep]) // width
+        key, times = np.unique(one, return_counts=True)
+        return np.divmod(key[times >= RARE_SHARED], step)
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches = [(False, self.verbatim)] + ([(True, self.alike)] if self.rare is not None else [])
+        for batch in batches:
+            keys, texts, best = list(batch["k"]), {}, {}
+
+            def note(found: Iterator[tuple]) -> None:
+                for n, item, *values in found:
+                    have = best.get((n, item), (0.0, 0, 0))
+                    best[n, item] = tuple(map(max, have, values))
+
+            held: list[list] = [[] for _ in searches]
+            size = [0 for _ in searches]
+            for n, raw in enumerate(batch["ids"]):
+                ids = np.frombuffer(zlib.decompress(raw), np.int32)
+                shown = np.where(ids <= self.n_terms, ids, 0)
+                for s, (paraphrase, test) in enumerate(searches):
+                    w, p = self.candidates(ids, paraphrase)
+                    if not len(w):
+                        continue
+                    texts[n] = ids
+                    if paraphrase:
+                        padded = np.concatenate([np.zeros(STRIDE, np.int32), shown, np.zeros(WINDOW + STRIDE, np.int32)])
+                    else:  # words that cannot belong to words in a row weigh nothing
+                        padded = np.concatenate([np.where(in_runs(shown > 0, self.min_words), shown, 0), np.zeros(WINDOW, np.int32)])
+                    for k in range(0, len(w), AT_ONCE):
+                        rows = padded[w[k : k + AT_ONCE, None] * STRIDE + np.arange(WINDOW + 2 * STRIDE * paraphrase)]
+                        held[s].append((np.full(len(rows), n), w[k : k + AT_ONCE], rows, p[k : k + AT_ONCE]))
+                        size[s] += len(rows)
+                        if size[s] >= AT_ONCE:
+                            note(test(held[s], texts))
+                            held[s], size[s] = [], 0
+            for s, (_, test) in enumerate(searches):
+                if held[s]:
+                    note(test(held[s], texts))
+            rows = []
+            for (n, item), (cosine, run, lcs) in sorted(best.items()):
+                answered = holds(texts[n], self.answers[item])
+                if run >= self.min_words or (lcs >= ALIKE and answered and self.rare is not None):
+                    rows.append((keys[n], item, cosine, run, lcs, answered))
+            yield pd.DataFrame(rows, columns=["k", "item", "cosine", "run", "lcs", "answered"])
 
 
 def find_leaks(
@@ -327,56 +447,67 @@ def find_leaks(
     rank: int = RANK,
     paraphrase: bool = False,
 ) -> DataFrame:
-    """Documents that contain passages of items: key, item_key, cosine, longest_run (24 at most), common_words, answered.
+    """Documents that contain passages of items: key, item_key, cosine, longest_run, common_words, answered.
 
     A pair is found if the text has at least ``min_words`` (12 at most) words in a
     row of the item's passage; with ``paraphrase`` also if 16 of 24 words follow each
     other in the same order, wherever the 24 words start in either, and the text has
-    the item's answer. Words outside runs of
-    ``min_words`` terms of the items cannot be part of such a passage and weigh
-    nothing in the search for it; the search for paraphrases is a second one, which
-    weighs all terms. ``min_cosine`` holds for both.
-
-    The corpus stays where it is: items, their terms and the latent space are
-    broadcast, in blocks of at most ``ITEMS_PER_BLOCK`` items and about
-    ``WORDS_PER_BLOCK`` words, and every corpus passage is
-    held against them in its partition. Nothing is shuffled but one count for each
-    term. Null and empty texts and passages match nothing, passages shorter than
-    ``min_words`` match nothing; texts of any length are read whole; rows that
-    repeat come out for each repetition; an empty table on either side gives no row;
-    other columns are not read. Items with equal passages are all reported.
+    the item's answer. ``longest_run`` is counted over passages' borders for
+    words in a row, ``common_words`` within a passage of 24. ``answered`` tells
+    whether the text has the item's answer.
+
+    The corpus is cut into words once and stays where it is. Items, their terms and
+    the latent space are broadcast, in blocks of about ``WORDS_PER_BLOCK`` words, in
+    the order of their keys; more are searched in further passes. A passage of the
+    corpus is held against passages of items that share the rarest term of
+    12 words in a row with it (none with such words is missed), for paraphrases at
+    least ``RARE_SHARED`` of their ``RARE_TERMS`` rarest terms within its 48 words (the
+    README gives the share of paraphrases that this finds).
+    Of those the cosine in the latent space has to reach ``min_cosine`` (-2 lets all
+    pass, so that words in a row are found without exception; for these, words
+    outside runs of ``min_words`` terms of the items weigh nothing); then the longest
+    common subsequence, words in a row and the answer decide. Nothing is shuffled
+    but one count for each term. Null and empty texts and passages match nothing,
+    passages shorter than ``min_words`` match nothing; texts of any length are read
+    whole; rows that repeat come out for each repetition; an empty table on either
+    side gives no row; other columns are not read. Items with equal passages are all
+    reported.
     """
     if not 1 <= min_words <= STRIDE:
         raise ValueError(f"min_words must be from 1 to {STRIDE}")
     spark = corpus.sparkSession
     cosine = min_cosine if min_cosine is not None else MIN_COSINE
-    loose = None if not paraphrase else min_cosine if min_cosine is not None else MIN_COSINE_PARAPHRASE
+    loose = min_cosine if min_cosine is not None else MIN_COSINE_PARAPHRASE
     docs = corpus.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     kind, item_kind = corpus.schema[key].dataType, items.schema[item_key].dataType.simpleString()
-    wanted = items.select(F.col(item_key), F.col(passage), F.col(answer)).where(F.col(passage).isNotNull())
+    wanted = items.select(F.col(item_key), F.col(passage), F.col(answer)).where(F.col(passage).isNotNull()).orderBy(item_key, passage, answer)
     result, held = None, 0
     rows: list = []
 
     def search(rows: list) -> DataFrame:
         block = read_items(rows)
-        windows, owner = block.windows
-        idf = term_weights(docs, block)
-        space = latent_space(spark, windows, idf, rank)
-        around = np.concatenate([regions(i) for i in block.ids]) if paraphrase and len(windows) else windows
-        shared = spark.sparkContext.broadcast((block.terms, windows, around, owner, block.answers, space, idf))
+        windows, owner, at = block.windows
+        numbered = cut_lineage(numbered_texts(docs, block.terms))
+        idf = term_weights(numbered, block)
+        space = latent_space(spark, windows, idf[: block.n_terms + 1], rank)
+        weighted = np.zeros((len(idf), space.shape[1]), np.float32)
+        weighted[: len(space)] = space * idf[: len(space), None]
+        around = np.concatenate([regions(i) for i in block.ids]) if paraphrase and len(windows) else None
+        rare = rare_gate(windows, idf) if around is not None else None
+        task = Search(block.ids, block.answers, windows, owner, at, around, weighted, block.n_terms, run_gate(windows, idf, min_words), rare, min_words, cosine, loose)
+        shared = spark.sparkContext.broadcast(task)
         keys = spark.createDataFrame([(i, k) for i, k in enumerate(block.keys)], f"item long, `{item_key}` {item_kind}")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            terms, windows, around, owner, answers, space, idf = shared.value
-            return _search(batches, terms, windows, around, owner, answers, space, idf, min_words, cosine, loose)
+            yield from shared.value(batches)
 
-        hits = docs.mapInPandas(run, "k string, item long, cosine double, run long, lcs long, answered boolean")
+        hits = numbered.where(F.col("term").isNull()).select("k", "ids").mapInPandas(run, "k string, item long, cosine double, run long, lcs long, answered boolean")
         return hits.join(F.broadcast(keys), "item").select(F.col("k").cast(kind).alias(key), item_key, "cosine", F.col("run").alias("longest_run"), F.col("lcs").alias("common_words"), "answered")
 
     for r in wanted.toLocalIterator():
         rows.append(r)
         held += len(words(r[1]))
-        if len(rows) == ITEMS_PER_BLOCK or held >= WORDS_PER_BLOCK:
+        if held >= WORDS_PER_BLOCK:
             found = search(rows)
             result = found if result is None else result.unionByName(found)
             rows, held = [], 0

@@ -15,8 +15,6 @@ from helica.sources.tables import table
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    # Texts are long: small batches keep a Python worker small.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return table(spark, folder, "documents")
 
 

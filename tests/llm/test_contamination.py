@@ -25,15 +25,34 @@ def test_any_twelve_words_lie_in_one_passage(n, data):
 
 def test_runs_of_known_words():
     ids = np.array([1, 1, 0, 2, 2, 2, 0, 3])
-    assert C.only_runs(ids, 3).tolist() == [0, 0, 0, 2, 2, 2, 0, 0]
-    assert C.only_runs(ids, 1).tolist() == ids.tolist() and C.only_runs(np.zeros(0, int), 3).tolist() == []
+    assert np.flatnonzero(C.in_runs(ids > 0, 3)).tolist() == [3, 4, 5]
+    assert C.in_runs(ids > 0, 1).tolist() == (ids > 0).tolist() and C.in_runs(np.zeros(0, bool), 3).tolist() == []
+
+
+@given(st.lists(st.integers(0, 4), min_size=24, max_size=24), st.integers(1, 12))
+def test_the_gate_holds_the_rarest_term_of_every_run(row, length):
+    idf = np.array([0, 0.1, 3, 2, 1])
+    gate = C.run_gate(np.array([row], np.int32), idf, length)
+    for s in range(24 - length + 1):
+        part = np.array(row[s : s + length], np.int32)
+        if part.all():
+            assert len(gate.hits(part, np.ones(length, bool))[0])
+
+
+def test_a_run_is_counted_over_the_borders_of_passages(spark):
+    passage = [f"v{i}" for i in range(90)]
+    docs = [(1, " ".join(["a"] * 7 + passage[5:80] + ["b"] * 50 + passage), None, None)]
+    items = [(1, "s", " ".join(passage), "v3", 1)]
+    (r,) = C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert r.longest_run == 90 and r.common_words == 24 and r.answered
 
 
 @given(st.lists(st.integers(0, 3), min_size=24, max_size=24), st.lists(st.integers(0, 3), min_size=24, max_size=24))
 def test_word_comparisons_equal_slow_ones(a, b):
     x, y = np.array([a]), np.array([b])
     run = max((n for i in range(24) for j in range(24) for n in range(25) if i + n <= 24 and j + n <= 24 and n and a[i : i + n] == b[j : j + n] and all(a[i : i + n])), default=0)
-    assert C.equal_runs(x, y)[0] == run
+    got, i, j = (int(v[0]) for v in C.longest_runs(x, y))
+    assert got == run and (not run or a[i : i + run] == b[j : j + run])
     t = [[0] * 25 for _ in range(25)]
     for i in range(24):
         for j in range(24):
@@ -85,7 +104,7 @@ def test_without_a_threshold_the_search_is_exact(spark):
 
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs, items = plant(4, 60, 9)
-    monkeypatch.setattr(C, "ITEMS_PER_BLOCK", 4)
+    monkeypatch.setattr(C, "WORDS_PER_BLOCK", 200)
     got = C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
 
@@ -139,6 +158,25 @@ def test_paraphrases_do_not_depend_on_their_place(spark):
     assert all(r.common_words >= 16 for r in got)
 
 
+def test_recall_of_planted_paraphrases(spark):
+    """Stretches of 24 to 60 words with every third to fifth replaced by a word of another item, anywhere in texts of common words."""
+    dice = random.Random(15)
+    common = [f"c{i}" for i in range(60)]
+    passages = [[dice.choice(common) if dice.random() < 0.4 else f"t{dice.randrange(900)}" for _ in range(dice.randrange(60, 120))] for _ in range(40)]
+    items = [(i, "s", " ".join(p), f"answer{i}", 0) for i, p in enumerate(passages)]
+    docs, want = [], set()
+    for d in range(300):
+        i, n, every = dice.randrange(40), dice.randrange(24, 61), dice.choice([3, 4, 5])
+        at = dice.randrange(len(passages[i]) - n + 1)
+        part = [dice.choice(dice.choice(passages)) if k % every == every - 1 else w for k, w in enumerate(passages[i][at : at + n])]
+        around = lambda k: [dice.choice(common) if dice.random() < 0.6 else f"z{dice.randrange(3000)}" for _ in range(k)]
+        docs.append((d, " ".join(around(dice.randrange(80)) + part + [f"answer{i}"] + around(dice.randrange(80))), None, None))
+        want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in C.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), paraphrase=True).collect()}
+    print(f"recall of paraphrases: {len(got & want)} of {len(want)}")
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_nulls_empty_and_long_texts(spark):
     p = " ".join(VOCABULARY[:40])
     docs = [(None, p, None, None), (1, None, None, None), (2, "", None, None), (2**60 + 1, "x " * 300_000 + p, None, None), (2**60 + 1, "x " * 300_000 + p, None, None)]

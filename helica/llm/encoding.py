@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,9 +13,6 @@ from pyspark.sql import functions as F
 
 #: Encodings that UTF-8 bytes are read with by mistake.
 CODECS = ("cp1252", "cp1250", "mac_roman", "cp437", "cp932", "cp1251", "cp1254", "cp850")
-#: How often a text may have been garbled over and over.
-ROUNDS = 4
-
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 LOWER = "a-zß-öø-ÿ"
 CYRILLIC = "Ѐ-џ"
@@ -86,6 +84,11 @@ def pair_pattern(codec: str) -> re.Pattern:
 OWN_SCRIPT = {"cp1251": re.compile("[Ѐ-џ]"), "cp932": re.compile("[ｦ-ﾟ]")}
 
 
+def other_letters(decoded: str, n_bytes: int, codec: str) -> bool:
+    """Whether a span is two or more assigned letters or symbols of three bytes each, or four: no chance of that in text whose own script the codec is not."""
+    return codec not in OWN_SCRIPT and len(decoded) > 1 and n_bytes >= 3 * len(decoded) and all(unicodedata.category(c)[0] in "LMNS" for c in decoded)
+
+
 def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str]], int]:
     """Spans (start, end, decoded) of UTF-8 read as ``codec``, and how many of them are beyond doubt.
 
@@ -99,7 +102,7 @@ def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str]], in
     for m in SPAN.finditer(text.translate(to_bytes(codec))):
         a, b = m.span()
         decoded = m.group().encode("latin-1").decode("utf-8")
-        if not PLAUSIBLE.fullmatch(C1.sub("", decoded) if len(decoded) > 1 else decoded):
+        if not PLAUSIBLE.fullmatch(C1.sub("", decoded) if len(decoded) > 1 else decoded) and not other_letters(decoded, b - a, codec):
             continue
         before, after = text[a - 1 : a] if a else "", text[b : b + 1]
         if len(decoded) == 1 and b - a == 2:
@@ -112,9 +115,9 @@ def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str]], in
 
 
 def repair_multibyte(text: str) -> tuple[str, int]:
-    """The text with all garbled multibyte spans decoded, and their number."""
+    """The text with all garbled multibyte spans decoded, and their number; however often it was garbled, as each round shortens it."""
     total = 0
-    for _ in range(ROUNDS):
+    while True:
         best: list[tuple[int, int, str]] = []
         score = 0
         for codec in CODECS:
@@ -174,15 +177,16 @@ VOWELS = "aeiouy\xe4\xf6\xfc\xe5\xe6\xf8\xe1\xe9\xed\xf3\xfa\xe0\xe8\xea\xee\xef
 RIGHT_LETTER = re.compile(f"(?<=[{LOWER}])[à-öø-ÿ]|[à-öø-ÿ](?=[a-z])")
 
 
-def repair_mac(text: str) -> tuple[str, int]:
+def repair_mac(text: str, untouched: list[bool] | None = None) -> tuple[str, int]:
     """Mac Western bytes read as cp1252, back to what they were, if a word shows it.
 
     Lines that show it are restored; so are all others where no letter of the text
     stands right inside a word, that is where the whole text was read wrongly.
+    With ``untouched`` only lines for which it is true, and that show it themselves.
     """
     if not MAC_INSIDE.search(text):
         return text, 0
-    whole = not RIGHT_LETTER.search(text)
+    whole = untouched is None and not RIGHT_LETTER.search(text)
     n = 0
 
     def letter(line: str, i: int) -> str:
@@ -196,36 +200,53 @@ def repair_mac(text: str) -> tuple[str, int]:
         return d
 
     out = []
-    for line in text.splitlines(keepends=True):
-        if whole or MAC_INSIDE.search(line):
+    for k, line in enumerate(text.split("\n")):
+        if whole or (MAC_INSIDE.search(line) and (untouched is None or untouched[k])):
             fixed = "".join(letter(line, i) for i in range(len(line))) if not line.isascii() else line
             n += sum(x != y for x, y in zip(line, fixed))
             line = fixed
         out.append(line)
-    return "".join(out), n
+    return "\n".join(out), n
 
 
 LOST = "�"
 
 
-def repair(text: str) -> tuple[str, list[str], int]:
-    """The restored text, the kinds of damage, and the number of restored spans.
+def left_over(text: str) -> bool:
+    """Whether a text still has a span that could be garbled, a word of two scripts or a sign inside a word."""
+    return bool(MIXED.search(text) or MAC_INSIDE.search(text)) or any(garbled_spans(text, c)[0] for c in CODECS)
+
+
+def repair(text: str) -> tuple[str, list[str], int, bool]:
+    """The restored text, the kinds of damage, the number of restored spans, and whether nothing is left to restore.
 
     Kinds: ``multibyte`` (UTF-8 read in a one-byte encoding, once or more often),
     ``cyrillic`` and ``mac`` (one-byte encodings mixed up), ``lost`` (replacement
     characters, whose bytes are gone, so the text cannot be restored in full).
+    Spans and words of two scripts are restored until none is left, as either may
+    bring out the other. The Mac step then takes the lines that were not restored;
+    a line with both kinds of damage keeps the second. What the result still has is
+    looked at once more, so ``complete`` is about the text that comes out.
     """
-    kinds, total = [], 0
-    for kind, step in (("multibyte", repair_multibyte), ("cyrillic", repair_cyrillic), ("mac", repair_mac)):
-        if kinds and kind == "mac":
-            break
-        text, n = step(text)
-        if n:
-            kinds.append(kind)
+    kinds, total, given = [], 0, text
+    while True:
+        before = text
+        for kind, step in (("multibyte", repair_multibyte), ("cyrillic", repair_cyrillic)):
+            text, n = step(text)
             total += n
+            if n and kind not in kinds:
+                kinds.append(kind)
+        if text == before:
+            break
+    old, new = given.split("\n"), text.split("\n")
+    untouched = None if not kinds else [x == y for x, y in zip(old, new)] if len(old) == len(new) else [False] * len(new)
+    text, n = repair_mac(text, untouched)
+    if n:
+        kinds.append("mac")
+        total += n
     if LOST in text:
         kinds.append("lost")
-    return text, kinds, total
+    return text, kinds, total, bool(kinds) and "lost" not in kinds and not left_over(text)
 
 
 def _java_class(chars: set[str]) -> str:
@@ -257,7 +278,8 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     A pattern on the JVM side leaves the texts with any suspicious pair of
     characters; only those go to Python. Null and empty texts are never garbled;
     texts of any length are read whole; repeated rows come out repeated.
-    ``complete`` is false where characters were lost for good. Where two encodings
+    ``complete`` is false where characters were lost for good or the restored text
+    still looks garbled somewhere. Where two encodings
     explain the same number of characters the first of ``CODECS`` is taken. An empty
     table gives no row; other columns are not read.
     """
@@ -265,7 +287,7 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, *repair(t)) for k, t in zip(batch["k"], batch["t"])]
-            rows = [(k, kinds, n, fixed, "lost" not in kinds) for k, fixed, kinds, n in rows if kinds]
+            rows = [(k, kinds, n, fixed, complete) for k, fixed, kinds, n, complete in rows if kinds]
             yield pd.DataFrame(rows, columns=["k", "kinds", "n_restored", "restored", "complete"])
 
     kind = df.schema[key].dataType

@@ -14,12 +14,36 @@ def misread(text, codec, right="utf-8"):
 def test_utf8_read_wrongly_comes_back(codec):
     garbled = misread(TEXT, codec)
     assert garbled != TEXT
-    fixed, kinds, n = E.repair(garbled)
-    assert fixed == TEXT and kinds == ["multibyte"] and n > 8
+    fixed, kinds, n, complete = E.repair(garbled)
+    assert complete and fixed == TEXT and kinds == ["multibyte"] and n > 8
 
 
 def test_garbled_twice_comes_back():
-    assert E.repair(misread(misread(TEXT, "cp1252"), "cp1252"))[0] == TEXT
+    garbled = TEXT
+    for _ in range(6):
+        garbled = misread(garbled, "cp1252")
+        assert E.repair(garbled)[0] == TEXT and E.repair(garbled)[3]
+
+
+def test_different_damages_of_one_text():
+    lines = ["La densité régulière", "une mesure précise", "la méthode naïve", "Fräulein Grüßer"]
+    garbled = "\n".join([misread(lines[0], "cp1252"), lines[1].encode("cp1252").decode("cp1251"), misread(misread(lines[2], "mac_roman"), "cp1252"), misread(lines[3], "cp1252", "mac_roman")])
+    fixed, kinds, _, complete = E.repair(garbled)
+    assert fixed == "\n".join(lines) and kinds == ["multibyte", "cyrillic", "mac"] and complete
+
+
+def test_what_stays_garbled_is_not_complete():
+    both = misread("méthode", "cp1252") + " et " + misread("Fräulein", "cp1252", "mac_roman")
+    fixed, kinds, _, complete = E.repair(both)
+    assert fixed.startswith("méthode et ") and kinds == ["multibyte"] and not complete
+
+
+@pytest.mark.parametrize("text", ["題名は日本語です", "Привет, 世界 мир", "שלום עולם", "😀😃 ok"])
+@pytest.mark.parametrize("codec", ["cp1252", "mac_roman"])
+def test_other_scripts_come_back_or_are_left_alone(text, codec):
+    fixed, kinds, _, complete = E.repair(misread(text, codec))
+    assert fixed == text or not complete or not kinds
+    assert E.repair(text)[1] == []
 
 
 def test_garbled_in_one_place():
@@ -40,8 +64,8 @@ def test_mac_read_as_western():
 
 
 def test_lost_characters_are_reported():
-    fixed, kinds, n = E.repair("d�pend")
-    assert kinds == ["lost"] and n == 0 and fixed == "d�pend"
+    fixed, kinds, n, complete = E.repair("d�pend")
+    assert not complete and kinds == ["lost"] and n == 0 and fixed == "d�pend"
 
 
 @pytest.mark.parametrize(

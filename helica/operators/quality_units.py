@@ -12,9 +12,9 @@ from helica.operators.joins import keyed_join
 from helica.operators.units import Reading, convert, resolve_units
 
 MAX_SCORE = 41
-#: A value may miss a whole score by a rounded fifth digit, no more; in logarithms, summed over a read.
-MAX_LOG_RESIDUAL = 0.5
-NEW = {"unit", "unit_source", "unit_ambiguous", "quality_phred33", "lane_cut", "unit_below", "unit_from", "_values", "_claim", "_fits", "_salt"}
+#: How far, as a logarithm of a ratio of probabilities, any value of a read may miss a whole score: a quarter of a score, as much as rounding to two digits does.
+MAX_LOG_RESIDUAL = math.log(10) / 40
+NEW = {"unit", "unit_source", "unit_ambiguous", "quality_phred33", "lane_cut", "unit_below", "unit_from", "_values", "_claim", "_misses", "_fits", "_salt"}
 
 
 def stated_units(runs: DataFrame, key: str = "run_id", label: str = "quality_encoding", note: str = "run_note") -> DataFrame:
@@ -57,33 +57,60 @@ def _values(quality: Column) -> Column:
     return F.transform(F.split(F.trim(quality), r"[;,\s]+"), lambda v: v.try_cast("double"))
 
 
+def _beyond(excess: Column) -> Column:
+    """The residual of a bound that is passed by the ratio ``exp(excess)``: more than any reading may have, and the more the further."""
+    return F.when(excess > 0, 1.0 + excess).otherwise(0.0)
+
+
 def quality_readings(values: Column, quality: Column, bases: Column) -> list[Reading]:
-    """The readings of a quality, by three identities.
+    """The readings of a quality, with the log residual of three identities between the columns.
 
     A read has as many scores as bases; a score ``Q`` is a whole number from 0
-    to 41; and ``Q = -10 log10 P``. Where the bases are null the first is left out.
+    to 41; and ``Q = -10 log10 P``. For each combination of notation and offset the
+    residual is the sum of: the log ratio of scores to bases (any miss is one
+    too many); the log ratio by which the highest score passes 41, and the lowest
+    falls below 0; and of all values the largest log ratio between the probability
+    that stands there and that of the next whole score. So it does not depend on
+    the length of a read. Where the bases are null the first is left out. A reading
+    is impossible (null) where values are no numbers, or have no probability.
     """
-    per_base = F.coalesce(F.size(values) == F.length(bases), F.lit(True)) & F.forall(values, lambda v: v.isNotNull())
-    as_text = F.coalesce(F.length(quality) == F.length(bases), F.lit(True))
     step = math.log(10) / 10
+    n_bases = F.length(bases)
+
+    def counted(n: Column) -> Column:
+        return F.coalesce(_beyond(F.abs(F.ln((n + 1) / (n_bases + 1)))), F.lit(0.0))
+
+    chars = F.split(quality, "")
+    highest, lowest = F.ascii(F.array_max(chars)), F.ascii(F.array_min(chars))
 
-    def total(usable, score, log_miss) -> Column:
-        inside = F.forall(values, lambda v: usable(v) & (F.round(score(v)) <= MAX_SCORE))
-        return F.when(per_base & inside, F.aggregate(values, F.lit(0.0), lambda a, v: a + log_miss(v)))
+    def text(offset: int) -> Column:
+        ascii_only = F.coalesce(~quality.rlike(r"[^\x00-\x7f]"), F.lit(False))
+        over, under = F.ln((highest - offset + 1) / (MAX_SCORE + 1)), F.log1p(F.lit(offset) - lowest)
+        range_of = F.when(quality == "", 0.0).otherwise(_beyond(F.when(highest >= offset, over).otherwise(0.0)) + _beyond(F.when(lowest < offset, under).otherwise(0.0)))
+        return F.when(ascii_only, counted(F.length(quality)) + range_of)
+
+    def numbers(score, miss, possible) -> Column:
+        """The count, and of all values the largest miss; null as soon as one is impossible."""
+        usable = (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(possible(v), F.lit(False)))
+
+        def one(v: Column) -> Column:
+            q = F.round(score(v))
+            return miss(v, q) + _beyond(F.when(q > MAX_SCORE, F.ln(q / MAX_SCORE)).otherwise(0.0))
+
+        return F.when(usable, counted(F.size(values)) + F.aggregate(values, F.lit(0.0), lambda a, v: F.greatest(a, one(v))))
 
     def text_of(score) -> Column:
         return F.array_join(F.transform(values, lambda v: F.char(F.round(score(v)).cast("int") + 33)), "")
 
-    def minus_ten(v: Column) -> Column:
-        return -10 * F.log10(v)
-
+    minus_ten = lambda v: -10 * F.log10(v)
+    # A written score is whole, so a part of one is missed both as a score and by the ratio to the next, which has no bound near 0.
+    scores = lambda v, q: F.when(v == q, 0.0).when(q == 0, 1.0 + F.abs(v)).otherwise(F.greatest(F.abs(F.ln(v / q)), F.abs(v - q) * step))
     return [
-        Reading("phred33", F.when(as_text & quality.rlike(r"^[!-J]*\z"), F.lit(0.0)), quality),
-        Reading("phred64", F.when(as_text & quality.rlike(r"^[@-i]+\z"), F.lit(0.0)), F.translate(quality, "".join(map(chr, range(64, 127))), "".join(map(chr, range(33, 96))))),
-        # A written score is a whole number, so any other value misses it by an unbounded ratio near 0.
-        Reading("decimal", total(lambda v: (v >= 0) & (v == F.round(v)), lambda v: v, lambda v: F.lit(0.0)), text_of(lambda v: v)),
-        Reading("errprob", total(lambda v: (v > 0) & (v <= 1), minus_ten, lambda v: F.abs(F.ln(v) + F.round(minus_ten(v)) * step)), text_of(minus_ten)),
-        Reading("log10", total(lambda v: v <= 0, lambda v: -10 * v, lambda v: F.abs(v * 10 + F.round(-10 * v)) * step), text_of(lambda v: -10 * v)),
+        Reading("phred33", text(33), quality),
+        Reading("phred64", text(64), F.translate(quality, "".join(map(chr, range(64, 127))), "".join(map(chr, range(33, 96))))),
+        Reading("decimal", numbers(lambda v: v, scores, lambda v: v >= 0), text_of(lambda v: v)),
+        Reading("errprob", numbers(minus_ten, lambda v, q: F.abs(F.ln(v) + q * step), lambda v: (v > 0) & (v <= 1)), text_of(minus_ten)),
+        Reading("log10", numbers(lambda v: -10 * v, lambda v, q: F.abs(v * 10 + q) * step, lambda v: v <= 0), text_of(lambda v: -10 * v)),
     ]
 
 
@@ -100,6 +127,5 @@ def unify_qualities(fragments: DataFrame, runs: DataFrame, quality: str = "quali
     q = F.col(quality)
     valued = joined.withColumn("_values", F.when(q.rlike(r"^\s*[-+.0-9]"), _values(q)).otherwise(F.array().cast("array<double>")))
     readings = quality_readings(F.col("_values"), q, F.col(bases))
-    readings = [r if r.unit.startswith("phred") else Reading(r.unit, F.when(F.size("_values") > 0, r.residual), r.value) for r in readings]
     resolved = resolve_units(valued, readings, F.when(q.isNotNull(), claim), MAX_LOG_RESIDUAL)
     return convert(resolved, readings, "quality_phred33").drop("_values", "lane_cut", "unit_below", "unit_from")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helica.operators.rejects import computed_once
+
 #: Residuals closer than this are a tie.
 TIE = 1e-9
 
@@ -36,8 +38,10 @@ def resolve_units(df: DataFrame, readings: list[Reading], claim: Column, max_res
     unit is null, as the identities leave more than one solution.
     ``unit_source`` is ``stated``, ``values`` or null.
     """
-    fits = F.array_compact(F.array(*(F.when(r.residual <= max_residual, F.struct(r.residual.alias("residual"), F.lit(r.unit).alias("unit"))) for r in readings)))
-    ranked = df.withColumn("_claim", claim).withColumn("_fits", F.array_sort(fits))
+    stated = computed_once(df, _claim=claim)
+    # Residuals are measured once a row, and only where the source states nothing.
+    measured = computed_once(stated, _misses=F.when(F.col("_claim").isNull(), F.array(*(F.struct(r.residual.alias("residual"), F.lit(r.unit).alias("unit")) for r in readings))))
+    ranked = computed_once(measured, _fits=F.array_sort(F.filter("_misses", lambda m: m["residual"] <= max_residual))).drop("_misses")
     first, second = F.get("_fits", F.lit(0)), F.get("_fits", F.lit(1))
     tied = F.coalesce((second["residual"] - first["residual"]) <= TIE, F.lit(False))
     return (

@@ -55,6 +55,13 @@ def p5_phred33(spark: SparkSession, folder: str) -> DataFrame:
     return _units(spark, folder).select("fragment_id", F.col("quality_phred33").alias("quality"), F.col("unit").alias("quality_unit"), "unit_source", "unit_ambiguous").distinct()
 
 
+def p5_by_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The unit of every fragment as its values alone tell it, whatever its run states."""
+    silent = table(spark, folder, "seq_runs").select("run_id", F.lit(None).cast("string").alias("quality_encoding"), F.lit(None).cast("string").alias("run_note"))
+    units = unify_qualities(table(spark, folder, "fragments").select("fragment_id", "run_id", "lane", "seq_bases", "quality"), silent)
+    return units.select("fragment_id", F.col("unit").alias("quality_unit"), "unit_ambiguous").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return heavy_keys(table(spark, folder, "alignments"), "record_key").select("record_key")
 
@@ -63,4 +70,4 @@ def p6_key_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats_by_key(table(spark, folder, "alignments"), "record_key", first_load=F.min("loaded_at"), last_load=F.max("loaded_at"), mean_mapq=F.avg("mapq"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_types, p4_found, p4_valid, p5_found, p5_phred33, p6_found, p6_key_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_types, p4_found, p4_valid, p5_found, p5_phred33, p5_by_values, p6_found, p6_key_stats)}

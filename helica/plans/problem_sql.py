@@ -71,8 +71,23 @@ w AS (SELECT *, CASE WHEN quality IS NULL THEN NULL WHEN claim IS NOT NULL THEN
     WHEN regexp_full_match(quality, '[@-i]+') AND length(quality) = length(seq_bases) AND NOT regexp_full_match(quality, '[!-J]*') THEN 'phred64' END AS unit FROM k)
 """
 
+_P5_BY_VALUES = """
+WITH f AS (SELECT DISTINCT fragment_id, run_id, lane, seq_bases, quality FROM fragments),
+v AS (SELECT *, CASE WHEN regexp_full_match(quality, '[-+.0-9eE;, ]+') THEN [try_cast(x AS DOUBLE) FOR x IN regexp_split_to_array(trim(quality), '[;,\\s]+')] END AS v FROM f),
+n AS (SELECT *, len(v) = coalesce(length(seq_bases), len(v)) AND len([1 FOR x IN v IF x IS NULL]) = 0 AS num, length(quality) = coalesce(length(seq_bases), length(quality)) AS txt FROM v),
+fits AS (SELECT *, list_filter([
+    CASE WHEN txt AND regexp_full_match(quality, '[!-J]*') THEN 'phred33' END,
+    CASE WHEN txt AND regexp_full_match(quality, '[@-i]*') THEN 'phred64' END,
+    CASE WHEN num AND list_min(v) >= 0 AND list_max(v) <= 41 AND len([1 FOR x IN v IF x <> round(x)]) = 0 THEN 'decimal' END,
+    CASE WHEN num AND list_min(v) > 0 AND list_max(v) <= 1 THEN CASE WHEN len([1 FOR x IN v IF round(-10 * log10(x)) > 41 OR abs(-10 * log10(x) - round(-10 * log10(x))) > 0.25]) = 0 THEN 'errprob' END END,
+    CASE WHEN num AND list_max(v) <= 0 AND list_min(v) >= -4.1 AND len([1 FOR x IN v IF abs(10 * x - round(10 * x)) > 0.25]) = 0 THEN 'log10' END
+    ], lambda u: u IS NOT NULL) AS u FROM n)
+SELECT DISTINCT fragment_id, CASE WHEN len(u) = 1 THEN u[1] END AS quality_unit, coalesce(len(u) > 1, false) AS unit_ambiguous FROM fits
+"""
+
 SQL = {
     "p1_found": P1_FOUND,
+    "p5_by_values": _P5_BY_VALUES,
     "p4_found": _P4 + "SELECT line_id, fail_reason FROM e WHERE fail_reason IS NOT NULL",
     "p4_valid": _P4
     + """SELECT line_id, f[1] AS instrument, f[2]::INT AS run, f[3]::INT AS lane, f[4]::INT AS tile, f[5]::INT AS xpos, f[6]::INT AS ypos,

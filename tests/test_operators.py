@@ -95,12 +95,14 @@ def test_units_by_values_and_statement(spark):
         23: (1, 1, "ACG", "40,0", None, None), 24: (1, 1, None, "40,0", None, None), 25: (1, 1, "A" * 50_000, "I" * 50_000, None, None), 26: (1, 1, "A" * 20_000, ",".join(["38"] * 20_000), "decimal", "G" * 20_000), 27: (1, 1, "AC", "0,0", None, None), 28: (1, 1, "AC", "50,2", None, None),
     }
     del cases[12]
+    # The length of a read does not matter, nor do two digits; a score of 42 and parts of scores are none.
+    cases |= {29: (1, 1, "A" * 6000, " ".join(["7.9e-05"] * 6000), "errprob", "J" * 6000), 30: (1, 1, "AC", "-4.2 -1", None, None), 31: (1, 1, "AC", "30.5 2", None, None), 32: (1, 1, "AC", "!K", None, None), 33: (1, 1, "ACG", "!5", None, None), 34: (1, 1, "AC", "é!", None, None), 35: (1, 1, "", "", None, None)}
     rows = [(i, r, lane, s, q, "mine") for i, (r, lane, s, q, _, _) in cases.items()]
     df = unify_qualities(spark.createDataFrame(rows + rows[:1], FRAGMENTS), runs)
     got = df.collect()
     assert len(got) == len(rows) + 1
     assert {r.fragment_id: (r.unit, r.quality_phred33) for r in got} == {i: (u, q33) for i, (*_, u, q33) in cases.items()}
-    assert {r.fragment_id for r in got if r.unit_ambiguous} == {16, 24, 25, 27} and {r.input_unit for r in got} == {"mine"}
+    assert {r.fragment_id for r in got if r.unit_ambiguous} == {16, 24, 25, 27, 35} and {r.input_unit for r in got} == {"mine"}
     assert {r.unit_source for r in got if r.fragment_id in (17, 18, 19)} == {"stated"}
     assert unify_qualities(df.select("fragment_id", "run_id", "lane", "seq_bases", "quality").limit(0), runs.limit(0)).count() == 0
 

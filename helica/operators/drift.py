@@ -8,7 +8,7 @@ pair is a rename.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helica.operators.ordered import previous_row
+from helica.session import cut_lineage
 
 #: Weights of the parts of a pair's likeness.
 WEIGHTS = {"text": 4.0, "type": 1.0, "count": 0.5, "values": 1.0, "name": 0.5}
@@ -82,10 +83,10 @@ def match_fields(gone: list[dict], new: list[dict], same_text: bool) -> list[tup
     """Indexes of the (gone, new) pairs that are renames.
 
     With ``same_text`` only pairs of equal, non-empty text may match; otherwise
-    pairs whose likeness reaches half of the highest possible.
+    pairs whose likeness reaches half of the highest possible, which is less where
+    neither has a text: then type, count, values and name decide alone.
     """
     score = np.full((len(gone), len(new)), -np.inf)
-    need = sum(WEIGHTS.values()) / 2
     for i, a in enumerate(gone):
         for j, b in enumerate(new):
             text = float(bool(a["text"]) and a["text"] == b["text"])
@@ -98,7 +99,8 @@ def match_fields(gone: list[dict], new: list[dict], same_text: bool) -> list[tup
                 + WEIGHTS["values"] * sketch_likeness(a["sketch"], b["sketch"])
                 + WEIGHTS["name"] * edit_likeness(a["name"], b["name"])
             )
-            if same_text or likeness >= need:
+            most = sum(WEIGHTS.values()) - WEIGHTS["text"] * (not a["text"] and not b["text"])
+            if same_text or likeness >= most / 2:
                 score[i, j] = likeness
     return best_assignment(score) if np.isfinite(score).any() else []
 
@@ -108,46 +110,76 @@ def squeezed(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
 
 
-PROFILE = "struct<name:string,text:string,type:string,count:string,sketch:array<double>>"
+PROFILE = "struct<name:string,text:string,type:string,count:string>"
+SKETCHED = "struct<name:string,text:string,type:string,count:string,sketch:array<double>>"
 
 
-def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True) -> DataFrame:
+def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True, sketch_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Changes of fields between each version and the one before it.
 
-    ``profiles``: version, kind, name, text, type, count, sketch; one row a field.
+    ``profiles``: version, kind, name, text, type, count; one row a field.
     ``order``: version, previous. Result: version, kind, name, change (``added``,
     ``removed``, ``renamed`` or ``retyped``), old_name (of renames).
 
     Two profiles with the same kind and name are the same field. The two sides of
     a version meet in one hash aggregation on (version, kind, name), so a long
-    history costs no join of versions with versions; only names on one side go on
-    to the matching, which sees one version and kind at a time (a header's
-    fields, whose number has a bound). Null texts, types and counts are values of
-    their own, and no null or empty text equals another. Of equally good matchings
-    the one with the lower names is taken. Empty tables give no changes; other
-    columns are not read.
+    history costs no join of versions with versions. Names on one side only are
+    matched. With ``same_text`` the bipartite graph falls apart by text: one gone
+    and one new field of a text are a rename, and only where several share it
+    their likeness decides; otherwise all gone and new fields of a version and kind
+    are matched by it. ``sketch_of`` gives the value sketches (version, kind, name,
+    sketch) of the fields that are so compared, and of no others. Null texts, types
+    and counts are values of their own, and no null or empty text equals another.
+    Of equally good matchings the one with the lower names is taken. Empty tables
+    give no changes; other columns are not read.
     """
-    profile = F.struct("name", "text", "type", "count", "sketch").cast(PROFILE)
+    profile = F.struct("name", "text", "type", "count").cast(PROFILE)
     later = order.where(F.col("previous").isNotNull())
     now = profiles.join(later.select("version"), "version").select("version", "kind", "name", profile.alias("now"), F.lit(None).cast(PROFILE).alias("before"))
     old = profiles.withColumnRenamed("version", "previous").join(later, "previous").select("version", "kind", "name", F.lit(None).cast(PROFILE).alias("now"), profile.alias("before"))
     sides = now.unionByName(old).groupBy("version", "kind", "name").agg(F.first("now", ignorenulls=True).alias("now"), F.first("before", ignorenulls=True).alias("before"))
     same = F.col("now.type").eqNullSafe(F.col("before.type")) & F.col("now.count").eqNullSafe(F.col("before.count"))
     kind_of = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(~same, "retyped")
-    changed = sides.withColumn("change", kind_of).where(F.col("change").isNotNull())
+    # The changes are few beside the fields, and several steps need them.
+    changed = cut_lineage(sides.withColumn("change", kind_of).where(F.col("change").isNotNull()))
     retyped = changed.where(F.col("change") == "retyped").select("version", "kind", "name", "change", F.lit(None).cast("string").alias("old_name"))
+    text = F.coalesce(F.col("now.text"), F.col("before.text"), F.lit(""))
+    keys = ["version", "kind", "topic"]
     groups = (
         changed.where(F.col("change") != "retyped")
-        .groupBy("version", "kind")
+        .withColumn("topic", text if same_text else F.lit(""))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("now")).alias("new"), F.array_sort(F.collect_list("before")).alias("gone"))
     )
+    both = (F.size("new") > 0) & (F.size("gone") > 0) & ((F.col("topic") != "") | F.lit(not same_text))
+    several = (F.greatest(F.size("new"), F.size("gone")) > 1) | F.lit(not same_text)
+    row = lambda name, change, old: F.struct(name.alias("name"), F.lit(change).alias("change"), old.alias("old_name"))
+    none = F.lit(None).cast("string")
+    alone = F.concat(F.transform("new", lambda f: row(f["name"], "added", none)), F.transform("gone", lambda f: row(f["name"], "removed", none)))
+    one = F.array(row(F.get("new", F.lit(0))["name"], "renamed", F.get("gone", F.lit(0))["name"]))
+    plain = groups.where(~(both & several)).select("version", "kind", F.explode(F.when(both, one).otherwise(alone)).alias("c")).select("version", "kind", "c.*")
+
+    contested = cut_lineage(
+        groups.where(both & several).join(later, "version")
+        .select(*keys, F.explode(F.concat(F.transform("new", lambda f: F.struct(F.lit(True).alias("is_new"), F.col("version").alias("source"), f.alias("f"))), F.transform("gone", lambda f: F.struct(F.lit(False).alias("is_new"), F.col("previous").alias("source"), f.alias("f"))))).alias("e"))
+        .select(*keys, "e.is_new", "e.source", "kind", "e.f.*")
+        .select(*keys, "is_new", "source", "name", "text", "type", "count")
+    )
+    if sketch_of:
+        fields = contested.select(F.col("source").alias("version"), "kind", "name").distinct()
+        contested = contested.join(sketch_of(fields).withColumnRenamed("version", "source"), ["source", "kind", "name"], "left")
+    else:
+        contested = contested.withColumn("sketch", F.lit(None).cast("array<double>"))
+    full = F.struct("name", "text", "type", "count", "sketch").cast(SKETCHED)
+    side = lambda new: F.array_sort(F.collect_list(F.when(F.col("is_new") == new, full)))
+    compared = contested.groupBy(*keys).agg(side(True).alias("new"), side(False).alias("gone"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             for version, kind, new, gone in zip(batch["version"], batch["kind"], batch["new"], batch["gone"]):
                 new, gone = list(new), list(gone)
-                pairs = match_fields(gone, new, same_text) if len(new) and len(gone) else []
+                pairs = match_fields(gone, new, same_text)
                 matched = {j: gone[i]["name"] for i, j in pairs}
                 left = {i for i, _ in pairs}
                 rows += [(version, kind, f["name"], "renamed" if j in matched else "added", matched.get(j)) for j, f in enumerate(new)]
@@ -155,8 +187,8 @@ def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True)
             yield pd.DataFrame(rows, columns=["version", "kind", "name", "change", "old_name"])
 
     version_type = profiles.schema["version"].dataType.simpleString()
-    moved = groups.mapInPandas(match, f"version {version_type}, kind string, name string, change string, old_name string")
-    return retyped.unionByName(moved)
+    matched = compared.mapInPandas(match, f"version {version_type}, kind string, name string, change string, old_name string")
+    return retyped.unionByName(plain).unionByName(matched)
 
 
 def member_changes(members: DataFrame, order: DataFrame, kind: str) -> DataFrame:

@@ -23,8 +23,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """The unified table, with its nested columns as texts (``field=value``, ``.`` for none) and the number of typed values beside them."""
     tables = _drift_tables(spark, folder)
-    return unify_variants(*tables, cut_lineage(dictionary_changes(*tables)))
+    rows = unify_variants(*tables, cut_lineage(dictionary_changes(*tables)))
+    text = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws("=", e["field"], F.coalesce(e["value"], F.lit(".")))), ";")
+    typed = F.size(F.filter(F.concat("format_values", "info_values"), lambda e: e["number"].isNotNull()))
+    return rows.select(*(c for c in rows.columns if c not in ("alt_alleles", "format_values", "info_values")), F.array_join("alt_alleles", ",").alias("alt_alleles"), text("format_values").alias("format_values"), text("info_values").alias("info_values"), typed.alias("n_numbers"))
 
 
 def p1_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +36,13 @@ def p1_types(spark: SparkSession, folder: str) -> DataFrame:
     return unified_types(files, fields, cut_lineage(dictionary_changes(files, fields, variants)))
 
 
+def p1_likeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Renames by type, count, values and name alone, as if no field had a text."""
+    files, fields, variants = _drift_tables(spark, folder)
+    changes = dictionary_changes(files, fields.withColumn("field_text", F.lit(None).cast("string")), variants, same_text=False)
+    return changes.where(F.col("change") == "renamed").select(F.col("version").alias("file_id"), F.col("kind").alias("item_kind"), F.col("name").alias("item_name"), "old_name")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     _, bad = parse_qseq_lines(table(spark, folder, "qseq_lines"))
     return bad.select("line_id", "fail_reason")
@@ -70,4 +81,4 @@ def p6_key_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats_by_key(table(spark, folder, "alignments"), "record_key", first_load=F.min("loaded_at"), last_load=F.max("loaded_at"), mean_mapq=F.avg("mapq"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_types, p4_found, p4_valid, p5_found, p5_phred33, p5_by_values, p6_found, p6_key_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_types, p1_likeness, p4_found, p4_valid, p5_found, p5_phred33, p5_by_values, p6_found, p6_key_stats)}

@@ -23,6 +23,62 @@ UNION ALL SELECT file_id, 'SAMPLE', '*', 'reordered' FROM s
           WHERE list_filter(cur, lambda v: list_contains(old, v)) <> list_filter(old, lambda v: list_contains(cur, v))
 """
 
+#: The life of every field of a cohort, file by file: rows of the living carry where they began; the dead wait for a field of their text.
+_LIVES = """
+WITH RECURSIVE c AS (SELECT file_id, cohort_id, file_seq, row_number() OVER (PARTITION BY cohort_id ORDER BY file_seq, file_id) AS n
+  FROM (SELECT DISTINCT file_id, cohort_id, file_seq FROM bcf_files) WHERE cohort_id IS NOT NULL AND file_seq IS NOT NULL),
+d AS (SELECT file_id, field_class, field_id, min(dict_pos) AS dict_pos, min(lower(trim(value_type))) AS t,
+             coalesce(min(lower(regexp_replace(field_text, '\\s+', '', 'g'))), '') AS x
+      FROM bcf_fields WHERE file_id IS NOT NULL AND field_class IS NOT NULL AND field_id IS NOT NULL GROUP BY ALL),
+cf AS (SELECT cohort_id, n, field_class, field_id, x FROM d JOIN c USING (file_id)),
+life AS (
+  SELECT cohort_id, n, field_class, field_id, x, field_id AS root_id, n AS root_n, true AS alive, NULL::BIGINT AS died FROM cf WHERE n = 1
+  UNION ALL
+  (WITH was AS (SELECT * FROM life),
+   cur AS (SELECT cf.* FROM cf JOIN (SELECT DISTINCT cohort_id, n + 1 AS n FROM was) k USING (cohort_id, n)),
+   same AS (SELECT cur.*, was.root_id, was.root_n FROM cur JOIN was USING (cohort_id, field_class, field_id) WHERE was.alive),
+   fresh AS (SELECT cur.* FROM cur ANTI JOIN (SELECT * FROM was WHERE alive) w USING (cohort_id, field_class, field_id)),
+   gone AS (SELECT * FROM was ANTI JOIN cur USING (cohort_id, field_class, field_id) WHERE alive),
+   renamed AS (SELECT fresh.*, gone.root_id, gone.root_n, gone.field_id AS old_id FROM fresh JOIN gone USING (cohort_id, field_class, x) WHERE x <> ''),
+   rest AS (SELECT * FROM fresh ANTI JOIN renamed USING (cohort_id, field_class, field_id)),
+   dead AS (SELECT * FROM was WHERE NOT alive QUALIFY row_number() OVER (PARTITION BY cohort_id, field_class, x ORDER BY died DESC) = 1),
+   back AS (SELECT rest.*, dead.root_id, dead.root_n FROM rest JOIN dead USING (cohort_id, field_class, x) WHERE x <> ''),
+   step AS (SELECT cohort_id, n FROM cur GROUP BY ALL)
+   SELECT cohort_id, n, field_class, field_id, x, root_id, root_n, true, NULL::BIGINT FROM same
+   UNION ALL SELECT cohort_id, n, field_class, field_id, x, root_id, root_n, true, NULL FROM renamed
+   UNION ALL SELECT cohort_id, n, field_class, field_id, x, root_id, root_n, true, NULL FROM back
+   UNION ALL SELECT cohort_id, n, field_class, field_id, x, field_id, n, true, NULL FROM rest ANTI JOIN back USING (cohort_id, field_class, field_id)
+   UNION ALL SELECT g.cohort_id, step.n, g.field_class, g.field_id, g.x, g.root_id, g.root_n, false, step.n FROM gone g JOIN step ON g.cohort_id = step.cohort_id
+     WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.cohort_id = g.cohort_id AND r.field_class = g.field_class AND r.old_id = g.field_id)
+   UNION ALL SELECT w.cohort_id, step.n, w.field_class, w.field_id, w.x, w.root_id, w.root_n, false, w.died FROM was w JOIN step ON w.cohort_id = step.cohort_id
+     WHERE NOT w.alive AND NOT EXISTS (SELECT 1 FROM back b JOIN dead ON dead.root_id = b.root_id AND dead.root_n = b.root_n AND dead.cohort_id = b.cohort_id AND dead.field_class = b.field_class
+       WHERE b.cohort_id = w.cohort_id AND b.field_class = w.field_class AND b.x = w.x AND dead.died = w.died))),
+roots AS (SELECT *, row_number() OVER (PARTITION BY cohort_id, field_class, root_id ORDER BY root_n) AS k FROM (SELECT DISTINCT cohort_id, field_class, root_id, root_n FROM life)),
+named AS (SELECT c.file_id, l.cohort_id, l.field_class, l.field_id, d.dict_pos, d.t, CASE WHEN k = 1 THEN root_id ELSE root_id || '@' || k END AS canonical
+  FROM life l JOIN roots USING (cohort_id, field_class, root_id, root_n) JOIN c USING (cohort_id, n) JOIN d USING (file_id, field_class, field_id) WHERE alive),
+types AS (SELECT cohort_id, field_class, canonical, max(CASE t WHEN 'flag' THEN 0 WHEN 'integer' THEN 1 WHEN 'float' THEN 2 ELSE 3 END) AS width,
+  count(DISTINCT field_id) AS n_names, count(*) AS n_files FROM named GROUP BY ALL)
+"""
+
+_P1_UNIFIED = _LIVES + """,
+typed AS (SELECT named.*, width IN (1, 2) AS numeric FROM named JOIN types USING (cohort_id, field_class, canonical)),
+fm AS (SELECT file_id, map(list(dict_pos), list(canonical)) AS names, map(list(dict_pos), list(numeric)) AS nums FROM typed WHERE field_class = 'FORMAT' GROUP BY 1),
+im AS (SELECT file_id, map(list(field_id), list(canonical)) AS inames, map(list(field_id), list(numeric)) AS inums FROM typed WHERE field_class = 'INFO' GROUP BY 1),
+v AS (SELECT * FROM variant_rows WHERE variant_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY loaded_at NULLS LAST) = 1),
+s AS (SELECT file_id, any_value(cohort_id) AS cohort_id, any_value([trim(x) FOR x IN sample_names_in_order]) AS samples FROM bcf_files GROUP BY 1),
+j AS (SELECT v.*, s.cohort_id, names, nums, inames, inums, string_split(genotypes_raw, chr(9)) AS cells, samples,
+    greatest(coalesce(len(string_split(genotypes_raw, chr(9))), 0), coalesce(len(samples), 0)) AS width
+  FROM v LEFT JOIN s USING (file_id) LEFT JOIN fm USING (file_id) LEFT JOIN im USING (file_id)),
+w AS (SELECT *, unnest(CASE WHEN width > 0 THEN range(1, width + 1) ELSE [NULL] END) AS i FROM j),
+x AS (SELECT *, samples[i] AS sample_name, string_split(cells[i], ':') AS vals FROM w),
+y AS (SELECT *,
+    [{'f': names[format_pos[p]], 'v': vals[p], 'n': nums[format_pos[p]]} FOR p IN range(1, greatest(coalesce(len(format_pos), 0), coalesce(len(vals), 0)) + 1) IF names[format_pos[p]] IS NOT NULL] AS fv,
+    [{'f': coalesce(inames[split_part(e, '=', 1)], split_part(e, '=', 1)), 'v': CASE WHEN contains(e, '=') THEN substr(e, instr(e, '=') + 1) END, 'n': inums[split_part(e, '=', 1)]} FOR e IN string_split(info_raw, ';')] AS iv FROM x)
+SELECT variant_id, cohort_id, file_id, contig, pos, var_name, ref_allele, alt_alleles, qual, filters, sample_name,
+  array_to_string([e.f || '=' || coalesce(e.v, '.') FOR e IN fv], ';') AS format_values, array_to_string([e.f || '=' || coalesce(e.v, '.') FOR e IN iv], ';') AS info_values,
+  len([1 FOR e IN list_concat(fv, iv) IF e.n AND try_cast(e.v AS DOUBLE) IS NOT NULL]) AS n_numbers FROM y
+"""
+
 _P4 = """
 WITH r AS (SELECT line_id, regexp_replace(coalesce(raw_line, ''), '\\r$', '') AS line FROM qseq_lines),
 q AS (SELECT *, string_split(line, '"') AS parts FROM r),
@@ -87,6 +143,8 @@ SELECT DISTINCT fragment_id, CASE WHEN len(u) = 1 THEN u[1] END AS quality_unit,
 
 SQL = {
     "p1_found": P1_FOUND,
+    "p1_types": _LIVES + "SELECT cohort_id, field_class, canonical, ['Flag', 'Integer', 'Float', 'String'][width + 1] AS unified_type, n_names, n_files FROM types",
+    "p1_unified": _P1_UNIFIED,
     "p5_by_values": _P5_BY_VALUES,
     "p4_found": _P4 + "SELECT line_id, fail_reason FROM e WHERE fail_reason IS NOT NULL",
     "p4_valid": _P4

@@ -87,14 +87,49 @@ def test_one_table_of_all_variants(spark):
     ch = V.dictionary_changes(*t)
     rows = {(r.variant_id, r.sample_name): r for r in V.unify_variants(*t, ch).collect()}
     assert set(rows) == {(10, "s1"), (10, "s2"), (11, "s2"), (11, "s3"), (12, "s1"), (13, None)}
-    pairs = lambda x: [tuple(e) for e in x]
+    pairs = lambda x: [tuple(e)[:2] for e in x]
     assert pairs(rows[10, "s2"].format_values) == [("GT", "1/1")] and pairs(rows[10, "s1"].info_values) == [("DP", "5"), ("DB", None)]
     assert pairs(rows[11, "s2"].format_values) == [("GT", "0/0")] and pairs(rows[11, "s2"].info_values) == [("DP", "7")]
-    assert pairs(rows[12, "s1"].format_values) == [("G3", "0/1"), ("GT", "q")]  # both would be GT: both keep their own
+    assert pairs(rows[12, "s1"].format_values) == [("GT", "0/1"), ("GT@2", "q")]  # the calls go on, the name is used again for another field
+    assert rows[11, "s2"].info_values[0].number == 7.0 and rows[10, "s1"].info_values[1].number is None and rows[10, "s1"].format_values[0].number is None
     types = {(r.field_class, r.canonical): r.unified_type for r in V.unified_types(t[0], t[1], ch).collect()}
     assert types["INFO", "DP"] == "Float" and types["FORMAT", "GT"] == "String"
 
 
+def canonical(spark, files, fields):
+    t = tables(spark, files, fields)
+    return {(r.file_id, r.field_id): r.canonical for r in V.canonical_fields(t[0], t[1], V.dictionary_changes(*t)).collect()}
+
+
+def test_a_field_keeps_its_name_through_time(spark):
+    files = [(i, "c", 10 * i, [], "") for i in range(1, 9)] + [(20, "d", 1, [], ""), (21, None, 1, [], ""), (22, "c", None, [], "")]
+    f = lambda i, name, text: field(i, 1, "INFO", name, text=text)
+    fields = [
+        f(1, "A", "depth"), f(2, "B", "Depth"), f(3, "C", "depth"), f(4, "D", "DEPTH"), f(5, "E", "depth"), f(8, "Z", "depth"),  # renamed four times, away in 6 and 7, back under another name
+        f(4, "A", "share"), f(5, "A", "share"), f(6, "A", "Share"), f(7, "AA", "share"), f(8, "A", "third"),  # the name is used again, and once more
+        *(f(i, "T", f"text {i}") for i in range(1, 9)), f(20, "A", "depth"), f(21, "B", "depth"), f(22, "C", "depth"),
+    ]
+    want = {(1, "A"): "A", (2, "B"): "A", (3, "C"): "A", (4, "D"): "A", (5, "E"): "A", (8, "Z"): "A", (4, "A"): "A@2", (5, "A"): "A@2", (6, "A"): "A@2", (7, "AA"): "A@2", (8, "A"): "A@3"}
+    want |= {(i, "T"): "T" for i in range(1, 9)} | {(20, "A"): "A", (21, "B"): "B", (22, "C"): "C"}
+    assert canonical(spark, files, fields) == want
+
+
+def test_two_fields_that_come_back_are_not_one(spark):
+    files = [(i, "c", i, [], "") for i in range(1, 5)]
+    f = lambda i, name: field(i, 1, "INFO", name)
+    assert canonical(spark, files, [f(1, "A"), f(3, "B"), f(3, "C"), f(4, "B"), f(4, "C")]) == {(1, "A"): "A", (3, "B"): "A", (3, "C"): "C", (4, "B"): "A", (4, "C"): "C"}
+
+
+def test_renames_without_texts_need_the_values(spark):
+    files = [(1, "c", 1, [], ""), (2, "c", 2, [], "")]
+    fields = [field(1, 1, "FORMAT", "A1", text=None), field(1, 2, "FORMAT", "B1", text=None), field(2, 1, "FORMAT", "XX", text=None), field(2, 2, "FORMAT", "YY", text="")]
+    row = lambda i, f, a, b: (i, f, "chr1", 5, None, "A", "T", 1.0, None, None, [1, 2], f"{a}:{b}", None, None)
+    variants = [row(i, 1, 9000 + i, 1) for i in range(20)] + [row(50 + i, 2, 2, 9100 + i) for i in range(20)]
+    t = tables(spark, files, fields, variants)
+    assert {(r.name, r.old_name) for r in V.dictionary_changes(*t, same_text=False).collect()} == {("XX", "B1"), ("YY", "A1")}
+    assert {r.change for r in V.dictionary_changes(*t).collect()} == {"added", "removed"}
+
+
 def test_empty_tables(spark):
     t = tables(spark, [], [])
     ch = V.dictionary_changes(*t)

@@ -79,29 +79,26 @@ def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((i, j) for i, j in pairs if i < n and j < m and np.isfinite(score[i, j]))
 
 
+def likeness(a: dict, b: dict) -> float:
+    """How alike two profiles are, as a share of the most they could be, which is less where neither has a text."""
+    text = float(bool(a["text"]) and a["text"] == b["text"])
+    parts = {"text": text, "type": a["type"] == b["type"], "count": a["count"] == b["count"], "values": sketch_likeness(a["sketch"], b["sketch"]), "name": edit_likeness(a["name"], b["name"])}
+    most = sum(WEIGHTS.values()) - WEIGHTS["text"] * (not a["text"] and not b["text"])
+    return sum(WEIGHTS[k] * v for k, v in parts.items()) / most
+
+
 def match_fields(gone: list[dict], new: list[dict], same_text: bool) -> list[tuple[int, int]]:
     """Indexes of the (gone, new) pairs that are renames.
 
     With ``same_text`` only pairs of equal, non-empty text may match; otherwise
-    pairs whose likeness reaches half of the highest possible, which is less where
-    neither has a text: then type, count, values and name decide alone.
+    pairs whose likeness reaches a half.
     """
     score = np.full((len(gone), len(new)), -np.inf)
     for i, a in enumerate(gone):
         for j, b in enumerate(new):
-            text = float(bool(a["text"]) and a["text"] == b["text"])
-            if same_text and not text:
-                continue
-            likeness = (
-                WEIGHTS["text"] * text
-                + WEIGHTS["type"] * (a["type"] == b["type"])
-                + WEIGHTS["count"] * (a["count"] == b["count"])
-                + WEIGHTS["values"] * sketch_likeness(a["sketch"], b["sketch"])
-                + WEIGHTS["name"] * edit_likeness(a["name"], b["name"])
-            )
-            most = sum(WEIGHTS.values()) - WEIGHTS["text"] * (not a["text"] and not b["text"])
-            if same_text or likeness >= most / 2:
-                score[i, j] = likeness
+            alike = likeness(a, b) if not same_text or (a["text"] and a["text"] == b["text"]) else -np.inf
+            if same_text or alike >= 0.5:
+                score[i, j] = alike
     return best_assignment(score) if np.isfinite(score).any() else []
 
 
@@ -119,16 +116,16 @@ def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True,
 
     ``profiles``: version, kind, name, text, type, count; one row a field.
     ``order``: version, previous. Result: version, kind, name, change (``added``,
-    ``removed``, ``renamed`` or ``retyped``), old_name (of renames).
+    ``removed``, ``renamed`` or ``retyped``), old_name and likeness (of renames).
 
     Two profiles with the same kind and name are the same field. The two sides of
     a version meet in one hash aggregation on (version, kind, name), so a long
     history costs no join of versions with versions. Names on one side only are
-    matched. With ``same_text`` the bipartite graph falls apart by text: one gone
-    and one new field of a text are a rename, and only where several share it
-    their likeness decides; otherwise all gone and new fields of a version and kind
-    are matched by it. ``sketch_of`` gives the value sketches (version, kind, name,
-    sketch) of the fields that are so compared, and of no others. Null texts, types
+    matched by the likeness of their profiles. With ``same_text`` the bipartite graph
+    falls apart by text, so a header of thousands of fields is many small ones;
+    otherwise it has all gone and new fields of a version and kind. ``sketch_of``
+    gives the value sketches (version, kind, name, sketch) of the fields that have
+    one to be compared with; the others are added or removed in any case. Null texts, types
     and counts are values of their own, and no null or empty text equals another.
     Of equally good matchings the one with the lower names is taken. Empty tables
     give no changes; other columns are not read.
@@ -152,15 +149,13 @@ def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True,
         .agg(F.array_sort(F.collect_list("now")).alias("new"), F.array_sort(F.collect_list("before")).alias("gone"))
     )
     both = (F.size("new") > 0) & (F.size("gone") > 0) & ((F.col("topic") != "") | F.lit(not same_text))
-    several = (F.greatest(F.size("new"), F.size("gone")) > 1) | F.lit(not same_text)
     row = lambda name, change, old: F.struct(name.alias("name"), F.lit(change).alias("change"), old.alias("old_name"))
     none = F.lit(None).cast("string")
     alone = F.concat(F.transform("new", lambda f: row(f["name"], "added", none)), F.transform("gone", lambda f: row(f["name"], "removed", none)))
-    one = F.array(row(F.get("new", F.lit(0))["name"], "renamed", F.get("gone", F.lit(0))["name"]))
-    plain = groups.where(~(both & several)).select("version", "kind", F.explode(F.when(both, one).otherwise(alone)).alias("c")).select("version", "kind", "c.*")
+    plain = groups.where(~both).select("version", "kind", F.explode(alone).alias("c")).select("version", "kind", "c.*")
 
     contested = cut_lineage(
-        groups.where(both & several).join(later, "version")
+        groups.where(both).join(later, "version")
         .select(*keys, F.explode(F.concat(F.transform("new", lambda f: F.struct(F.lit(True).alias("is_new"), F.col("version").alias("source"), f.alias("f"))), F.transform("gone", lambda f: F.struct(F.lit(False).alias("is_new"), F.col("previous").alias("source"), f.alias("f"))))).alias("e"))
         .select(*keys, "e.is_new", "e.source", "kind", "e.f.*")
         .select(*keys, "is_new", "source", "name", "text", "type", "count")
@@ -180,15 +175,15 @@ def field_changes(profiles: DataFrame, order: DataFrame, same_text: bool = True,
             for version, kind, new, gone in zip(batch["version"], batch["kind"], batch["new"], batch["gone"]):
                 new, gone = list(new), list(gone)
                 pairs = match_fields(gone, new, same_text)
-                matched = {j: gone[i]["name"] for i, j in pairs}
+                matched = {j: (gone[i]["name"], likeness(gone[i], new[j])) for i, j in pairs}
                 left = {i for i, _ in pairs}
-                rows += [(version, kind, f["name"], "renamed" if j in matched else "added", matched.get(j)) for j, f in enumerate(new)]
-                rows += [(version, kind, f["name"], "removed", None) for i, f in enumerate(gone) if i not in left]
-            yield pd.DataFrame(rows, columns=["version", "kind", "name", "change", "old_name"])
+                rows += [(version, kind, f["name"], "renamed", *matched[j]) if j in matched else (version, kind, f["name"], "added", None, None) for j, f in enumerate(new)]
+                rows += [(version, kind, f["name"], "removed", None, None) for i, f in enumerate(gone) if i not in left]
+            yield pd.DataFrame(rows, columns=["version", "kind", "name", "change", "old_name", "likeness"])
 
     version_type = profiles.schema["version"].dataType.simpleString()
-    matched = compared.mapInPandas(match, f"version {version_type}, kind string, name string, change string, old_name string")
-    return retyped.unionByName(plain).unionByName(matched)
+    found = compared.mapInPandas(match, f"version {version_type}, kind string, name string, change string, old_name string, likeness double")
+    return retyped.unionByName(plain).withColumn("likeness", F.lit(None).cast("double")).unionByName(found)
 
 
 def member_changes(members: DataFrame, order: DataFrame, kind: str) -> DataFrame:
@@ -211,7 +206,7 @@ def member_changes(members: DataFrame, order: DataFrame, kind: str) -> DataFrame
         rows(F.array_except("old", "members"), "removed"),
         F.when(moved, rows(F.array(F.lit("*")), "reordered")).otherwise(rows(F.array().cast("array<string>"), "reordered")),
     )
-    return both.select("version", F.lit(kind).alias("kind"), F.explode(all_changes).alias("c")).select("version", "kind", F.col("c.name").alias("name"), F.col("c.change").alias("change"), F.lit(None).cast("string").alias("old_name"))
+    return both.select("version", F.lit(kind).alias("kind"), F.explode(all_changes).alias("c")).select("version", "kind", F.col("c.name").alias("name"), F.col("c.change").alias("change"), F.lit(None).cast("string").alias("old_name"), F.lit(None).cast("double").alias("likeness"))
 
 
 def version_order(files: DataFrame, group: str, order: str, version: str) -> DataFrame:

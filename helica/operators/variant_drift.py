@@ -45,11 +45,10 @@ def clean_fields(fields: DataFrame) -> DataFrame:
 def dictionary_changes(files: DataFrame, fields: DataFrame, variants: DataFrame, same_text: bool = True) -> DataFrame:
     """Every change of a file against the one before it in its cohort, by ``file_seq``.
 
-    Columns: version (file_id), kind, name, change, old_name. Files with a null
+    Columns: version (file_id), kind, name, change, old_name, likeness. Files with a null
     cohort or sequence number have no file before them. Of two files with the
-    same number the lower file_id comes first. Only of fields whose text does not
-    settle the matching (or, without ``same_text``, of all that are gone or new) the
-    values are profiled, from the rows of their files.
+    same number the lower file_id comes first. All rows are read for the values of
+    the fields that may be renamed; those of files without one go no further.
     """
     # Both are small beside the variants and used on every side of the comparison: written once.
     order = cut_lineage(version_order(files, "cohort_id", "file_seq", "file_id"))
@@ -57,7 +56,6 @@ def dictionary_changes(files: DataFrame, fields: DataFrame, variants: DataFrame,
     profiles = clean.select(F.col("file_id").alias("version"), F.col("field_class").alias("kind"), F.col("field_id").alias("name"), F.col("field_text").alias("text"), F.col("value_type").alias("type"), F.col("value_count").alias("count"))
 
     def sketch_of(wanted: DataFrame) -> DataFrame:
-        # An empty set of files, the usual case, leaves nothing of this but the plan.
         of = wanted.select(F.col("version").alias("file_id")).distinct()
         known = clean.join(of, "file_id", "left_semi")
         rows = variants.join(F.broadcast(of) if is_bounded(of) else of, "file_id", "left_semi")

@@ -83,8 +83,10 @@ def low_int(x: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(LongType())
 def hash_text(text: pd.Series) -> pd.Series:
-    """Hash of a text with seed 0; null stays null."""
-    return pd.Series(murmur_chars(text.fillna("").tolist())).where(text.notna().to_numpy(), None).astype("Int64")
+    """Hash of a text with seed 0; null stays null, and equal texts of a batch are hashed once."""
+    codes, texts = pd.factorize(text)
+    found = np.append(murmur_chars(texts.tolist()), 0)
+    return pd.Series(found[codes]).where(codes >= 0, None).astype("Int64")
 
 
 @F.pandas_udf(LongType())
@@ -93,11 +95,21 @@ def hash_binary(data: pd.Series) -> pd.Series:
     return pd.Series(murmur_bytes([bytes(x) if x is not None else b"" for x in data])).where(data.notna().to_numpy(), None).astype("Int64")
 
 
+def read_hashes(names: Sequence[str], bases: Sequence[str], quals: Sequence[str], cigars: Sequence[str]) -> np.ndarray:
+    """The 32-bit hashes of reads without position: name, bases, qualities (as numbers) and CIGAR, each seeding the next; ``*`` has no bases or qualities."""
+    bare = lambda x: b"" if x == "*" else x.encode("latin-1")
+    h = low_int(murmur_chars(names))
+    h = low_int(murmur_bytes([bare(x) for x in bases], h))
+    h = low_int(murmur_bytes([bytes(max(c - 33, 0) for c in bare(x)) for x in quals], h))
+    return low_int(murmur_chars(cigars, h))
+
+
 @F.pandas_udf(LongType())
 def hash_read(name: pd.Series, bases: pd.Series, quals: pd.Series, cigar: pd.Series) -> pd.Series:
-    """The 32-bit hash of a read without position: name, bases, qualities (as numbers) and CIGAR, each seeding the next."""
-    bare = lambda s: s.fillna("*").where(s != "*", "")
-    h = low_int(murmur_chars(name.fillna("").tolist()))
-    h = low_int(murmur_bytes([x.encode("latin-1") for x in bare(bases)], h))
-    h = low_int(murmur_bytes([bytes(max(c - 33, 0) for c in x.encode("latin-1")) for x in bare(quals)], h))
-    return pd.Series(low_int(murmur_chars(cigar.fillna("*").tolist(), h)))
+    """``read_hashes`` of the rows with a name; null for the others, which cost nothing."""
+    out = pd.Series([None] * len(name), dtype="Int64")
+    known = np.flatnonzero(name.notna().to_numpy())
+    if len(known):
+        of = lambda s: s.iloc[known].fillna("*").tolist()
+        out.iloc[known] = read_hashes(of(name), of(bases), of(quals), of(cigar))
+    return out

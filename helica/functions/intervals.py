@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helica.operators.joins import is_bounded
@@ -89,13 +89,25 @@ def interval_semi_join(df: DataFrame, intervals: DataFrame, contig: str, start:
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.greatest(F.col(a), F.col(b)) / BIN)))
     sides = intervals.withColumn("_bin", bins("_start", "_stop"))
-    if is_bounded(sides):
+    bounded = is_bounded(sides)
+    if bounded:
         sides = F.broadcast(sides)
     short = (F.floor(F.col(end) / BIN) - F.floor(F.col(start) / BIN)) <= 0
     touch = lambda rows: (rows[contig] == sides["_contig"]) & (rows["_bin"] == sides["_bin"]) & (rows[start] <= sides["_stop"]) & (rows[end] >= sides["_start"])
     one = df.where(short).withColumn("_bin", F.floor(F.col(start) / BIN))
     near = one.join(sides, touch(one), "left_semi").drop("_bin")
-    # Rows over several bins are rare: they carry an id through the join and fold by it afterwards, so that equal rows stay repeated.
-    wide = df.where(~short).withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", bins(start, end))
-    far = wide.join(sides, touch(wide), "left_semi").drop("_bin").dropDuplicates(["_row"]).drop("_row")
+    # A row over several bins looks at the first of them that any interval reaches. What lies there and in the next such bin
+    # decides, as all bins between its first and last are covered whole. So each row is kept or not once, without an id.
+    along = Window.partitionBy("_contig").orderBy("_bin")
+    low, high = F.greatest("_start", F.col("_bin") * BIN), F.least("_stop", F.col("_bin") * BIN + BIN - 1)
+    reached = intervals.withColumn("_bin", bins("_start", "_stop")).groupBy("_contig", "_bin").agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+    reached = reached.select("*", F.lag("_bin").over(along).alias("_before"), F.lead("_bin").over(along).alias("_next"), F.lead("_low").over(along).alias("_next_low"))
+    if bounded:
+        reached = F.broadcast(reached)
+    wide = df.where(~short).withColumn("_bin", bins(start, end))
+    first, last, at = F.floor(wide[start] / BIN), F.floor(wide[end] / BIN), wide["_bin"]
+    here = F.when(at == first, reached["_high"] >= wide[start]).when(at == last, reached["_low"] <= wide[end]).otherwise(F.lit(True))
+    later = (at == first) & ((reached["_next"] < last) | ((reached["_next"] == last) & (reached["_next_low"] <= wide[end])))
+    only = (reached["_before"].isNull() | (reached["_before"] < first)) & (here | F.coalesce(later, F.lit(False)))
+    far = wide.join(reached, (wide[contig] == reached["_contig"]) & (at == reached["_bin"]) & only, "left_semi").drop("_bin")
     return near.unionByName(far)

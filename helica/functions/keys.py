@@ -23,10 +23,12 @@ def read_key(flags: Column, ref_index: Column, start: Column, name: Column, base
     """The key of a read: its coordinate, or for a read without one a hash in the place of the start.
 
     Hashed keys with a negative hash are negative and sort first; ``unplaced_last``
-    gives an order that puts them last.
+    gives an order that puts them last. A null name counts as ``*``.
     """
     placed = ~((flags.bitwiseAND(F.lit(UNMAPPED)) != 0) | (F.coalesce(ref_index, F.lit(-1)) < 0) | (F.coalesce(start, F.lit(0)) < 0))
-    hashed = F.shiftleft(F.lit(NO_POSITION).cast("long"), 32).bitwiseOR(hash_read(name, bases, quals, cigar))
+    # Python sees all rows, but of placed ones only nulls; the bam source makes its keys while decoding.
+    lost = lambda c: F.when(~placed, F.coalesce(c, F.lit("*")))
+    hashed = F.shiftleft(F.lit(NO_POSITION).cast("long"), 32).bitwiseOR(hash_read(lost(name), lost(bases), lost(quals), lost(cigar)))
     return F.when(placed, coordinate_key(ref_index, start)).otherwise(hashed)
 
 
@@ -38,7 +40,8 @@ def unplaced_last(flags: Column, ref_index: Column, start: Column) -> list[Colum
 
 def variant_key(contig_index: Column, contig: Column, start: Column) -> Column:
     """``index << 32 | (start - 1)``; an unknown contig has the low half of its hash as index."""
-    low = F.shiftright(F.shiftleft(hash_text(contig), 32), 32)
+    # Only names that the header lacks are hashed.
+    low = F.shiftright(F.shiftleft(hash_text(F.when(contig_index.isNull(), contig)), 32), 32)
     index = F.coalesce(contig_index.cast("long"), low)
     return F.shiftleft(index, 32).bitwiseOR(start.cast("long") - 1)
 

@@ -37,7 +37,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return READ_SCHEMA
+        return READ_SCHEMA + ", key long"
 
     def reader(self, schema) -> DataSourceReader:
         return BamReader(self.options)
@@ -61,7 +61,7 @@ class BamReader(DataSourceReader):
         self.columns = {c.strip() for c in wanted.split(",")} if wanted else None
         if self.columns is not None and (self.intervals is not None or self.unplaced):
             self.columns |= {"contig", "start", "end"}
-        unknown = (self.columns or set()) - set(READ_COLUMNS)
+        unknown = (self.columns or set()) - {*READ_COLUMNS, "key"}
         if unknown:
             raise ValueError(f"unknown columns: {sorted(unknown)}")
 

@@ -9,6 +9,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from helica.functions.hashing import read_hashes
+from helica.functions.keys import NO_POSITION, UNMAPPED
 from helica.sources.bgzf import Blocks
 from helica.sources.sam import SamHeader
 
@@ -56,19 +58,34 @@ def header_bytes(header: SamHeader) -> bytes:
     return b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(header.contigs)) + refs
 
 
+@lru_cache(maxsize=64)
 def read_bam_header(path: str) -> tuple[SamHeader, int]:
-    """The header, and the virtual offset of the first record."""
-    data, marks = b"", []
+    """The header, and the virtual offset of the first record. A process reads the header of a file once, whatever its size."""
+    data, marks, need = bytearray(), [], 12
     for address, n, block in Blocks(path):
         marks.append((len(data), address, address + n))
         data += block
-        found = parse_header(data)
+        if len(data) < need:
+            continue
+        if len(marks) == 1 or need == 12:
+            if bytes(data[:4]) != b"BAM\1":
+                raise ValueError("not a BAM file")
+            need = 12 + struct.unpack_from("<i", data, 4)[0]
+            if len(data) < need:
+                continue
+        found = parse_header(bytes(data))
         if found:
             header, length = found
             if length == len(data):
                 return header, marks[-1][2] << 16
             begin, where, _ = marks[-1]
             return header, (where << 16) | (length - begin)
+        need = 2 * len(data)  # the dictionary is still open: parsed again only when it has doubled
+    found = parse_header(bytes(data)) if data else None
+    if found:
+        header, length = found
+        begin, where, after = next(m for m in reversed(marks) if m[0] < length or m[0] == 0)
+        return header, after << 16 if length == len(data) else (where << 16) | (length - begin)
     raise ValueError(f"{path} ends inside its header")
 
 
@@ -197,13 +214,23 @@ def decode_records(data: bytes, offsets: np.ndarray, header: SamHeader, columns:
         first[n_bases > 0] = raw[quals_at[n_bases > 0]]
         quals = _strings((scores + 33).astype(np.uint8), n_bases, (n_bases == 0) | (first == 255))
     tags = pa.array([decode_tags(data[a:b]) for a, b in zip(tags_at.tolist(), end.tolist())], pa.string()) if want("tags") else nulls()
+    name_bytes = f["name_len"].astype(np.int64) - 1
+    read_names = _strings(_gather(raw, name_at, name_bytes), name_bytes)
+    key = nulls(pa.int64())
+    if want("key"):
+        value = np.where(start < 1, start - 1, (f["ref"].astype(np.int64) << 32) | (start - 1))
+        lost = np.flatnonzero(((f["flags"] & UNMAPPED) != 0) | (f["ref"] < 0) | (start < 0))
+        if len(lost):
+            of = decode_records(data, offsets[lost], header, {"bases", "quals", "cigar"})
+            value[lost] = (NO_POSITION << 32) | read_hashes(*(of[c].to_pylist() for c in ("read_name", "bases", "quals", "cigar")))
+        key = pa.array(value)
     i32 = lambda x: pa.array(x.astype(np.int32))
     return pa.RecordBatch.from_arrays(
         [
-            _strings(_gather(raw, name_at, f["name_len"].astype(np.int64) - 1), f["name_len"].astype(np.int64) - 1), i32(f["flags"]), i32(f["ref"]), contigs(f["ref"]), i32(start), i32(start + np.maximum(span - 1, 0)),
-            i32(f["mapq"]), cigar, i32(f["mate_ref"]), contigs(f["mate_ref"]), i32(f["mate_pos"].astype(np.int64) + 1), i32(f["insert"]), bases, quals, tags,
+            read_names, i32(f["flags"]), i32(f["ref"]), contigs(f["ref"]), i32(start), i32(start + np.maximum(span - 1, 0)),
+            i32(f["mapq"]), cigar, i32(f["mate_ref"]), contigs(f["mate_ref"]), i32(f["mate_pos"].astype(np.int64) + 1), i32(f["insert"]), bases, quals, tags, key,
         ],
-        ["read_name", "flags", "ref_index", "contig", "start", "end", "mapq", "cigar", "mate_ref_index", "mate_contig", "mate_start", "insert_size", "bases", "quals", "tags"],
+        ["read_name", "flags", "ref_index", "contig", "start", "end", "mapq", "cigar", "mate_ref_index", "mate_contig", "mate_start", "insert_size", "bases", "quals", "tags", "key"],
     )
 
 

@@ -351,6 +351,8 @@ class PartWriter(DataSourceArrowWriter):
     """Base of writers of one file a partition: written under another name, renamed on commit."""
 
     suffix = ""
+    #: Whether the pieces go into block gzip.
+    packed = True
 
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = local(options["path"]), overwrite
@@ -370,12 +372,15 @@ class PartWriter(DataSourceArrowWriter):
         buffer = bytearray()
         with open(path, "wb") as out:
             for piece in self.pieces(batches):
+                if not self.packed:
+                    out.write(piece)
+                    continue
                 buffer += piece
                 whole = len(buffer) // bgzf.PAYLOAD * bgzf.PAYLOAD
                 if whole:
                     out.write(bgzf.compress(bytes(buffer[:whole])))
                     del buffer[:whole]
-            out.write(bgzf.compress(bytes(buffer)))
+            out.write(bgzf.compress(bytes(buffer)))  # nothing where pieces are not packed
         return PartFile(path, os.path.join(self.folder, name))
 
     def commit(self, messages: list[PartFile | None]) -> None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helica.functions.names import fastq_id, passes_qc, qseq_key, qseq_line, with_run_id
 from helica.functions.quality import checked_quality, sanger_to_illumina
 from helica.sources.files import expand
 from helica.sources.qseq_lines import parse_qseq_lines
-from helica.sources.text_out import checked_mode, split_once
+from helica.sources.text_out import checked_mode, split_once, without_malformed
 
 FRAGMENT_COLUMNS = ("key", "sequence", "quality", "instrument", "run_number", "flowcell_id", "lane", "tile", "xpos", "ypos", "read", "filter_passed", "control_number", "index_sequence")
 
@@ -34,10 +36,7 @@ def parse_qseq(lines: DataFrame, encoding: str = "illumina", filter_failed_qc: b
     at = lambda i: F.get("_f", F.lit(i))
     numbers = F.array(*(at(i).try_cast("int") for i in (1, 2, 3, 4, 5, 7)))
     bad = (F.size("_f") != 11) | F.exists(numbers, lambda n: n.isNull())
-    if mode == "DROPMALFORMED":
-        f = f.where(~bad)
-    else:
-        f = f.where(F.when(bad, F.raise_error(F.concat(F.lit("malformed QSEQ line: "), F.col("value")))).otherwise(F.lit(True)))
+    f = without_malformed(f, bad, mode, "QSEQ", "value")
     parts = {"instrument": at(0), "run_number": at(1).cast("int"), "lane": at(2).cast("int"), "tile": at(3).cast("int"), "xpos": at(4).cast("int"), "ypos": at(5).cast("int"), "read": at(7).cast("int")}
     rows = f.select(
         qseq_key({k: at(i) for k, i in zip(("instrument", "run_number", "lane", "tile", "xpos", "ypos", "read"), (0, 1, 2, 3, 4, 5, 7))}).alias("key"),
@@ -60,6 +59,20 @@ def read_qseq_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return parse_qseq_lines(spark.read.text(expand(path)).withColumnRenamed("value", "raw_line"))
 
 
+#: What makes two fragments equal: everything but their keys.
+EQUALITY = ("sequence", "quality", "instrument", "run_number", "flowcell_id", "lane", "tile", "xpos", "ypos", "read", "filter_passed", "control_number", "index_sequence")
+
+
+def same_fragment(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = EQUALITY) -> Column:
+    """Whether two fragments are equal: in all columns, null like null, whatever their keys."""
+    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in columns))
+
+
+def fold_equal(fragments: DataFrame, columns: tuple[str, ...] = EQUALITY, count: str = "n") -> DataFrame:
+    """Distinct fragments and how often each comes; one hash aggregation, in which null equals null."""
+    return fragments.groupBy(*columns).agg(F.count(F.lit(1)).alias(count))
+
+
 def _columns(df: DataFrame) -> dict:
     """The columns of fragments; those that ``df`` lacks are null."""
     have = set(df.columns)

@@ -10,11 +10,10 @@ import struct
 from helica.sources import bgzf
 from helica.sources.bam_codec import header_bytes
 from helica.sources.bam_index import shift_index
+from helica.sources.cram_codec import END, file_start
 from helica.sources.sam import SamHeader
 
 PART = re.compile(r"part-\d+.*")
-#: The container at the end of a complete CRAM 3 file; a fixed value of the format.
-CRAM_END = bytes.fromhex("0f000000ffffffff0fe0454f4600000000010005bdd94f0001000606010001000100ee63014b")
 
 
 def part_files(folder: str) -> list[str]:
@@ -52,8 +51,8 @@ def merge_reads(folder: str, target: str, header: SamHeader, fmt: str = "bam", d
     The parts stay unless ``delete_parts``. The bytes of the parts are copied as they are.
     """
     parts = _check(folder, target)
-    heads = {"bam": lambda: bgzf.compress(header_bytes(header)), "sam": lambda: header.text.encode(), "cram": lambda: b""}
-    tails = {"bam": bgzf.TERMINATOR, "sam": b"", "cram": CRAM_END}
+    heads = {"bam": lambda: bgzf.compress(header_bytes(header)), "sam": lambda: header.text.encode(), "cram": lambda: file_start(header)}
+    tails = {"bam": bgzf.TERMINATOR, "sam": b"", "cram": END}
     if fmt not in heads:
         raise ValueError(f"cannot merge {fmt}")
     starts = _join(parts, target, heads[fmt](), tails[fmt])
@@ -83,7 +82,7 @@ def merge_variants(folder: str, target: str, header_text: str, delete_parts: boo
     if len(kinds) > 1:
         raise ValueError(f"parts are compressed in different ways: {sorted(kinds)}")
     kind = next(iter(kinds), "plain")
-    for p in parts[:1]:
+    for p in parts:
         if os.path.getsize(p) and bgzf.head_of(p, 3) == b"BCF":
             raise ValueError("BCF parts cannot be merged")
     head = header_text.encode()

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helica.functions.intervals import Interval, format_intervals
 from helica.sources.bam_codec import read_bam_header
-from helica.sources.cram import read_cram
+from helica.sources.cram import read_cram_header
 from helica.sources.detect import read_format, read_format_of_name
 from helica.sources.files import expand
-from helica.sources.sam import READ_COLUMNS, SamHeader, read_sam, read_text_header, select_reads, with_read_key, write_sam
+from helica.sources.sam import READ_COLUMNS, SamHeader, headers_of, read_sam, read_text_header, select_reads, with_read_key, write_sam
 
 
-def read_sam_header(path: str, reference: str | None = None) -> SamHeader:
-    """The header of a SAM or BAM file. CRAM needs a reference, and is not decoded even with one."""
+def read_sam_header(path: str) -> SamHeader:
+    """The header of a SAM, BAM or CRAM file."""
     kind = read_format(path, trust_names=True)
     if kind == "bam":
         return read_bam_header(path)[0]
-    if kind == "cram":
-        if reference is None:
-            raise ValueError("CRAM needs the path of a reference")
-        read_cram(path)
-    return read_text_header(path)
+    return read_cram_header(path) if kind == "cram" else read_text_header(path)
+
+
+def read_cram(spark: SparkSession, path: str, intervals: list[Interval] | None = None, unplaced: bool = False, reference: str | None = None, split_size: int | None = None) -> DataFrame:
+    """Reads of CRAM files, in parallel over their containers. ``reference`` is a FASTA file that all executors can open, for files that leave bases to it."""
+    source = spark.read.format("cram").option("path", path).option("unplaced", str(unplaced).lower())
+    for name, value in (("reference", reference), ("splitSize", split_size), ("intervals", format_intervals(intervals) if intervals else None)):
+        source = source.option(name, value) if value is not None else source
+    return select_reads(source.load(), intervals, unplaced)
 
 
 def read_bam(spark: SparkSession, path: str, intervals: list[Interval] | None = None, unplaced: bool = False, **options) -> DataFrame:
@@ -38,28 +42,33 @@ def read_bam(spark: SparkSession, path: str, intervals: list[Interval] | None =
     return select_reads(rows, intervals, unplaced) if intervals == [] else rows
 
 
-def load_reads(spark: SparkSession, path: str, intervals: list[Interval] | None = None, unplaced: bool = False, trust_names: bool = True, formats: dict[str, str] | None = None, mode: str = "FAILFAST", key: bool = True) -> DataFrame:
-    """Reads of SAM and BAM files in any mix, each recognised by name or first bytes, with the sortable ``key``."""
+def load_reads(spark: SparkSession, path: str, intervals: list[Interval] | None = None, unplaced: bool = False, trust_names: bool = True, formats: dict[str, str] | None = None, mode: str = "FAILFAST", key: bool = True, reference: str | None = None) -> DataFrame:
+    """Reads of SAM, BAM and CRAM files in any mix, each recognised by name or first bytes, with the sortable ``key``.
+
+    The plan has one branch for BAM, one for CRAM and one for each distinct header
+    of SAM files, however many files there are.
+    """
     files: dict[str, list[str]] = {}
     for f in expand(path):
         kind = read_format(f, trust_names, formats)
         if kind is None:
             raise ValueError(f"{f} is no file of reads")
         files.setdefault(kind, []).append(f)
-    if "cram" in files:
-        read_cram(files["cram"][0])
     parts = []
     if "bam" in files:
         parts.append(read_bam(spark, ",".join(files["bam"]), intervals, unplaced))
-    parts += [read_sam(spark, f, mode=mode, intervals=intervals, unplaced=unplaced) for f in files.get("sam", ())]
+    if "cram" in files:
+        parts.append(read_cram(spark, ",".join(files["cram"]), intervals, unplaced, reference))
+    if "sam" in files:
+        parts += [with_read_key(read_sam(spark, ",".join(some), SamHeader.parse(text), mode, intervals, unplaced)) for text, some in headers_of(files["sam"]).items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return with_read_key(rows) if key else rows
+    return rows if key else rows.drop("key")
 
 
 def write_reads(reads: DataFrame, path: str, header: SamHeader | None, fmt: str | None = None, write_header: bool = True, overwrite: bool = False, splitting_index: bool = False, granularity: int = 4096) -> None:
-    """Reads as BAM or SAM files, one a partition; without ``fmt`` the name tells which. A key column is left out."""
+    """Reads as BAM, SAM or CRAM files, one a partition; without ``fmt`` the name tells which. A key column is left out."""
     kind = fmt or read_format_of_name(path)
     if kind is None:
         raise ValueError("the output format is neither given nor in the name")
@@ -71,6 +80,6 @@ def write_reads(reads: DataFrame, path: str, header: SamHeader | None, fmt: str
     elif kind == "bam":
         rows.write.format("bam").mode("overwrite" if overwrite else "append").option("header", header.text or "@CO\tnone\n").option("writeHeader", str(write_header).lower()).option("splittingIndex", str(splitting_index).lower()).option("granularity", granularity).save(path)
     elif kind == "cram":
-        read_cram(path)
+        rows.write.format("cram").mode("overwrite" if overwrite else "append").option("header", header.text or "@CO\tnone\n").option("writeHeader", str(write_header).lower()).save(path)
     else:
         raise ValueError(f"unknown format {kind}")

@@ -2,6 +2,7 @@
 
 from helica.sources.bam import BamSource
 from helica.sources.bcf import BcfSource
+from helica.sources.cram import CramSource
 from helica.sources.text_sources import BgzfLines, FastaSource, FastqSource
 
-SOURCES = (BamSource, BcfSource, BgzfLines, FastqSource, FastaSource)
+SOURCES = (BamSource, CramSource, BcfSource, BgzfLines, FastqSource, FastaSource)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helica.functions.intervals import Interval, filter_by_intervals
 from helica.functions.keys import read_key
 from helica.sources.files import expand, open_file
-from helica.sources.text_out import checked_mode, split_once, with_top_lines
+from helica.sources.text_out import checked_mode, split_once, with_top_lines, without_malformed
 
 #: The columns of reads, whatever format they come from.
 READ_COLUMNS = ("read_name", "flags", "ref_index", "contig", "start", "end", "mapq", "cigar", "mate_ref_index", "mate_contig", "mate_start", "insert_size", "bases", "quals", "tags")
@@ -108,10 +108,7 @@ def parse_sam(lines: DataFrame, header: SamHeader, column: str = "value", mode:
     at = lambda i: F.get("_f", F.lit(i))
     numbers = F.array(*(at(i).try_cast("int") for i in (1, 3, 4, 7, 8)))
     bad = (F.size("_f") < 11) | F.exists(numbers, lambda n: n.isNull())
-    if mode == "DROPMALFORMED":
-        body = body.where(~bad)
-    else:
-        body = body.where(F.when(bad, F.raise_error(F.concat(F.lit("malformed SAM line: "), F.col("_line")))).otherwise(F.lit(True)))
+    body = without_malformed(body, F.coalesce(bad, F.lit(True)), mode, "SAM")
     contig = F.when(at(2) != "*", at(2))
     mate = F.when(at(6) == "=", contig).when(at(6) != "*", at(6))
     start = at(3).cast("int")
@@ -158,6 +155,18 @@ def check_traversal(intervals, unplaced: bool, bounded: bool = True) -> None:
         raise ValueError("a traversal needs intervals, unplaced reads, or both")
 
 
+def headers_of(paths: list[str]) -> dict[str, list[str]]:
+    """SAM files by the text of their header; read side by side, so that many files do not wait for each other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(16) as pool:
+        texts = list(pool.map(lambda p: read_text_header(p).text, paths))
+    found: dict[str, list[str]] = {}
+    for path, text in zip(paths, texts):
+        found.setdefault(text, []).append(path)
+    return found
+
+
 def read_sam(spark: SparkSession, path: str, header: SamHeader | None = None, mode: str = "FAILFAST", intervals: list[Interval] | None = None, unplaced: bool = False) -> DataFrame:
     """The reads of SAM files that share a header (that of the first file unless given)."""
     files = expand(path)

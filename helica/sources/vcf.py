@@ -13,7 +13,7 @@ from helica.functions.keys import variant_key
 from helica.sources import bgzf
 from helica.sources.detect import variant_format
 from helica.sources.files import expand
-from helica.sources.text_out import checked_mode, split_once, with_top_lines
+from helica.sources.text_out import checked_mode, split_once, with_top_lines, without_malformed
 
 COLUMNS = ("contig", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -119,11 +119,7 @@ def parse_vcf(lines: DataFrame, header: VcfHeader, column: str = "value", mode:
         | F.exists(F.split(at(4), ","), lambda a: ~a.rlike(allele)) | at(7).rlike(r"\s|^=|;=")
         | ((F.size("_f") > 8) & (F.size("_f") - 9 != len(header.samples)) if header.samples else F.lit(False))
     )
-    bad = F.coalesce(bad, F.lit(True))
-    if mode == "DROPMALFORMED":
-        body = body.where(~bad)
-    else:
-        body = body.where(F.when(bad, F.raise_error(F.concat(F.lit("malformed VCF line: "), F.col("_line")))).otherwise(F.lit(True)))
+    body = without_malformed(body, F.coalesce(bad, F.lit(True)), mode, "VCF")
     pos = at(1).cast("int")
     ends = F.nullif(F.regexp_extract(at(7), r"(?:^|;)END=(\d+)", 1), F.lit("")).cast("int")
     qual = F.when(at(5) != ".", at(5).cast("double"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import InputPartition
@@ -99,33 +100,51 @@ def byte_ranges(path: str, split: int = SPLIT_BYTES, splittable: bool = True) ->
     return ranges
 
 
+#: A line and its end: LF, CR, or both.
+LINE = re.compile(rb"([^\r\n]*)(?:\r\n|\n|\r)")
+
+
+def _line_blocks(f, base: int, chunk: int):
+    """(offset, bytes) of stretches of whole lines; the last may lack its end. A long line is joined once."""
+    pending: list[bytes] = []
+    while data := f.read(chunk):
+        if data.endswith(b"\r"):
+            data += f.read(1)  # the LF of a CR LF stays with it
+        cut = max(data.rfind(b"\n"), data.rfind(b"\r", 0, len(data))) + 1
+        if not cut:
+            pending.append(data)
+            continue
+        block = b"".join([*pending, data[:cut]])
+        pending = [data[cut:]]
+        yield base, block
+        base += len(block)
+    rest = b"".join(pending)
+    if rest:
+        yield base, rest
+
+
 def sliced_lines(path: str, start: int, end: int, chunk: int = 1 << 20):
-    """(offset, line) of the lines that begin in ``[start, end)``, without LF, CR or CRLF; the last is read to its end.
+    """(offset, line) of the lines that begin in ``[start, end)``, without LF, CR or CR LF; the last is read to its end.
 
     A line belongs to the range of its first byte: every range skips the line
     that began before it.
     """
     with open_file(path) as f:
-        at = start
         skip = start > 0
-        f.seek(start - 1 if skip else 0)
-        rest = b""
         base = start - 1 if skip else 0
-        while True:
-            data = f.read(chunk)
-            buffer = rest + data
-            lines = buffer.split(b"\n")
-            rest = lines.pop()
-            for line in lines:
-                at = base
-                base += len(line) + 1
+        f.seek(base)
+        for at, block in _line_blocks(f, base, chunk):
+            if b"\r" not in block:
+                lines = ((len(x) + 1, x) for x in block.removesuffix(b"\n").split(b"\n"))
+            else:
+                whole = [(m.end() - m.start(), m[1]) for m in LINE.finditer(block)]
+                rest = block[sum(n for n, _ in whole) :]
+                lines = [*whole, (len(rest), rest)] if rest else whole
+            for n, line in lines:
+                here, at = at, at + n
                 if skip:
                     skip = False
                     continue
-                if at >= end:
+                if here >= end:
                     return
-                yield at, line[:-1] if line.endswith(b"\r") else line
-            if not data:
-                if rest and not skip and base < end:
-                    yield base, rest[:-1] if rest.endswith(b"\r") else rest
-                return
+                yield here, line

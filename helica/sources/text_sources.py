@@ -5,7 +5,9 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
 from helica.functions.intervals import merge_intervals, parse_intervals
@@ -139,37 +141,96 @@ class FastqSource(DataSource):
 
 
 class FastqReader(_Reader):
-    #: Longest line of a record; a longer one is an error.
-    max_line = 10_000
+    #: Longest line of a record that is accepted; none by default, as long reads have no bound.
+    max_line: int | None = None
 
     def check(self, options: dict) -> None:
-        self.max_line = int(options.get("maxLine", self.max_line))
+        self.max_line = int(options["maxLine"]) if "maxLine" in options else None
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no ranges at all
             return
-        yield from batches_of(self._rows(part), ["file", "offset", "key", "sequence", "quality"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()])
+        for at, fields in fastq_batches(part):
+            if self.max_line is not None and max((pc.max(pc.binary_length(f)).as_py() or 0 for f in fields), default=0) > self.max_line:
+                raise ValueError(f"{part.path}: line of more than {self.max_line} bytes")
+            file = pa.repeat(pa.scalar(part.path), len(at))
+            yield pa.RecordBatch.from_arrays([file, at, *fields], ["file", "offset", "key", "sequence", "quality"])
 
-    def _rows(self, part: ByteRange) -> Iterator[tuple]:
-        for at, name, bases, plus, quality in fastq_records(part):
+
+def fastq_batches(part: ByteRange, chunk: int = 4 << 20) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """Offsets and fields of the records whose first line begins in the range, cut out of whole buffers.
+
+    Compressed files, and files with other line ends than LF or blank lines, are gone
+    through line by line instead.
+    """
+    start = part.start
+    if start:
+        first = next(fastq_records(part), None)
+        if first is None:
+            return
+        start = first[0]
+    if bgzf.sniff(part.path) != "plain":
+        yield from _by_lines(part, start)
+        return
+    with open_file(part.path) as f:
+        f.seek(start)
+        rest = b""
+        while start < part.end:
+            read = f.read(chunk)
+            data = rest + read
+            if not read and data and not data.endswith(b"\n"):
+                data += b"\n"
+            raw = np.frombuffer(data, np.uint8)
+            ends = np.flatnonzero(raw == 10)
+            ends = ends[: len(ends) // 4 * 4]
+            if not len(ends):
+                if data.strip() and not read:
+                    yield from _by_lines(part, start)
+                if not read:
+                    return
+                rest, chunk = data, 2 * chunk
+                continue
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            good = (raw[begins[0::4]] == 64) & (raw[begins[2::4]] == 43)
+            if not good.all() or b"\r" in data:
+                yield from _by_lines(part, start)
+                return
+            keep = int(np.searchsorted(begins[0::4] + start, part.end))
+            offsets = np.append(begins, ends[-1] + 1).astype(np.int32)
+            lines = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            line = lambda k, cut: pc.binary_slice(lines.take(pa.array(np.arange(k, 4 * keep, 4))), cut, -1).cast(pa.string())
+            if keep:
+                yield pa.array(begins[: 4 * keep : 4] + start), [line(0, 1), line(1, 0), line(3, 0)]
+            if keep < len(begins) // 4:
+                return
+            rest = data[ends[-1] + 1 :]
+            start += int(ends[-1]) + 1
+
+
+def _by_lines(part: ByteRange, start: int) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """The same, a record at a time."""
+
+    def rows() -> Iterator[tuple]:
+        for at, name, bases, plus, quality in fastq_records(part, start):
             if not name.startswith(b"@") or not plus.startswith(b"+"):
                 raise ValueError(f"{part.path}: no FASTQ record at {at}")
-            if len(bases) > self.max_line or len(quality) > self.max_line or len(name) > self.max_line:
-                raise ValueError(f"{part.path}: line of more than {self.max_line} bytes at {at}")
-            yield part.path, at, name[1:].decode(), bases.decode(), quality.decode()
+            yield at, name[1:].decode(), bases.decode(), quality.decode()
+
+    for batch in batches_of(rows(), ["at", "key", "sequence", "quality"], [pa.int64(), pa.string(), pa.string(), pa.string()]):
+        yield batch.column(0), batch.columns[1:]
 
 
-def fastq_records(part: ByteRange) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """The records whose first line begins in the range; the last is read to its end.
+def fastq_records(part: ByteRange, known: int | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """The records whose first line begins in the range; the last is read to its end. ``known`` is where a record begins, if that is known.
 
     A range in the middle of a file begins at the first line with ``@`` whose
     second next line begins with ``+``; a quality may begin with ``@``, and then the
     line after the next is a sequence.
     """
     plain = bgzf.sniff(part.path) == "plain"
-    lines = sliced_lines(part.path, part.start, part.size if plain else part.end) if plain else all_lines(part)
+    lines = sliced_lines(part.path, known or part.start, part.size) if plain else all_lines(part)
     held: list[tuple[int, bytes]] = []
-    synced = part.start == 0
+    synced = part.start == 0 or known is not None
     for at, line in lines:
         if not line and not held:
             continue
@@ -211,10 +272,10 @@ class FastaSource(DataSource):
 
 
 class FastaReader(_Reader):
-    max_line = 20_000
+    max_line: int | None = None
 
     def check(self, options: dict) -> None:
-        self.max_line = int(options.get("maxLine", self.max_line))
+        self.max_line = int(options["maxLine"]) if "maxLine" in options else None
         if len(expand(self.path)) > 1:
             raise ValueError("the fasta source reads one file")
 
@@ -224,7 +285,7 @@ class FastaReader(_Reader):
         yield from batches_of(fasta_rows(part, self.max_line), ["key", "index_sequence", "position", "sequence"], [pa.string(), pa.string(), pa.int32(), pa.string()])
 
 
-def fasta_rows(part: ByteRange, max_line: int = 20_000) -> Iterator[tuple[str, str, int, str]]:
+def fasta_rows(part: ByteRange, max_line: int | None = None) -> Iterator[tuple[str, str, int, str]]:
     """One row a line of the sequences whose ``>`` line begins in the range, each read to its end.
 
     The position of a line is 1 for the first and then rises by the bytes before
@@ -242,7 +303,7 @@ def fasta_rows(part: ByteRange, max_line: int = 20_000) -> Iterator[tuple[str, s
         elif name is None and part.start == 0 and line:
             raise ValueError(f"{part.path} does not begin with a description")
         elif name is not None and line:
-            if len(line) > max_line:
+            if max_line is not None and len(line) > max_line:
                 raise ValueError(f"{part.path}: line of more than {max_line} bytes at {at}")
             if first is None:
                 first, origin = at, at

@@ -66,6 +66,37 @@ def test_fastq_splits_have_every_record_once(spark, tmp_path, split):
     assert sorted(map(tuple, rows)) == sorted(records)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_lines_of_every_end(tmp_path, end):
+    from helica.sources.files import sliced_lines
+
+    lines = ["x" * (i * 7 % 23) for i in range(200)] + ["y" * 5000, "", "last"]
+    text = end.join(lines)
+    path = tmp_path / "x"
+    path.write_bytes(text.encode())
+    for step in (1, 3, 64, 10_000):
+        for chunk in (1, 2, 7, 1 << 20) if step > 3 else (5,):
+            got = [(a, x.decode()) for s in range(0, len(text), step) for a, x in sliced_lines(str(path), s, min(s + step, len(text)), chunk)]
+            assert [x for _, x in got] == lines and all(text[a : a + len(x)] == x for a, x in got)
+
+
+@pytest.mark.parametrize("end,blank", [("\n", ""), ("\r\n", ""), ("\r", ""), ("\n", "\n\n")])
+def test_fastq_of_every_line_end(spark, tmp_path, end, blank):
+    records = [(f"r{i} ä", "ACGT" * (1 + i % 9), "@+IJ" * (1 + i % 9)) for i in range(80)]
+    text = "".join(f"@{n}{end}{s}{end}+{n}{end}{q}{end}{blank}" for n, s, q in records)
+    (tmp_path / "x.fq").write_bytes(text.encode())
+    for split in (100, 1 << 20):
+        rows = read_fastq(spark, str(tmp_path / "x.fq"), split_size=split).select("key", "sequence", "quality").collect()
+        assert sorted(map(tuple, rows)) == sorted(records)
+
+
+def test_long_fastq_lines(spark, tmp_path):
+    path = write(tmp_path / "x.fq", [("a", "ACGT" * 2_000_000, "IIII" * 2_000_000), ("b", "A", "I")])
+    assert [len(r.sequence) for r in read_fastq(spark, path).collect()] == [8_000_000, 1]
+    with pytest.raises(Exception, match="line of more"):
+        spark.read.format("fastq").option("path", path).option("maxLine", 10_000).load().collect()
+
+
 def test_compressed_fastq_and_broken_fastq(spark, tmp_path):
     (tmp_path / "x.fq.gz").write_bytes(gzip.compress(b"@a\nAC\n+\nII\n"))
     assert read_fastq(spark, str(tmp_path / "x.fq.gz")).first().sequence == "AC"

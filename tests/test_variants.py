@@ -174,3 +174,37 @@ def test_typed_attributes(spark):
     assert rows[801] == (9, [0.125], None, True) and rows[77003] == (None, [0.5, 0.25], None, False) and rows[5602] == (2, None, "north", False) and rows[300] == (None, None, None, False)
     with pytest.raises(ValueError):
         attribute(HEADER, "XX")
+
+
+def test_lenient_warns_and_silent_does_not(spark, caplog):
+    import time
+
+    for mode, n in (("LENIENT", 1), ("SILENT", 0)):
+        caplog.clear()
+        with caplog.at_level("WARNING", logger="helica.sources.text_out"):
+            assert parse_vcf(frame(spark, [*LINES, "bad line", "another"]), HEADER, mode=mode).count() == len(LINES)
+            for _ in range(50):
+                if caplog.records or not n:
+                    break
+                time.sleep(0.1)
+        assert len(caplog.records) == n
+    assert not n
+
+
+def test_intervals_over_many_bins_keep_equal_rows_and_maps(spark):
+    """More intervals than a predicate takes, against the predicate: rows of every width, repeated, with a map beside them."""
+    import random
+
+    from helica.functions.intervals import BIN, Interval, filter_by_intervals, overlaps
+
+    dice = random.Random(2)
+    intervals = [Interval(f"c{dice.randrange(2)}", a, a + dice.choice([0, 5, 3 * BIN])) for a in (dice.randrange(1, 400 * BIN) for _ in range(80))]
+    rows = [(i, f"c{dice.randrange(3)}", a, a + dice.choice([0, 10, BIN, 7 * BIN]), {"k": "v"}) for i, a in enumerate(dice.randrange(1, 400 * BIN) for _ in range(600))]
+    rows += [(None, i.contig, i.stop - BIN * 2, i.start, {}) for i in intervals[:30]] + [(None, i.contig, i.stop, i.start + BIN * 2, {}) for i in intervals[:30]]
+    df = spark.createDataFrame(rows + rows[:100], "id int, contig string, start long, end long, m map<string,string>").repartition(5)
+    from pyspark.sql import functions as F
+
+    want = df.where(overlaps(intervals, F.col("contig"), F.col("start"), F.col("end")))
+    got = filter_by_intervals(df, intervals)
+    key = lambda r: (str(r.id), r.contig, r.start, r.end)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 50

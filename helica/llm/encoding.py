@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +44,12 @@ def high_half(codec: str) -> list[str]:
     return chars
 
 
+def misread(text: str, codec: str, right: str = "utf-8") -> str:
+    """``text`` in the encoding ``right``, decoded as ``codec`` by mistake."""
+    chars = high_half(codec)
+    return "".join(chr(b) if b < 128 else chars[b - 128] for b in text.encode(right))
+
+
 class _ToBytes(dict):
     """A translation of characters to the byte they came from; all others outside ASCII become U+FFFF."""
 
@@ -80,6 +87,12 @@ def pair_pattern(codec: str) -> re.Pattern:
     return re.compile(_char_class(lead) + _char_class(cont))
 
 
+@lru_cache(maxsize=None)
+def shown_by_codecs() -> re.Pattern:
+    """Characters that a text garbled more than once shows between two rounds: those of the high halves of the encodings for Latin text."""
+    return re.compile(_char_class(sorted({c for codec in CODECS if codec not in OWN_SCRIPT for c in high_half(codec)})) + "+")
+
+
 #: Scripts whose own words may look like a garbled letter in these encodings.
 OWN_SCRIPT = {"cp1251": re.compile("[Ѐ-џ]"), "cp932": re.compile("[ｦ-ﾟ]")}
 
@@ -89,8 +102,8 @@ def other_letters(decoded: str, n_bytes: int, codec: str) -> bool:
     return codec not in OWN_SCRIPT and len(decoded) > 1 and n_bytes >= 3 * len(decoded) and all(unicodedata.category(c)[0] in "LMNS" for c in decoded)
 
 
-def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str]], int]:
-    """Spans (start, end, decoded) of UTF-8 read as ``codec``, and how many of them are beyond doubt.
+def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str, bool]], int]:
+    """Spans (start, end, decoded, beyond doubt) of UTF-8 read as ``codec``, and how many of them are beyond doubt.
 
     A span is in doubt if it could be a letter next to a closing sign: one sequence
     of two bytes that does not stand inside a word. Other scripts need two letters.
@@ -102,33 +115,52 @@ def garbled_spans(text: str, codec: str) -> tuple[list[tuple[int, int, str]], in
     for m in SPAN.finditer(text.translate(to_bytes(codec))):
         a, b = m.span()
         decoded = m.group().encode("latin-1").decode("utf-8")
-        if not PLAUSIBLE.fullmatch(C1.sub("", decoded) if len(decoded) > 1 else decoded) and not other_letters(decoded, b - a, codec):
+        several = len(decoded) > 1
+        if not PLAUSIBLE.fullmatch(C1.sub("", decoded) if several else decoded) and not (several and shown_by_codecs().fullmatch(decoded)) and not other_letters(decoded, b - a, codec):
             continue
         before, after = text[a - 1 : a] if a else "", text[b : b + 1]
         if len(decoded) == 1 and b - a == 2:
             if OTHER_SCRIPT.match(decoded) or (own and (own.match(before) or own.match(after))):
                 continue
         inside = after.isalpha() or (before.isalpha() and before.islower() and not text[a].islower())
-        spans.append((a, b, decoded))
-        sure += len(decoded) > 1 or b - a > 2 or inside
+        spans.append((a, b, decoded, several or b - a > 2 or inside))
+        sure += spans[-1][3]
     return spans, sure
 
 
-def repair_multibyte(text: str) -> tuple[str, int]:
-    """The text with all garbled multibyte spans decoded, and their number; however often it was garbled, as each round shortens it."""
+def repair_multibyte(text: str, used: set[str] | None = None) -> tuple[str, int]:
+    """The text with all garbled multibyte spans decoded, and their number; however often it was garbled, as each round shortens it.
+
+    An encoding takes part in a round if the text has a span of it beyond doubt, or
+    several. In each line the one that explains most is decoded, of equals the one
+    that explains most of the text. A span that lies inside a longer one of another
+    encoding waits for that one's round. ``used`` gets the encodings.
+    """
     total = 0
     while True:
-        best: list[tuple[int, int, str]] = []
-        score = 0
+        found = {}
         for codec in CODECS:
             spans, sure = garbled_spans(text, codec)
-            weight = sum(len(d) for _, _, d in spans) + sure
-            if (sure or len(spans) > 1) and weight > score:
-                best, score = spans, weight
-        if not best:
+            if sure or len(spans) > 1:
+                found[codec] = spans
+        if not found:
             break
+        whole = {codec: sum(len(d) + ok for _, _, d, ok in spans) for codec, spans in found.items()}
+        lines = [i for i, c in enumerate(text) if c == "\n"] if len(found) > 1 else []
+        by_line: dict[int, dict[str, list]] = {}
+        for codec, spans in found.items():
+            for span in spans:
+                by_line.setdefault(bisect_left(lines, span[0]), {}).setdefault(codec, []).append(span)
+        best = []
+        for some in by_line.values():
+            codec = max(some, key=lambda c: (sum(len(d) + ok for _, _, d, ok in some[c]), whole[c]))
+            longer = [(a, b) for other, spans in some.items() if other != codec for a, b, *_ in spans]
+            outer = [x for x in some[codec] if not any(a <= x[0] and x[1] <= b and b - a > x[1] - x[0] for a, b in longer)]
+            best += outer or some[codec]
+            if used is not None:
+                used.add(codec)
         parts, at = [], 0
-        for a, b, decoded in best:
+        for a, b, decoded, _ in sorted(best):
             parts += [text[at:a], decoded]
             at = b
         text = "".join([*parts, text[at:]])
@@ -212,9 +244,11 @@ def repair_mac(text: str, untouched: list[bool] | None = None) -> tuple[str, int
 LOST = "�"
 
 
-def left_over(text: str) -> bool:
-    """Whether a text still has a span that could be garbled, a word of two scripts or a sign inside a word."""
-    return bool(MIXED.search(text) or MAC_INSIDE.search(text)) or any(garbled_spans(text, c)[0] for c in CODECS)
+def left_over(text: str, used: set[str]) -> bool:
+    """Whether a text still has a span that could be garbled, a word of two scripts or a sign inside a word; of the encodings it was garbled by any well-formed span of three bytes counts, whatever it means."""
+    if MIXED.search(text) or MAC_INSIDE.search(text) or any(garbled_spans(text, c)[0] for c in CODECS):
+        return True
+    return any(len(m.group()) > 2 for c in used if pair_pattern(c).search(text) for m in SPAN.finditer(text.translate(to_bytes(c))))
 
 
 def repair(text: str) -> tuple[str, list[str], int, bool]:
@@ -229,9 +263,10 @@ def repair(text: str) -> tuple[str, list[str], int, bool]:
     looked at once more, so ``complete`` is about the text that comes out.
     """
     kinds, total, given = [], 0, text
+    used: set[str] = set()
     while True:
         before = text
-        for kind, step in (("multibyte", repair_multibyte), ("cyrillic", repair_cyrillic)):
+        for kind, step in (("multibyte", lambda t: repair_multibyte(t, used)), ("cyrillic", repair_cyrillic)):
             text, n = step(text)
             total += n
             if n and kind not in kinds:
@@ -240,13 +275,16 @@ def repair(text: str) -> tuple[str, list[str], int, bool]:
             break
     old, new = given.split("\n"), text.split("\n")
     untouched = None if not kinds else [x == y for x, y in zip(old, new)] if len(old) == len(new) else [False] * len(new)
+    unread = text
     text, n = repair_mac(text, untouched)
+    # Letters that either encoding may mean are told by their neighbours, which is a guess.
+    guessed = any(c in EITHER for x, y in zip(unread.split("\n"), text.split("\n")) if x != y for c in x)
     if n:
         kinds.append("mac")
         total += n
     if LOST in text:
         kinds.append("lost")
-    return text, kinds, total, bool(kinds) and "lost" not in kinds and not left_over(text)
+    return text, kinds, total, bool(kinds) and "lost" not in kinds and not guessed and not left_over(text, used)
 
 
 def _java_class(chars: set[str]) -> str:

@@ -202,6 +202,7 @@ MAC_HIGH = high_half("mac_roman")
 FROM_MAC = {ord(c): MAC_HIGH[b - 128] for b, c in enumerate(high_half("cp1252"), 128)}
 #: Western letters that are letters either way.
 EITHER = "šžœŠŽŸŒ"
+GUESSED = re.compile(f"[šžœ]|(?<![{LATIN}])[ŠŽŸŒ]")
 VOWELS = "aeiouy\xe4\xf6\xfc\xe5\xe6\xf8\xe1\xe9\xed\xf3\xfa\xe0\xe8\xea\xee\xef\xf4\xfb"
 
 
@@ -278,7 +279,7 @@ def repair(text: str) -> tuple[str, list[str], int, bool]:
     unread = text
     text, n = repair_mac(text, untouched)
     # Letters that either encoding may mean are told by their neighbours, which is a guess.
-    guessed = any(c in EITHER for x, y in zip(unread.split("\n"), text.split("\n")) if x != y for c in x)
+    guessed = any(x != y and GUESSED.search(x) for x, y in zip(unread.split("\n"), text.split("\n")))
     if n:
         kinds.append("mac")
         total += n

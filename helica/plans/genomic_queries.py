@@ -62,8 +62,7 @@ def work_folder(spark: SparkSession) -> str:
     base = local(shared) if shared else tempfile.gettempdir()
     folder = os.path.join(base, f"helica-{uuid.uuid4().hex}")
     os.makedirs(folder)
-    if not shared:
-        atexit.register(shutil.rmtree, folder, True)
+    atexit.register(shutil.rmtree, folder, True)
     return folder
 
 
@@ -620,7 +619,7 @@ def lines_of_text(spark, folder):
         for n in os.listdir(part):
             if n.startswith("part-"):
                 os.rename(os.path.join(part, n), os.path.join(at, f"{i}-{n}"))
-    return spark.read.format("bgzf_lines").option("path", at).option("splitSize", 100).load().select(F.col("value").alias("p_name"))
+    return spark.read.format("bgzf_lines").option("path", at).option("splitSize", 3000).load().select(F.col("value").alias("p_name"))
 
 
 def parts_of_a_write(spark, folder):

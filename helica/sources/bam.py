@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 
 from helica.functions.intervals import Interval, merge_intervals, parse_intervals
 from helica.functions.names import parse_boolean
 from helica.sources import bgzf
 from helica.sources.bam_codec import decode_records, encode_batch, header_bytes, plausible, read_bam_header
 from helica.sources.bam_index import LinearIndex, SplittingIndex, SplittingIndexBuilder
-from helica.sources.files import SPLIT_BYTES, exists, expand, local, size_of
+from helica.sources.files import SPLIT_BYTES, create, exists, expand, size_of
+from helica.sources.parts import PartFile, PartFolder
 from helica.sources.records import Kind, VirtualRange, record_slices, resolve
 from helica.sources.sam import READ_COLUMNS, READ_SCHEMA, SamHeader
 
@@ -139,38 +137,25 @@ class BamReader(DataSourceReader):
         return batch.filter(pa.array(keep))
 
 
-@dataclass
-class PartFile(WriterCommitMessage):
-    path: str
-    final: str
+class BamWriter(PartFolder):
+    """One file a partition, in block gzip without a terminator."""
 
-
-class BamWriter(DataSourceArrowWriter):
-    """One file a partition, in block gzip without a terminator, written beside its place and renamed on commit."""
+    suffix = ".bam"
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder = local(options["path"])
-        self.overwrite = overwrite
+        super().__init__(options, overwrite)
         self.header = read_bam_header(options["headerfrom"])[0] if options.get("headerfrom") else SamHeader.parse(options.get("header", ""))
         if not self.header.contigs and not options.get("header") and not options.get("headerfrom"):
             raise ValueError("writing BAM needs a header")
-        self.with_header = parse_boolean(options.get("writeheader"), True)
         self.index = parse_boolean(options.get("splittingindex"), False)
         self.granularity = int(options.get("granularity", 4096))
-        if os.path.isdir(self.folder) and os.listdir(self.folder) and not overwrite:
-            raise FileExistsError(self.folder)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> PartFile:
-        from pyspark import TaskContext
-
-        os.makedirs(self.folder, exist_ok=True)
-        number = TaskContext.get().partitionId()
-        name = f"part-{number:05d}.bam"
-        path = os.path.join(self.folder, f"_{name}.{uuid.uuid4().hex}")
+        part = self.new_part(*([".splitting-bai"] if self.index else []))
         index = {n: i for i, n in enumerate(self.header.names)}
         builder = SplittingIndexBuilder(self.granularity)
         buffer, address = bytearray(), 0
-        with open(path, "wb") as out:
+        with create(part.path) as out:
             if self.with_header:
                 block = bgzf.compress(header_bytes(self.header))
                 out.write(block)
@@ -189,25 +174,6 @@ class BamWriter(DataSourceArrowWriter):
             if buffer:
                 address += out.write(bgzf.compress(bytes(buffer)))
         if self.index:
-            with open(path + ".splitting-bai", "wb") as side:
+            with create(part.path + ".splitting-bai") as side:
                 side.write(builder.finish(address))
-        return PartFile(path, os.path.join(self.folder, name))
-
-    def commit(self, messages: list[PartFile | None]) -> None:
-        done = [m for m in messages if m]
-        os.makedirs(self.folder, exist_ok=True)
-        if self.overwrite:
-            for name in os.listdir(self.folder):
-                if name.startswith("part-") or name == "_SUCCESS":
-                    os.remove(os.path.join(self.folder, name))
-        for m in done:
-            os.replace(m.path, m.final)
-            if self.index:
-                os.replace(m.path + ".splitting-bai", m.final + ".splitting-bai")
-        open(os.path.join(self.folder, "_SUCCESS"), "w").close()
-
-    def abort(self, messages: list[PartFile | None]) -> None:
-        for m in messages:
-            for path in (m.path, m.path + ".splitting-bai") if m else ():
-                if os.path.exists(path):
-                    os.remove(path)
+        return part

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from helica.functions.names import parse_boolean
 from helica.sources import bgzf
-from helica.sources.files import SPLIT_BYTES, expand, local, open_file, size_of
+from helica.sources.files import SPLIT_BYTES, create, expand, open_file, size_of
+from helica.sources.parts import PartFile, PartFolder
 from helica.sources.records import Kind, VirtualRange, record_slices, resolve
 from helica.sources.vcf import VcfHeader
 
@@ -65,6 +64,7 @@ def header_of(data: bytes) -> tuple[VcfHeader, int] | None:
     return VcfHeader.parse(data[9 : 9 + n].rstrip(b"\0").decode()), 9 + n
 
 
+@lru_cache(maxsize=64)
 def read_bcf_header(path: str) -> tuple[VcfHeader, int]:
     """The header, and the virtual offset of the first record (plain offset in an uncompressed file)."""
     if bgzf.sniff(path) == "plain":
@@ -72,13 +72,12 @@ def read_bcf_header(path: str) -> tuple[VcfHeader, int]:
             size = struct.unpack("<I", f.read(9)[5:9])[0]
             f.seek(0)
             return header_of(f.read(9 + size))
-    data, marks = b"", []
+    data, marks = bytearray(), []
     for address, n, block in bgzf.Blocks(path):
         marks.append((len(data), address, address + n))
         data += block
-        found = header_of(data)
-        if found:
-            header, length = found
+        if len(data) >= 9 and (data[:3] != b"BCF" or len(data) >= 9 + struct.unpack_from("<I", data, 5)[0]):
+            header, length = header_of(bytes(data))
             begin, where, after = marks[-1]
             return header, after << 16 if length == len(data) else (where << 16) | (length - begin)
     raise ValueError(f"{path} ends inside its header")
@@ -122,18 +121,37 @@ def _values(data: bytes, at: int, kind: int, n: int) -> tuple[list[str], int]:
     return ["." if v == MISSING[kind] else str(v) for v in values if v != END[kind]], at + n * width
 
 
-def _genotype(values: list[str]) -> str:
+@lru_cache(maxsize=1 << 16)
+def _genotype(values: tuple[int, ...], kind: int) -> str:
     """GT numbers as text: (allele + 1) << 1, and a low bit for phased."""
     out = ""
-    for i, v in enumerate(values):
-        if v == ".":
+    for i, n in enumerate(v for v in values if v != END[kind]):
+        if n == MISSING[kind]:
             out += "/." if i else "."
             continue
-        n = int(v)
         out += ("|" if n & 1 else "/") * (i > 0) + (str((n >> 1) - 1) if n >> 1 else ".")
     return out or "."
 
 
+@lru_cache(maxsize=1 << 16)
+def _numbers(values: tuple[int, ...], kind: int) -> str:
+    return ",".join("." if v == MISSING[kind] else str(v) for v in values if v != END[kind]) or "."
+
+
+def _cells(data: bytes, at: int, kind: int, n: int, samples: int, is_genotype: bool) -> tuple[list[str], int]:
+    """The texts of one FORMAT field of all samples, taken from one stretch of numbers."""
+    if kind in INTS and n:
+        code, width = INTS[kind]
+        flat = struct.unpack_from(f"<{n * samples}{code}", data, at)
+        text = _genotype if is_genotype else _numbers
+        return [text(flat[i : i + n], kind) for i in range(0, n * samples, n)], at + n * samples * width
+    out = []
+    for _ in range(samples):
+        values, at = _values(data, at, kind, n)
+        out.append(",".join(values) or ".")
+    return out, at
+
+
 def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) -> str:
     """One record as a line of VCF text."""
     shared = struct.unpack_from("<I", data, at)[0]
@@ -161,15 +179,14 @@ def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) ->
     qual = "." if qual_bits == FLOAT_MISSING else _number(struct.unpack_from("<f", data, at + 20)[0])
     columns = [d.contigs[chrom], str(pos + 1), name or ".", alleles[0], ",".join(alleles[1:]) or ".", qual, ";".join(d.strings[f] for f in filters) if filters else ".", ";".join(info) or "."]
     if n_fmt:
-        p, keys, cells = at + 8 + shared, [], [[] for _ in range(n_sample)]
+        p, keys, fields = at + 8 + shared, [], []
         for _ in range(n_fmt):
             (key,), p = _ints(data, p)
             keys.append(d.strings[key])
             kind, n, p = _typed(data, p)
-            for s in range(n_sample):
-                values, p = _values(data, p, kind, n)
-                cells[s].append(_genotype(values) if keys[-1] == "GT" and kind in INTS else ",".join(values) or ".")
-        columns += [":".join(keys), *(":".join(c) for c in cells)]
+            texts, p = _cells(data, p, kind, n, n_sample, keys[-1] == "GT")
+            fields.append(texts)
+        columns += [":".join(keys), *map(":".join, zip(*fields))]
     elif n_header_samples:
         columns += ["."] * (1 + n_header_samples)
     return "\t".join(columns)
@@ -341,36 +358,17 @@ def _plain_slices(path: str, begin: int) -> Iterator[tuple[bytes, list[int]]]:
             raise ValueError(f"{path} ends inside a record")
 
 
-@dataclass
-class PartFile(WriterCommitMessage):
-    path: str
-    final: str
+class PartWriter(PartFolder):
+    """Base of writers whose files are pieces of bytes, in block gzip unless ``packed`` is false."""
 
-
-class PartWriter(DataSourceArrowWriter):
-    """Base of writers of one file a partition: written under another name, renamed on commit."""
-
-    suffix = ""
-    #: Whether the pieces go into block gzip.
     packed = True
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.overwrite = local(options["path"]), overwrite
-        self.with_header = parse_boolean(options.get("writeheader"), True)
-        if os.path.isdir(self.folder) and os.listdir(self.folder) and not overwrite:
-            raise FileExistsError(self.folder)
-
     def pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         raise NotImplementedError
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> PartFile:
-        from pyspark import TaskContext
-
-        os.makedirs(self.folder, exist_ok=True)
-        name = f"part-{TaskContext.get().partitionId():05d}{self.suffix}"
-        path = os.path.join(self.folder, f"_{name}.{uuid.uuid4().hex}")
-        buffer = bytearray()
-        with open(path, "wb") as out:
+        part, buffer = self.new_part(), bytearray()
+        with create(part.path) as out:
             for piece in self.pieces(batches):
                 if not self.packed:
                     out.write(piece)
@@ -381,23 +379,7 @@ class PartWriter(DataSourceArrowWriter):
                     out.write(bgzf.compress(bytes(buffer[:whole])))
                     del buffer[:whole]
             out.write(bgzf.compress(bytes(buffer)))  # nothing where pieces are not packed
-        return PartFile(path, os.path.join(self.folder, name))
-
-    def commit(self, messages: list[PartFile | None]) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        if self.overwrite:
-            for name in os.listdir(self.folder):
-                if name.startswith("part-") or name == "_SUCCESS":
-                    os.remove(os.path.join(self.folder, name))
-        for m in messages:
-            if m:
-                os.replace(m.path, m.final)
-        open(os.path.join(self.folder, "_SUCCESS"), "w").close()
-
-    def abort(self, messages: list[PartFile | None]) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        return part
 
 
 class BcfWriter(PartWriter):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import InputPartition
@@ -60,6 +61,61 @@ def exists(path: str) -> bool:
     return os.path.exists(local(path))
 
 
+def create(path: str):
+    """A new binary file to write."""
+    if is_remote(path):
+        where, name = _filesystem(path)
+        return where.open_output_stream(name)
+    return open(local(path), "wb")
+
+
+def join(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def make_folder(path: str) -> None:
+    if is_remote(path):
+        where, name = _filesystem(path)
+        where.create_dir(name, recursive=True)
+    else:
+        os.makedirs(local(path), exist_ok=True)
+
+
+def names_in(folder: str) -> list[str]:
+    """The names of the files in a folder; none if there is no such folder."""
+    if is_remote(folder):
+        from pyarrow import fs
+
+        where, name = _filesystem(folder)
+        return [i.base_name for i in where.get_file_info(fs.FileSelector(name, allow_not_found=True))]
+    return os.listdir(local(folder)) if os.path.isdir(local(folder)) else []
+
+
+def move(path: str, target: str) -> None:
+    """Rename a file, over another if there is one."""
+    if is_remote(path):
+        where, name = _filesystem(path)
+        where.move(name, _filesystem(target)[1])
+    else:
+        os.replace(local(path), local(target))
+
+
+def delete(path: str) -> None:
+    if is_remote(path):
+        where, name = _filesystem(path)
+        where.delete_file(name)
+    else:
+        os.remove(local(path))
+
+
+def delete_folder(path: str) -> None:
+    if is_remote(path):
+        where, name = _filesystem(path)
+        where.delete_dir(name)
+    else:
+        shutil.rmtree(local(path))
+
+
 def read_range(path: str, start: int, length: int) -> bytes:
     with open_file(path) as f:
         f.seek(start)

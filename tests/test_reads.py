@@ -237,3 +237,58 @@ def test_reads_of_odd_shapes(spark, tmp_path):
         bad = dict(zip(names, base)) | change
         with pytest.raises(Exception, match="not in the header|qualities for"):
             write_reads(spark.createDataFrame([tuple(bad[c] for c in names)], df.schema), str(tmp_path / ("y" + next(iter(change)) + ".bam")), HEADER)
+
+
+def test_writes_and_merges_by_uri(spark, tmp_path, monkeypatch):
+    """A file system that only pyarrow knows, here a local one under another name."""
+    from pyarrow import fs
+
+    from helica.sources import files
+
+    class Seen:
+        @staticmethod
+        def of(path):
+            return fs.LocalFileSystem(), path.removeprefix("elsewhere://")
+
+    monkeypatch.setattr(files, "_filesystem", Seen.of)
+    uri = f"elsewhere://{tmp_path}/parts.bam"
+    folder = tmp_path / "parts.bam"
+    write_reads(reads(spark, 200, 3).repartition(3), str(folder), HEADER, write_header=False, splitting_index=True)
+    from helica.sources.merge import part_files
+
+    assert [p.rsplit("/", 1)[1] for p in part_files(uri)] == [f"part-0000{i}.bam" for i in range(3)]
+    out = merge_reads(uri, f"elsewhere://{tmp_path}/all.bam", HEADER)
+    assert files.exists(out + ".splitting-bai") and load_reads(spark, str(tmp_path / "all.bam")).count() == 402
+    files.make_folder(f"elsewhere://{tmp_path}/new/sub")
+    with files.create(f"elsewhere://{tmp_path}/new/sub/x") as f:
+        f.write(b"1")
+    files.move(f"elsewhere://{tmp_path}/new/sub/x", f"elsewhere://{tmp_path}/new/sub/y")
+    assert files.names_in(f"elsewhere://{tmp_path}/new/sub") == ["y"] and files.names_in(f"elsewhere://{tmp_path}/none") == []
+    files.delete(f"elsewhere://{tmp_path}/new/sub/y")
+    files.delete_folder(f"elsewhere://{tmp_path}/new")
+    assert not (tmp_path / "new").exists()
+    with pytest.raises(ValueError):
+        merge_reads(uri, uri + "/all.bam", HEADER)
+
+
+def test_keys_of_placed_reads_cost_no_python(spark, bam, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = load_reads(spark, bam)
+    assert "ArrowEvalPython" not in plan(df) and df.where("key is null").count() == 0
+    (tmp_path / "x.sam").write_text(SAM)
+    keyless = load_reads(spark, str(tmp_path / "x.sam"), key=False)
+    assert "ArrowEvalPython" not in plan(keyless) and "ArrowEvalPython" not in plan(load_reads(spark, str(tmp_path / "x.sam")).select("read_name"))
+
+
+def test_a_large_header_is_read_once_in_bounded_time(tmp_path):
+    import time
+
+    from helica.sources.bam_codec import header_bytes
+
+    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:c{i}\tLN:1000\n" for i in range(3000)) + "@CO\t" + "x" * 60_000_000 + "\n"
+    header = SamHeader.parse(text)
+    (tmp_path / "x.bam").write_bytes(bgzf.compress(header_bytes(header), 1, end=True))
+    began = time.time()
+    got, begin = read_bam_header(str(tmp_path / "x.bam"))
+    assert got.contigs == header.contigs and len(got.text) == len(text) and time.time() - began < 20
+    assert begin >> 16 == size_of(str(tmp_path / "x.bam")) - len(bgzf.TERMINATOR) or begin & 0xFFFF

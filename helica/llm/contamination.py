@@ -190,37 +190,54 @@ def latent_space(spark, windows: np.ndarray, idf: np.ndarray, rank: int = RANK,
 
 @dataclass(frozen=True)
 class Gate:
-    """The items' passages by some of their terms: those of term ``t`` are ``items[first[t]:first[t + 1]]``."""
+    """The items' passages by keys: those of ``keys[i]`` are ``items[first[i]:first[i + 1]]``. A key is a term, or two neighbours as ``term * n_terms + next term``."""
 
+    keys: np.ndarray
     first: np.ndarray
     items: np.ndarray
+    begins: np.ndarray
+    n_terms: int
+    two: bool
 
     @classmethod
-    def of(cls, pairs: np.ndarray, n_terms: int) -> Gate:
-        """From rows (term, passage)."""
+    def of(cls, pairs: np.ndarray, n_terms: int, two: bool = False) -> Gate:
+        """From rows (key, passage)."""
         pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
-        return cls(np.searchsorted(pairs[:, 0], np.arange(n_terms + 2)), pairs[:, 1])
+        keys, first = np.unique(pairs[:, 0], return_index=True)
+        begins = np.zeros(n_terms, bool)
+        begins[keys // n_terms if two else keys] = True
+        return cls(keys, np.append(first, len(pairs)), pairs[:, 1], begins, n_terms, two)
 
     def hits(self, ids: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, passage) of all terms of a text that lead to a passage."""
-        count = (self.first[ids + 1] - self.first[ids]) * allowed
-        at = np.flatnonzero(count)
-        count = count[at]
+        """(position, passage) of all places of a text that lead to a passage."""
+        at = np.flatnonzero(self.begins[ids] & allowed)
+        if self.two:
+            at = at[at + 1 < len(ids)]
+            at = at[allowed[at + 1]]
+        if not len(at) or not len(self.keys):
+            return at[:0], self.items[:0]
+        key = ids[at].astype(np.int64) * self.n_terms + ids[at + 1] if self.two else ids[at]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[k] == key
+        at, k = at[known], k[known]
+        count = self.first[k + 1] - self.first[k]
         ends = np.cumsum(count)
-        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids[at]] - (ends - count), count)
+        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[k] - (ends - count), count)
         return np.repeat(at, count), self.items[flat]
 
 
 def run_gate(windows: np.ndarray, idf: np.ndarray, length: int) -> Gate:
-    """Passages by the rarest term of every ``length`` words in a row: a text with such words has their rarest term, so none is missed."""
-    weight = np.where(windows > 0, idf[windows], np.inf)
+    """Passages by the rarest term of every ``length`` words in a row and its neighbour in them: a text with such words has both, so none is missed."""
+    two = length > 1
     found = []
     for s in range(WINDOW - length + 1):
-        part, w = weight[:, s : s + length], windows[:, s : s + length]
+        w = windows[:, s : s + length].astype(np.int64)
         full = (w > 0).all(axis=1)
-        best = np.argmax(np.where(np.isinf(part), -1, part), axis=1)
-        found.append(np.stack([w[np.arange(len(w)), best], np.arange(len(w))], axis=1)[full])
-    return Gate.of(np.concatenate(found) if found else np.empty((0, 2), np.int64), len(idf))
+        best = np.minimum(np.argmax(idf[w], axis=1), length - 1 - two)
+        n = np.arange(len(w))
+        key = w[n, best] * len(idf) + w[n, best + 1] if two else w[n, best]
+        found.append(np.stack([key, n], axis=1)[full])
+    return Gate.of(np.concatenate(found) if found else np.empty((0, 2), np.int64), len(idf), two)
 
 
 def rare_gate(windows: np.ndarray, idf: np.ndarray, n: int = RARE_TERMS) -> Gate:
@@ -232,7 +249,7 @@ def rare_gate(windows: np.ndarray, idf: np.ndarray, n: int = RARE_TERMS) -> Gate
     rank = np.where(windows > 0, place[at.reshape(windows.shape)], len(first))
     terms = np.take_along_axis(windows, np.argsort(rank, axis=1, kind="stable")[:, :n], axis=1)
     pairs = np.stack([terms.ravel(), np.repeat(np.arange(len(windows)), terms.shape[1])], axis=1)
-    return Gate.of(pairs[pairs[:, 0] > 0], len(idf))
+    return Gate.of(pairs[pairs[:, 0] > 0].astype(np.int64), len(idf))
 
 
 def longest_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,7 +404,7 @@ class Search:
         x, p = x[stay], p[stay]
         # A term counts once for a passage of an item, however often it stands there.
         w = np.concatenate([x // STRIDE + d for d in (1, 0, -1, -2)])
-        keep, width = (w >= 0) & (w < n_passages), len(self.rare.first)
+        keep, width = (w >= 0) & (w < n_passages), self.rare.n_terms
         one = np.unique(((w * step + np.tile(p, 4)) * width + np.tile(ids[x], 4))[keep]) // width
         key, times = np.unique(one, return_counts=True)
         return np.divmod(key[times >= RARE_SHARED], step)
@@ -460,7 +477,7 @@ def find_leaks(
     the latent space are broadcast, in blocks of about ``WORDS_PER_BLOCK`` words, in
     the order of their keys; more are searched in further passes. A passage of the
     corpus is held against passages of items that share the rarest term of
-    12 words in a row with it (none with such words is missed), for paraphrases at
+    12 words in a row, and its neighbour, with it (none with such words is missed), for paraphrases at
     least ``RARE_SHARED`` of their ``RARE_TERMS`` rarest terms within its 48 words (the
     README gives the share of paraphrases that this finds).
     Of those the cosine in the latent space has to reach ``min_cosine`` (-2 lets all

@@ -31,8 +31,8 @@ MIN_COSINE_PARAPHRASE = 0.3
 ALIKE = (2 * WINDOW) // 3
 #: Terms of an item's passage that the fewest other passages have, and how many of them a text has to have near for a paraphrase.
 RARE_TERMS, RARE_SHARED = 10, 3
-#: Words of items that are searched for in one pass over the corpus; more are searched in blocks. Bounds what is broadcast.
-WORDS_PER_BLOCK = 5_000_000
+#: Words of items that are searched for in one pass over the corpus; more are searched in blocks. Bounds what is broadcast: a vector for every 12 words and every term, about 400 MB at most.
+WORDS_PER_BLOCK = 2_000_000
 SEED = 20
 #: Pairs of passages compared at once; bounds a worker's memory.
 AT_ONCE = 4096
@@ -347,6 +347,7 @@ class Search:
     at: np.ndarray
     around: np.ndarray | None
     weighted: np.ndarray
+    latent: np.ndarray
     n_terms: int
     runs: Gate
     rare: Gate | None
@@ -359,8 +360,7 @@ class Search:
         n, w, rows, p = map(np.concatenate, zip(*pairs))
         _, one, inverse = np.unique(n * (1 << 32) + w, return_index=True, return_inverse=True)
         mine = gathered(rows[one][:, -WINDOW - STRIDE : -STRIDE] if rows.shape[1] > WINDOW else rows[one], self.weighted)
-        used, of = np.unique(p, return_inverse=True)
-        cosine = np.einsum("ij,ij->i", mine[inverse], gathered(self.windows[used], self.weighted)[of])
+        cosine = np.einsum("ij,ij->i", mine[inverse], self.latent[p])
         keep = cosine >= limit
         return n[keep], w[keep], rows[keep], p[keep], cosine[keep].astype(float)
 
@@ -511,7 +511,7 @@ def find_leaks(
         weighted[: len(space)] = space * idf[: len(space), None]
         around = np.concatenate([regions(i) for i in block.ids]) if paraphrase and len(windows) else None
         rare = rare_gate(windows, idf) if around is not None else None
-        task = Search(block.ids, block.answers, windows, owner, at, around, weighted, block.n_terms, run_gate(windows, idf, min_words), rare, min_words, cosine, loose)
+        task = Search(block.ids, block.answers, windows, owner, at, around, weighted, gathered(windows, weighted), block.n_terms, run_gate(windows, idf, min_words), rare, min_words, cosine, loose)
         shared = spark.sparkContext.broadcast(task)
         keys = spark.createDataFrame([(i, k) for i, k in enumerate(block.keys)], f"item long, `{item_key}` {item_kind}")
 

@@ -416,7 +416,7 @@ def vcf_bgzf_file(spark, folder):
 def bcf_roundtrip(spark, folder):
     at = _file(spark, "variants.bcf")
     variant_lines_of(spark, folder).write.format("bcf").mode("append").option("header", VCF_TOP).save(at)
-    return spark.read.format("bcf").option("path", at).option("splitSize", 1 << 18).load()
+    return format_vcf(read_variants(spark, at, split_size=1 << 18))
 
 
 def fasta_positions(spark, folder):

@@ -10,6 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
+from helica.functions.names import parse_boolean
 from helica.sources import bgzf
 from helica.sources.files import SPLIT_BYTES, create, expand, open_file, size_of
 from helica.sources.parts import PartFile, PartFolder
@@ -152,8 +153,8 @@ def _cells(data: bytes, at: int, kind: int, n: int, samples: int, is_genotype: b
     return out, at
 
 
-def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) -> str:
-    """One record as a line of VCF text."""
+def decode_fields(data: bytes, at: int, d: Dictionary, n_header_samples: int) -> tuple[str, int, str, list[str], str, list[str], list[str], list[str]]:
+    """Contig, position, id, alleles, quality, filters, INFO entries, and the FORMAT column with those of the samples; all but the position as the text that VCF has."""
     shared = struct.unpack_from("<I", data, at)[0]
     chrom, pos, _ = struct.unpack_from("<iii", data, at + 8)
     qual_bits, counts, samples = struct.unpack_from("<III", data, at + 20)
@@ -177,7 +178,7 @@ def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) ->
         flag = kind == 0 or d.types.get(("INFO", field_name)) == "Flag"
         info.append(field_name if flag else f"{field_name}={','.join(values) or '.'}")
     qual = "." if qual_bits == FLOAT_MISSING else _number(struct.unpack_from("<f", data, at + 20)[0])
-    columns = [d.contigs[chrom], str(pos + 1), name or ".", alleles[0], ",".join(alleles[1:]) or ".", qual, ";".join(d.strings[f] for f in filters) if filters else ".", ";".join(info) or "."]
+    calls: list[str] = []
     if n_fmt:
         p, keys, fields = at + 8 + shared, [], []
         for _ in range(n_fmt):
@@ -186,10 +187,44 @@ def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) ->
             kind, n, p = _typed(data, p)
             texts, p = _cells(data, p, kind, n, n_sample, keys[-1] == "GT")
             fields.append(texts)
-        columns += [":".join(keys), *map(":".join, zip(*fields))]
+        calls = [":".join(keys), *map(":".join, zip(*fields))]
     elif n_header_samples:
-        columns += ["."] * (1 + n_header_samples)
-    return "\t".join(columns)
+        calls = ["."] * (1 + n_header_samples)
+    return d.contigs[chrom], pos + 1, name or ".", alleles, qual, [d.strings[f] for f in filters], info, calls
+
+
+def decode_record(data: bytes, at: int, d: Dictionary, n_header_samples: int) -> str:
+    """One record as a line of VCF text."""
+    contig, pos, name, alleles, qual, filters, info, calls = decode_fields(data, at, d, n_header_samples)
+    return "\t".join([contig, str(pos), name, alleles[0], ",".join(alleles[1:]) or ".", qual, ";".join(filters) or ".", ";".join(info) or ".", *calls])
+
+
+TEXTS = pa.list_(pa.string())
+#: The columns of typed variants, but those that are made from others.
+VARIANT_COLUMNS = {
+    "contig": pa.string(), "start": pa.int32(), "end": pa.int32(), "id": pa.string(), "alleles": TEXTS, "qual": pa.float64(), "filters": TEXTS,
+    "attributes": pa.map_(pa.string(), TEXTS), "info_raw": pa.string(), "n_genotypes": pa.int32(), "format": pa.string(), "genotypes_raw": pa.string(),
+}
+VARIANT_SCHEMA = "contig string, start int, end int, id string, alleles array<string>, qual double, filters array<string>, attributes map<string,array<string>>, info_raw string, n_genotypes int, format string, genotypes_raw string"
+
+
+def typed_batch(data: bytes, offsets: list[int], d: Dictionary, n_header_samples: int) -> pa.RecordBatch:
+    """Records as typed variants, the same as their lines parsed."""
+    rows = []
+    for o in offsets:
+        contig, pos, name, alleles, qual, filters, info, calls = decode_fields(data, o, d, n_header_samples)
+        attributes: dict[str, list[str]] = {}
+        for entry in info:
+            key, eq, value = entry.partition("=")
+            attributes.setdefault(key, value.split(",") if eq else [])
+        ends = attributes.get("END", [""])[0:1]
+        end = int(ends[0]) if ends and ends[0].isdigit() else pos + len(alleles[0]) - 1
+        passed = None if not filters else [] if filters == ["PASS"] else filters
+        rows.append((contig, pos, end, None if name == "." else name, alleles, None if qual == "." else float(qual), passed, list(attributes.items()), ";".join(info) or ".", max(len(calls) - 1, 0), calls[0] if calls else None, "\t".join(calls[1:]) if len(calls) > 1 else None))
+    columns = list(zip(*rows)) or [[] for _ in VARIANT_COLUMNS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, VARIANT_COLUMNS.values())], list(VARIANT_COLUMNS))
+
+
 
 
 def _put_typed(kind: int, n: int) -> bytes:
@@ -297,14 +332,14 @@ def bcf_kind(d: Dictionary, n_samples: int) -> Kind:
 
 
 class BcfSource(DataSource):
-    """Lines of VCF text from BCF files (``path``, ``splitSize``), and BCF files from lines (``header``, ``writeHeader``)."""
+    """Lines of VCF text from BCF files (``path``, ``splitSize``), with ``typed`` typed variants instead; and BCF files from lines (``header``, ``writeHeader``)."""
 
     @classmethod
     def name(cls) -> str:
         return "bcf"
 
     def schema(self) -> str:
-        return "value string"
+        return VARIANT_SCHEMA if parse_boolean(self.options.get("typed"), False) else "value string"
 
     def reader(self, schema) -> DataSourceReader:
         return BcfReader(self.options)
@@ -316,6 +351,7 @@ class BcfSource(DataSource):
 class BcfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitSize", SPLIT_BYTES))
+        self.typed = parse_boolean(options.get("typed"), False)
 
     def partitions(self) -> list[VirtualRange]:
         parts = []
@@ -337,6 +373,9 @@ class BcfReader(DataSourceReader):
             kind = bcf_kind(d, n)
             slices = ((data, offsets.tolist()) for data, offsets, _ in record_slices(part.path, *resolve(part, kind, begin), kind))
         for data, offsets in slices:
+            if self.typed:
+                yield typed_batch(data, offsets, d, n)
+                continue
             yield pa.RecordBatch.from_pydict({"value": [decode_record(data, o, d, n) for o in offsets]})
 
 

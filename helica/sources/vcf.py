@@ -203,11 +203,26 @@ def read_variants(
     by_kind: dict[str, list[str]] = {}
     for f in files:
         by_kind.setdefault(_kind(f, trust_names, formats), []).append(f)
-    lines = None
+    lines, rows = None, None
     for kind, some in sorted(by_kind.items()):
+        if kind == "bcf":  # typed as it is, so no text is made of it
+            rows = _typed_variants(spark, some, head, split_size)
+            continue
         part = variant_lines(spark, some, kind, intervals, split_size)
         lines = part if lines is None else lines.unionByName(part)
-    return filter_by_intervals(parse_vcf(lines, head, mode=mode), intervals)
+    if lines is not None:
+        parsed = parse_vcf(lines, head, mode=mode)
+        rows = parsed if rows is None else rows.unionByName(parsed)
+    return filter_by_intervals(rows, intervals)
+
+
+def _typed_variants(spark: SparkSession, files: list[str], header: VcfHeader, split_size: int | None) -> DataFrame:
+    """The variants of BCF files, with the columns of parsed lines."""
+    source = spark.read.format("bcf").option("path", ",".join(files)).option("typed", "true")
+    rows = (source.option("splitSize", split_size) if split_size else source).load()
+    key = variant_key(contig_index(header.names, F.col("contig")), F.col("contig"), F.col("start"))
+    at = rows.columns.index("qual") + 1
+    return rows.select(key.alias("key"), *rows.columns[:at], (F.col("qual") / -10).alias("log10_p_error"), *rows.columns[at:])
 
 
 def write_vcf(variants: DataFrame, path: str, header: VcfHeader, write_header: bool = True, compression: str = "bgzf", mode: str = "errorifexists") -> None:

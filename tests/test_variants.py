@@ -208,3 +208,15 @@ def test_intervals_over_many_bins_keep_equal_rows_and_maps(spark):
     got = filter_by_intervals(df, intervals)
     key = lambda r: (str(r.id), r.contig, r.start, r.end)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 50
+
+
+def test_typed_bcf_equals_parsed_lines(spark, tmp_path):
+    more = [*LINES, "ctgA\t9\t.\tC\tT\t.\t.\t.\tGT\t.\t0", "ctgB\t11\tx\tCC\tT\t3\tPASS\tLAB=a,b;OLD\tGT:SC\t0/1:.\t1:4"]
+    rows = spark.createDataFrame([(x,) for x in more], "value string").coalesce(1)
+    rows.write.format("bcf").mode("append").option("header", TOP).save(str(tmp_path / "out"))
+    lines = spark.read.format("bcf").option("path", str(tmp_path / "out")).load()
+    want, got = parse_vcf(lines, HEADER), read_variants(spark, str(tmp_path / "out"))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    order = lambda df: sorted((r.asDict(True) for r in df.collect()), key=lambda r: (r["contig"], r["start"]))
+    assert order(got) == order(want)
+    assert sorted(r.value for r in format_vcf(got).collect()) == sorted(r.value for r in lines.collect())

@@ -261,8 +261,16 @@ def repair(text: str) -> tuple[str, list[str], int, bool]:
     Spans and words of two scripts are restored until none is left, as either may
     bring out the other. The Mac step then takes the lines that were not restored;
     a line with both kinds of damage keeps the second. What the result still has is
-    looked at once more, so ``complete`` is about the text that comes out.
+    looked at once more, so ``complete`` is about the text that comes out. Nothing
+    reaches over a line end, so lines of ASCII are left out of all this.
     """
+    lines = text.split("\n")
+    at = [i for i, line in enumerate(lines) if not line.isascii()]
+    if len(at) < len(lines):
+        some, kinds, total, complete = repair("\n".join(lines[i] for i in at)) if at else (text, [], 0, False)
+        for i, line in zip(at, some.split("\n")):
+            lines[i] = line
+        return "\n".join(lines), kinds, total, complete
     kinds, total, given = [], 0, text
     used: set[str] = set()
     while True:

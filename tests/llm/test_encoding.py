@@ -92,3 +92,12 @@ def test_the_pattern_of_the_scan_misses_nothing(spark):
     texts = [misread(TEXT, c) for c in E.CODECS] + [TEXT.replace("“", "").replace("”", "").replace("—", "").encode("cp1252").decode("cp1251"), misread(TEXT, "cp1252", "mac_roman"), "�"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert {r.doc_id for r in E.find_garbled(df, "doc_id", "text").collect()} == {i for i, t in enumerate(texts) if E.repair(t)[1]}
+
+
+def test_lines_of_ascii_change_nothing():
+    garbled = [misread("Müller était là", "cp1252"), misread("Größe", "mac_roman"), "Fräulein".encode("mac_roman").decode("cp1252"), "juste été", "été".encode("cp1252").decode("cp1251")]
+    alone = E.repair("\n".join(garbled))
+    lines = [x for g in garbled for x in ("plain text", g, "", "more plain text")]
+    fixed, kinds, n, complete = E.repair("\n".join(lines))
+    assert [x for x in fixed.split("\n") if not x.isascii()] == [x for x in alone[0].split("\n") if not x.isascii()] and (kinds, n, complete) == alone[1:]
+    assert E.repair("only plain\ntext") == ("only plain\ntext", [], 0, False)

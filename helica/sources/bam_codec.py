@@ -12,6 +12,7 @@ import pyarrow as pa
 from helica.functions.hashing import read_hashes
 from helica.functions.keys import NO_POSITION, UNMAPPED
 from helica.sources.bgzf import Blocks
+from helica.sources.files import stamp
 from helica.sources.sam import SamHeader
 
 #: Fixed values of the format.
@@ -58,9 +59,13 @@ def header_bytes(header: SamHeader) -> bytes:
     return b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(header.contigs)) + refs
 
 
-@lru_cache(maxsize=64)
 def read_bam_header(path: str) -> tuple[SamHeader, int]:
     """The header, and the virtual offset of the first record. A process reads the header of a file once, whatever its size."""
+    return _header_of_file(path, stamp(path))
+
+
+@lru_cache(maxsize=64)
+def _header_of_file(path: str, _stamp: tuple) -> tuple[SamHeader, int]:
     data, marks, need = bytearray(), [], 12
     for address, n, block in Blocks(path):
         marks.append((len(data), address, address + n))

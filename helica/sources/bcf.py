@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from helica.functions.names import parse_boolean
 from helica.sources import bgzf
-from helica.sources.files import SPLIT_BYTES, create, expand, open_file, size_of
+from helica.sources.files import SPLIT_BYTES, create, expand, open_file, size_of, stamp
 from helica.sources.parts import PartFile, PartFolder
 from helica.sources.records import Kind, VirtualRange, record_slices, resolve
 from helica.sources.vcf import VcfHeader
@@ -65,9 +65,13 @@ def header_of(data: bytes) -> tuple[VcfHeader, int] | None:
     return VcfHeader.parse(data[9 : 9 + n].rstrip(b"\0").decode()), 9 + n
 
 
-@lru_cache(maxsize=64)
 def read_bcf_header(path: str) -> tuple[VcfHeader, int]:
     """The header, and the virtual offset of the first record (plain offset in an uncompressed file)."""
+    return _header_of_file(path, stamp(path))
+
+
+@lru_cache(maxsize=64)
+def _header_of_file(path: str, _stamp: tuple) -> tuple[VcfHeader, int]:
     if bgzf.sniff(path) == "plain":
         with open_file(path) as f:
             size = struct.unpack("<I", f.read(9)[5:9])[0]

@@ -17,7 +17,7 @@ from helica.functions.keys import NO_POSITION, UNMAPPED
 from helica.functions.names import parse_boolean
 from helica.sources.bcf import PartWriter
 from helica.sources.cram_codec import END, Cursor, Reference, decode_container, encode_container, file_start, read_block
-from helica.sources.files import SPLIT_BYTES, expand, open_file, size_of
+from helica.sources.files import SPLIT_BYTES, expand, open_file, size_of, stamp
 from helica.sources.sam import READ_COLUMNS, READ_SCHEMA, SamHeader
 
 #: Reads of a written container.
@@ -82,9 +82,13 @@ def splits(path: str, split: int) -> list[tuple[int, int]]:
     return container_splits([c.offset for c in containers(path)[1:]], size_of(path), split)
 
 
-@lru_cache(maxsize=64)
 def read_cram_header(path: str) -> SamHeader:
     """The SAM header in the first container."""
+    return _header_of_file(path, stamp(path))
+
+
+@lru_cache(maxsize=64)
+def _header_of_file(path: str, _stamp: tuple) -> SamHeader:
     first = containers(path)[0]
     with open_file(path) as f:
         f.seek(first.data)

@@ -54,6 +54,16 @@ def size_of(path: str) -> int:
     return os.path.getsize(local(path))
 
 
+def stamp(path: str) -> tuple:
+    """What changes when a file is written again: its size and time."""
+    if is_remote(path):
+        where, name = _filesystem(path)
+        info = where.get_file_info(name)
+        return info.size, info.mtime_ns
+    found = os.stat(local(path))
+    return found.st_size, found.st_mtime_ns
+
+
 def exists(path: str) -> bool:
     if is_remote(path):
         where, name = _filesystem(path)

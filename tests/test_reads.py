@@ -292,3 +292,12 @@ def test_a_large_header_is_read_once_in_bounded_time(tmp_path):
     got, begin = read_bam_header(str(tmp_path / "x.bam"))
     assert got.contigs == header.contigs and len(got.text) == len(text) and time.time() - began < 20
     assert begin >> 16 == size_of(str(tmp_path / "x.bam")) - len(bgzf.TERMINATOR) or begin & 0xFFFF
+
+
+def test_a_header_that_is_written_again_is_read_again(tmp_path):
+    from helica.sources.bam_codec import header_bytes
+
+    path = tmp_path / "x.bam"
+    for name in ("one", "two", "seven"):
+        path.write_bytes(bgzf.compress(header_bytes(SamHeader.of_contigs([(name, 5)])), end=True))
+        assert read_sam_header(str(path)).names == [name]

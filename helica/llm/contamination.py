@@ -376,8 +376,11 @@ class Search:
             yield int(n[k]), item, float(cosine[k]), widened(texts[int(n[k])], self.ids[item], int(w[k] * STRIDE + i[k]), int(self.at[p[k]] + j[k])), int(lcs[k])
 
     def alike(self, pairs: list[tuple], texts: dict[int, np.ndarray]) -> Iterator[tuple]:
-        """Pairs by their cosine, then by words in the same order there or up to ``STRIDE`` words beside."""
+        """Pairs by their cosine, then by the answer, then by words in the same order there or up to ``STRIDE`` words beside."""
         n, w, rows, p, cosine = self.near(pairs, self.min_cosine_paraphrase)
+        asked = {x: holds(texts[x[0]], self.answers[x[1]]) for x in set(zip(n.tolist(), self.owner[p].tolist()))}
+        has = np.array([asked[x] for x in zip(n.tolist(), self.owner[p].tolist())], bool)
+        n, w, rows, p, cosine = (x[has] for x in (n, w, rows, p, cosine))
         lcs = common_anywhere(rows, self.around[p])
         enough = np.flatnonzero(lcs >= ALIKE)
         run = longest_runs(rows[enough][:, STRIDE : STRIDE + WINDOW], self.windows[p[enough]])[0]

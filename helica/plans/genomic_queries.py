@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -69,11 +70,22 @@ def work_folder(spark: SparkSession) -> str:
 # --- records from the tables -------------------------------------------------
 
 
-def reads_of(spark: SparkSession, folder: str) -> DataFrame:
+def header_of(spark: SparkSession, folder: str) -> SamHeader:
+    """``HEADER``, with the contigs behind its own that only the alignments have, by the numbers in their names: files need every contig of their reads."""
+    a = table(spark, folder, "alignments")
+    seen = a.select("contig", F.greatest("start_pos", "end_pos").alias("last")).unionAll(a.select("mate_contig", "mate_start"))
+    found = seen.where((F.col("contig") != "") & ~F.col("contig").isin(HEADER.names)).groupBy("contig").agg(F.coalesce(F.max("last"), F.lit(0)).alias("last")).collect()
+    if not found:
+        return HEADER
+    by_number = lambda r: [(int(x) if x.isdecimal() else -1, x) for x in re.split(r"(\d+)", r["contig"])]
+    return SamHeader.of_contigs([*HEADER.contigs, *((r["contig"], max(r["last"], 250_000_000)) for r in sorted(found, key=by_number))], "unsorted")
+
+
+def reads_of(spark: SparkSession, folder: str, header: SamHeader = HEADER) -> DataFrame:
     """The alignments as reads; nulls take the values that the formats have for them."""
     a = table(spark, folder, "alignments")
     mate = F.col("mate_contig")
-    names = HEADER.names
+    names = header.names
     return a.select(
         F.concat_ws("|", "read_name", "read_id", F.date_format("loaded_at", "yyyyMMddHHmmssSSSSSS")).alias("read_name"), F.coalesce("flags", F.lit(0)).alias("flags"), index_of(names, F.col("contig")).alias("ref_index"), "contig",
         F.coalesce("start_pos", F.lit(0)).alias("start"), F.coalesce("end_pos", "start_pos", F.lit(0)).alias("end"), F.coalesce("mapq", F.lit(255)).alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
@@ -517,11 +529,11 @@ def bai_ranges(spark, folder):
 
 def _coordinate_bam(spark: SparkSession, folder: str) -> str:
     """One BAM file by coordinate, reads without a position at the end, with its ``.bai``."""
-    parts = _file(spark, "parts.bam")
+    parts, header = _file(spark, "parts.bam"), header_of(spark, folder).sorted_by("coordinate")
     c = F.col
-    rows = reads_of(spark, folder).orderBy((c("ref_index") < 0).asc(), c("ref_index"), c("start"))
-    write_reads(rows, parts, HEADER.sorted_by("coordinate"), write_header=False)
-    path = merge_reads(parts, parts.replace("parts", "all"), HEADER.sorted_by("coordinate"))
+    rows = reads_of(spark, folder, header).orderBy((c("ref_index") < 0).asc(), c("ref_index"), c("start"))
+    write_reads(rows, parts, header, write_header=False)
+    path = merge_reads(parts, parts.replace("parts", "all"), header)
     with open(path + ".bai", "wb") as out:
         out.write(build_bai(path))
     return path

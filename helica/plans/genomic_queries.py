@@ -546,8 +546,8 @@ def bai_intervals(spark, folder):
 
 def bam_key_ignored(spark, folder):
     """Reads written with their key, which is left out and made again."""
-    at = _file(spark, "reads.bam")
-    write_reads(with_read_key(reads_of(spark, folder)).withColumn("key", F.lit(7).cast("long")), at, HEADER)
+    at, header = _file(spark, "reads.bam"), header_of(spark, folder)
+    write_reads(with_read_key(reads_of(spark, folder, header)).withColumn("key", F.lit(7).cast("long")), at, header)
     rows = load_reads(spark, at)
     return rows.where("contig is not null and flags % 8 < 4").select("read_name", "key")
 

@@ -270,8 +270,8 @@ def reads_of_mixed_formats(spark, folder):
 
 def _bam(spark: SparkSession, folder: str, **options) -> str:
     register_sources(spark)
-    at = os.path.join(work_folder(spark), "reads.bam")
-    write_reads(reads_of(spark, folder), at, HEADER, **options)
+    at, header = os.path.join(work_folder(spark), "reads.bam"), header_of(spark, folder)
+    write_reads(reads_of(spark, folder, header), at, header, **options)
     return at
 
 

@@ -636,8 +636,8 @@ def lines_of_text(spark, folder):
 
 def parts_of_a_write(spark, folder):
     """The part files of a write in their order, and the reads of each kind of command line tool."""
-    parts = _file(spark, "parts.bam")
-    write_reads(reads_of(spark, folder).repartition(4), parts, HEADER, write_header=False, splitting_index=True)
+    parts, header = _file(spark, "parts.bam"), header_of(spark, folder)
+    write_reads(reads_of(spark, folder, header).repartition(4), parts, header, write_header=False, splitting_index=True)
     return _rows(spark, [(i, os.path.basename(p)) for i, p in enumerate(part_files(parts))], "place long, name string")
 
 

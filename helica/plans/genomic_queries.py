@@ -463,9 +463,9 @@ def split_index(spark, folder):
 
 def _sorted_bam(spark: SparkSession, folder: str, *order: str, **options) -> str:
     """One BAM file of all reads in an order, merged from parts."""
-    parts = _file(spark, "parts.bam")
-    write_reads(reads_of(spark, folder).orderBy(*order), parts, HEADER, write_header=False, **options)
-    return merge_reads(parts, parts.replace("parts", "all"), HEADER)
+    parts, header = _file(spark, "parts.bam"), header_of(spark, folder)
+    write_reads(reads_of(spark, folder, header).orderBy(*order), parts, header, write_header=False, **options)
+    return merge_reads(parts, parts.replace("parts", "all"), header)
 
 
 def _record_offsets(path: str) -> list[int]:

@@ -289,7 +289,7 @@ def bam_unplaced(spark, folder):
 
 def bam_merge(spark, folder):
     parts = _bam(spark, folder, write_header=False, splitting_index=True, granularity=64)
-    merged = merge_reads(parts, parts.replace("reads.bam", "merged.bam"), HEADER)
+    merged = merge_reads(parts, parts.replace("reads.bam", "merged.bam"), header_of(spark, folder))
     return load_reads(spark, merged).select("read_name", "contig", "start")
 
 

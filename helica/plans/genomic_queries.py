@@ -249,8 +249,8 @@ def cram_roundtrip(spark, folder):
 
 
 def cram_intervals(spark, folder):
-    at = _file(spark, "reads.cram")
-    write_reads(sort_by_coordinate(with_read_key(reads_of(spark, folder))), at, HEADER)
+    at, header = _file(spark, "reads.cram"), header_of(spark, folder)
+    write_reads(sort_by_coordinate(with_read_key(reads_of(spark, folder, header))), at, header)
     return read_cram(spark, at, parse_intervals(INTERVALS)).select("read_name", "contig", "start")
 
 

@@ -40,3 +40,8 @@ def test_header_has_the_contigs_of_the_reads(spark, folder):
 @pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key"])
 def test_other_contigs(spark, folder, name):
     assert found(spark, name, folder) == expected(name, folder)
+
+
+def test_printed_header_has_other_contigs(spark, folder):
+    lines = [line for _, line in sorted(found(spark, "tool_header", folder))]
+    assert lines[1:] == [f"@SQ\tSN:{n}\tLN:250000000" for n in [*HEADER.names, "chr24", "chr25"]]

@@ -37,7 +37,7 @@ def test_header_has_the_contigs_of_the_reads(spark, folder):
     assert header_of(spark, ALIGNMENTS.rpartition("/")[0]) == HEADER
 
 
-@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals"])
+@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals", "bam_roundtrip"])
 def test_other_contigs(spark, folder, name):
     assert found(spark, name, folder) == expected(name, folder)
 
@@ -45,3 +45,23 @@ def test_other_contigs(spark, folder, name):
 def test_printed_header_has_other_contigs(spark, folder):
     lines = [line for _, line in sorted(found(spark, "tool_header", folder))]
     assert lines[1:] == [f"@SQ\tSN:{n}\tLN:250000000" for n in [*HEADER.names, "chr24", "chr25"]]
+
+
+NAMES = ("read_name || chr(8242) || chr(233) AS read_name", "opt_tags || chr(9) || 'CO:Z:' || chr(8242) AS opt_tags")
+
+
+def test_bam_names_outside_latin(spark, tmp_path):
+    folder = folder_of(tmp_path, *NAMES)
+    assert found(spark, "bam_roundtrip", folder) == expected("bam_roundtrip", folder)
+
+
+def test_bam_names_of_latin_bytes_and_long_ones(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    from helica.sources.bam_codec import _strings, encode_batch
+
+    assert _strings(np.frombuffer(b"a\xe9b", np.uint8), np.array([2, 1])).to_pylist() == ["aé", "b"]
+    row = {"read_name": "é" * 128, "contig": None, "mate_contig": None, "cigar": "*", "bases": "*", "quals": "*", "tags": ""}
+    with pytest.raises(ValueError, match="254 bytes"):
+        encode_batch(pa.RecordBatch.from_pylist([row | dict.fromkeys(("start", "mapq", "flags", "mate_start", "insert_size"), 0)]), {})

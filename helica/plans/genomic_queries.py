@@ -243,9 +243,9 @@ def sam_stringency(spark, folder):
 
 def cram_roundtrip(spark, folder):
     """Through parts without header and one merged file."""
-    parts = _file(spark, "parts.cram")
-    write_reads(reads_of(spark, folder), parts, HEADER, write_header=False)
-    return read_cram(spark, merge_reads(parts, parts.replace("parts", "all"), HEADER, "cram"), split_size=1 << 18).select(*SHOWN)
+    parts, header = _file(spark, "parts.cram"), header_of(spark, folder)
+    write_reads(reads_of(spark, folder, header), parts, header, write_header=False)
+    return read_cram(spark, merge_reads(parts, parts.replace("parts", "all"), header, "cram"), split_size=1 << 18).select(*SHOWN)
 
 
 def cram_intervals(spark, folder):

@@ -37,7 +37,7 @@ def test_header_has_the_contigs_of_the_reads(spark, folder):
     assert header_of(spark, ALIGNMENTS.rpartition("/")[0]) == HEADER
 
 
-@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals", "bam_roundtrip"])
+@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals", "bam_roundtrip", "cram_roundtrip"])
 def test_other_contigs(spark, folder, name):
     assert found(spark, name, folder) == expected(name, folder)
 
@@ -65,3 +65,8 @@ def test_bam_names_of_latin_bytes_and_long_ones(spark, tmp_path):
     row = {"read_name": "é" * 128, "contig": None, "mate_contig": None, "cigar": "*", "bases": "*", "quals": "*", "tags": ""}
     with pytest.raises(ValueError, match="254 bytes"):
         encode_batch(pa.RecordBatch.from_pylist([row | dict.fromkeys(("start", "mapq", "flags", "mate_start", "insert_size"), 0)]), {})
+
+
+def test_cram_names_outside_latin(spark, tmp_path):
+    folder = folder_of(tmp_path, *NAMES)
+    assert found(spark, "cram_roundtrip", folder) == expected("cram_roundtrip", folder)

@@ -256,12 +256,12 @@ def cram_intervals(spark, folder):
 
 def reads_of_mixed_formats(spark, folder):
     """A third of the reads in each format, in one folder."""
-    at = _file(spark, "mixed")
+    at, header = _file(spark, "mixed"), header_of(spark, folder)
     os.makedirs(at)
-    rows = reads_of(spark, folder).withColumn("_part", F.pmod(F.xxhash64("read_name"), F.lit(3)))
+    rows = reads_of(spark, folder, header).withColumn("_part", F.pmod(F.xxhash64("read_name"), F.lit(3)))
     for i, kind in enumerate(("bam", "sam", "cram")):
         part = f"{at}-{kind}"
-        write_reads(rows.where(F.col("_part") == i), part, HEADER, kind)
+        write_reads(rows.where(F.col("_part") == i), part, header, kind)
         for name in os.listdir(part):
             if name.startswith("part-"):
                 os.rename(os.path.join(part, name), os.path.join(at, f"{name.removesuffix('.txt').removesuffix('.' + kind)}.{kind}"))

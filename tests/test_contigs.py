@@ -37,7 +37,7 @@ def test_header_has_the_contigs_of_the_reads(spark, folder):
     assert header_of(spark, ALIGNMENTS.rpartition("/")[0]) == HEADER
 
 
-@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals", "bam_roundtrip", "cram_roundtrip", "index_built"])
+@pytest.mark.parametrize("name", ["bai_intervals", "bam_key_ignored", "bam_unplaced", "parts_of_a_write", "starts_guessed", "bai_ranges", "bam_merge", "cram_intervals", "index_asked", "read_unmapped_key", "bam_intervals", "bam_roundtrip", "cram_roundtrip", "index_built", "reads_of_mixed_formats"])
 def test_other_contigs(spark, folder, name):
     assert found(spark, name, folder) == expected(name, folder)
 

@@ -70,3 +70,34 @@ def test_bam_names_of_latin_bytes_and_long_ones(spark, tmp_path):
 def test_cram_names_outside_latin(spark, tmp_path):
     folder = folder_of(tmp_path, *NAMES)
     assert found(spark, "cram_roundtrip", folder) == expected("cram_roundtrip", folder)
+
+
+LONG = "CASE WHEN read_id % 97 = 0 THEN repeat('1M1D', 35000) ELSE cigar END AS cigar"
+
+
+@pytest.mark.parametrize("name", ["bai_ranges", "bam_intervals", "bam_roundtrip"])
+def test_cigars_of_more_steps_than_the_fixed_fields_count(spark, tmp_path, name):
+    folder = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT * REPLACE ({LONG}) FROM '{ALIGNMENTS}') TO '{folder}/alignments.parquet' (FORMAT parquet)")
+    assert found(spark, name, folder) == expected(name, folder)
+
+
+def test_keys_of_long_cigars(spark, tmp_path):
+    folder = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT * REPLACE ({LONG}) FROM '{ALIGNMENTS}') TO '{folder}/alignments.parquet' (FORMAT parquet)")
+    assert found(spark, "read_unmapped_key", folder) == found(spark, "read_unmapped_key_of_rows", folder)
+
+
+def test_longest_cigar_of_the_fixed_fields_and_the_next():
+    import numpy as np
+    import pyarrow as pa
+
+    from helica.sources.bam_codec import FIXED, decode_records, encode_batch
+    from helica.sources.sam import SamHeader
+
+    row = {"read_name": "r", "contig": "chr1", "mate_contig": None, "bases": "ACG", "quals": "III", "tags": "CG:Z:x\tNM:i:1\tXB:B:c,1,2\tXA:A:y"}
+    rows = [row | dict.fromkeys(("mapq", "flags", "mate_start", "insert_size"), 0) | {"start": 5, "cigar": c} for c in ("1M" * 65535, "1M" * 65536, "3S7N")]
+    data, starts = encode_batch(pa.RecordBatch.from_pylist(rows), {"chr1": 0})
+    assert [np.frombuffer(data, FIXED, 1, s)["n_cigar"][0] for s in starts] == [65535, 2, 2]
+    read = decode_records(data, starts, SamHeader.of_contigs([("chr1", 1000)])).to_pylist()
+    assert [(r["cigar"], r["end"], r["tags"]) for r in read] == [(r["cigar"], e, r["tags"]) for r, e in zip(rows, (65539, 65540, 11))]
